@@ -15,6 +15,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture on every Column costs more than building these wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 # A side with at most this many rows may be copied to every executor.

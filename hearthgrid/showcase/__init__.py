@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hearthgrid.showcase import buildings
+from hearthgrid.showcase import buildings, evaluation
 from hearthgrid.showcase.base import Query
 
-THEMES = (buildings,)
+THEMES = (evaluation, buildings)
 
 
 def all_queries() -> dict[str, Query]:

@@ -465,6 +465,8 @@ ruled AS (SELECT *,
     full_enclosure AND in_geometry_foundation_type IN ('Unvented Crawlspace', 'Vented Crawlspace', 'Heated Basement')
       AND in_insulation_foundation_wall = 'Uninsulated' AS foundation,
     full_enclosure AND in_geometry_foundation_type = 'Unvented Crawlspace' AS crawl,
+    full_enclosure AND in_geometry_attic_type = 'Finished Attic or Cathedral Ceilings'
+      AND in_insulation_roof = 'Finished, R-13' AS roof,
     CASE WHEN upgrade_id = 3 AND ducts AND (NOT {_HP} OR in_hvac_heating_efficiency IN
         ('ASHP, SEER 10, 6.2 HSPF', 'ASHP, SEER 13, 7.7 HSPF', 'ASHP, SEER 15, 8.5 HSPF')) THEN 'ASHP, SEER 15, 9.0 HSPF'
       WHEN upgrade_id = 3 AND NOT ducts AND (NOT {_HP} OR in_hvac_heating_efficiency = 'MSHP, SEER 14.5, 8.2 HSPF')
@@ -475,7 +477,7 @@ ruled AS (SELECT *,
       WHEN upgrade_id = 5 THEN 'ASHP, SEER 15, 9.0 HSPF' END AS pump
   FROM fan),
 done AS (SELECT building_id, upgrade_id,
-    CASE WHEN upgrade_id = 0 THEN -1 WHEN attic OR leaky OR ducty OR wall OR foundation OR crawl OR pump IS NOT NULL
+    CASE WHEN upgrade_id = 0 THEN -1 WHEN attic OR leaky OR ducty OR wall OR foundation OR crawl OR roof OR pump IS NOT NULL
       THEN 1 ELSE 0 END AS eligible_for_upgrade,
     CASE WHEN attic THEN CASE zone WHEN 1 THEN 'R-30' WHEN 2 THEN 'R-49' ELSE 'R-60' END ELSE in_insulation_ceiling END AS in_insulation_ceiling,
     CASE WHEN leaky THEN round(ach * 0.7, 4) ELSE ach END::DOUBLE AS in_infiltration_ach50,
@@ -483,6 +485,7 @@ done AS (SELECT building_id, upgrade_id,
     CASE WHEN ducty THEN 'R-8' ELSE in_ducts_insulation END AS in_ducts_insulation,
     CASE WHEN foundation THEN 'Wall R-10, Interior' ELSE in_insulation_foundation_wall END AS in_insulation_foundation_wall,
     in_insulation_rim_joist,
+    CASE WHEN roof THEN 'Finished, R-30' ELSE in_insulation_roof END AS in_insulation_roof,
     CASE WHEN pump IS NULL THEN in_heating_fuel ELSE 'Electricity' END AS in_heating_fuel,
     CASE WHEN upgrade_id = 5 AND NOT {_HP} THEN in_hvac_heating_efficiency_nominal_percent
       WHEN pump IS NOT NULL OR {_HP} THEN '100%' ELSE 'None' END AS in_hvac_backup_heating_efficiency_nominal_percent,
@@ -521,6 +524,7 @@ def label_scenarios(spark, folder):
         "in_ducts_insulation",
         "in_insulation_foundation_wall",
         "in_insulation_rim_joist",
+        "in_insulation_roof",
         "in_heating_fuel",
         "in_hvac_backup_heating_efficiency_nominal_percent",
         "in_backup_heating_fuel",
