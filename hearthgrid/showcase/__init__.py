@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from hearthgrid.showcase import buildings, evaluation
+from hearthgrid.showcase import buildings, evaluation, learning, parsing, schema, timeseries
 from hearthgrid.showcase.base import Query
 
-THEMES = (evaluation, buildings)
+THEMES = (evaluation, buildings, parsing, schema, timeseries, learning)
 
 
 def all_queries() -> dict[str, Query]:
