@@ -106,13 +106,11 @@ def with_baseline_values(
     An aggregate folds on the map side and the join splits heavy groups, where a
     window would send a whole group to one task.
     """
-    first = df.groupBy(*group).agg(
-        *[
-            F.min_by(F.col(c) if isinstance(c, str) else c, order).alias(name)
-            for name, c in columns.items()
-        ]
-    )
-    return df.join(first, list(group))
+    values = [
+        (F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()
+    ]
+    first = df.groupBy(*group).agg(F.min_by(F.struct(*values), order).alias("__first"))
+    return df.join(first.select(*group, "__first.*"), list(group))
 
 
 def presentable_types() -> dict[str, Column]:
@@ -127,13 +125,13 @@ def presentable_types() -> dict[str, Column]:
     }
 
 
-def prediction_errors(
+def with_baselines(
     wide: DataFrame,
     fuels: Sequence[str],
     suffix: str = "-pred",
     extra_appliance: Mapping[float, str] | None = None,
 ) -> DataFrame:
-    """Errors of consumption and savings, one row per building, scenario and fuel.
+    """Totals, report labels and the building's baseline values for every scenario row.
 
     ``wide`` has the keys, one actual and one predicted column per fuel, and the
     appliance attributes. Baselines are taken while the row is still wide, which
@@ -169,10 +167,24 @@ def prediction_errors(
         appliance = F.when(
             F.col("upgrade_id") == scenario, F.col(f"base_{attribute}")
         ).otherwise(appliance)
+    energy = [f"`{f}{s}{b}`" for f in every for s in ("", suffix) for b in ("", "-base")]
+    return based.select(
+        *KEYS, appliance.alias("baseline_appliance"), "baseline_ac_type", *energy
+    )
+
+
+def errors_by_fuel(
+    based: DataFrame, fuels: Sequence[str], suffix: str = "-pred"
+) -> DataFrame:
+    """Errors of consumption and savings, one row per building, scenario and fuel.
+
+    A projection of the rows of :func:`with_baselines`: settle those, not the five
+    times as many rows that come out here.
+    """
     rows = by_fuel(
-        based.withColumn("baseline_appliance", appliance),
+        based,
         [*KEYS, "baseline_appliance", "baseline_ac_type"],
-        every,
+        [*fuels, TOTAL],
         {
             "actual": "",
             "prediction": suffix,

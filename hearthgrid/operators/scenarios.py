@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.functions import water_heater
+from hearthgrid.functions.lookup import map_literal
 from hearthgrid.operators.columns import fill_from
 from hearthgrid.operators.features import fuel_presence
 from hearthgrid.operators.rules import Rule, apply_stage, rule
@@ -324,32 +325,58 @@ def scenario_features(
 
 
 def flag_changed(
-    df: DataFrame, scenario_column: str = "upgrade_id", ignore: Sequence[str] = ("upgrade_name",)
+    df: DataFrame,
+    scenario_column: str = "upgrade_id",
+    scenario_ids: Sequence[float] = tuple(CATALOGUE),
+    name_column: str | None = "upgrade_name",
 ) -> DataFrame:
     """Add ``applicability``: false where a lower scenario has the very same features.
 
-    Exact copies fold before rows meet, so a group holds at most one row per
-    scenario however often its features repeat; all copies are restored after.
+    One aggregation by all features counts the rows of every scenario of the
+    catalogue. It folds on the map side, where the scenarios of a building still
+    lie together, so neither many copies of a row nor a heavy building gathers in
+    one task. All copies are restored after. A scenario outside the catalogue fails
+    the job. ``name_column`` follows from the scenario and is looked up again.
     """
-    compared = [c for c in df.columns if c != scenario_column and c not in ignore]
-    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__copies"))
-    same = Window.partitionBy(*compared)
-    flagged = folded.withColumn(
-        "applicability", F.col(scenario_column) == F.min(scenario_column).over(same)
+    names = name_column if name_column in df.columns else None
+    compared = [c for c in df.columns if c not in (scenario_column, names)]
+    known = F.when(F.col(scenario_column).isin(list(scenario_ids)), F.col(scenario_column))
+    unknown = F.concat(F.lit("unknown scenario "), F.col(scenario_column).cast("string"))
+    checked = df.withColumn(scenario_column, known.otherwise(F.raise_error(unknown)))
+    ordered = sorted(scenario_ids)
+    counted = checked.groupBy(*compared).agg(
+        *[F.count_if(F.col(scenario_column) == s).alias(f"__n{i}") for i, s in enumerate(ordered)]
     )
-    return _unfold(flagged).select(*df.columns, "applicability")
-
+    kind = df.schema[scenario_column].dataType
+    present = F.array_compact(
+        F.array(
+            *[
+                F.when(
+                    F.col(f"__n{i}") > 0,
+                    F.struct(F.lit(s).cast(kind).alias("id"), F.col(f"__n{i}").alias("copies")),
+                )
+                for i, s in enumerate(ordered)
+            ]
+        )
+    )
+    rows = counted.select(*compared, F.posexplode(present).alias("__place", "__row")).select(
+        *compared,
+        F.col("__row.id").alias(scenario_column),
+        (F.col("__place") == 0).alias("applicability"),
+        F.explode(F.sequence(F.lit(1), F.col("__row.copies"))).alias("__copy"),
+    )
+    if names:
+        labels = map_literal({i: name for i, (name, _) in CATALOGUE.items()})
+        rows = rows.withColumn(names, labels[F.col(scenario_column)])
+    return rows.select(*df.columns, "applicability")
 
-def drop_unchanged(
-    df: DataFrame, scenario_column: str = "upgrade_id", ignore: Sequence[str] = ("upgrade_name",)
-) -> DataFrame:
-    """Rows whose scenario changed something against every lower scenario."""
-    return flag_changed(df, scenario_column, ignore).where("applicability").drop("applicability")
 
+def drop_unchanged(df: DataFrame, *args, **options) -> DataFrame:
+    """Rows whose scenario changed something against every lower scenario.
 
-def _unfold(df: DataFrame) -> DataFrame:
-    copies = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return df.select("*", copies.alias("__copy")).drop("__copies", "__copy")
+    Takes the options of :func:`flag_changed`.
+    """
+    return flag_changed(df, *args, **options).where("applicability").drop("applicability")
 
 
 def applicability_mismatches(

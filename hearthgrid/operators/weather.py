@@ -75,16 +75,13 @@ def time_slices(
     """Arrays cut into time steps of equal length, one row per step."""
     length = calendar.step_length(granularity)
     steps = calendar.STEPS_PER_YEAR[granularity]
-    return arrays.select(
-        *keys, *variables, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("time_step")
-    ).select(
-        *keys,
-        "time_step",
-        *[
-            F.slice(v, F.col("time_step") * length + 1, F.lit(length)).alias(v)
-            for v in variables
-        ],
-    )
+
+    def step(i):
+        parts = [F.slice(v, i * length + 1, F.lit(length)).alias(v) for v in variables]
+        return F.struct(i.alias("time_step"), *parts)
+
+    numbers = F.sequence(F.lit(0), F.lit(steps - 1))
+    return arrays.select(*keys, F.inline(F.transform(numbers, step)))
 
 
 def degree_columns(hourly: DataFrame, celsius: str = "temp_air") -> DataFrame:

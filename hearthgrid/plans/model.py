@@ -6,7 +6,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from hearthgrid.operators.evaluation import ATTRIBUTES, KEYS, metric_report, prediction_errors
+from hearthgrid.operators.evaluation import (
+    ATTRIBUTES,
+    KEYS,
+    errors_by_fuel,
+    metric_report,
+    with_baselines,
+)
 from hearthgrid.operators.learning import FUELS, FeatureSet, FuelModels, train, usable_predictions
 from hearthgrid.operators.scenarios import BASELINE_OF_SET, CATALOGUE
 from hearthgrid.operators.splits import (
@@ -55,9 +61,9 @@ def model_rows(
 def train_models(
     rows: DataFrame, names: Sequence[str], scenario_ids: Sequence[float], **options
 ) -> FuelModels:
-    training = rows.where("split = 'train'").withColumn(
-        "weight", sample_weight("upgrade_id", scenario_ids, list(BASELINE_OF_SET.values()))
-    )
+    """One regressor per fuel, fitted to settled training rows."""
+    weight = sample_weight("upgrade_id", scenario_ids, list(BASELINE_OF_SET.values()))
+    training = settle(rows.where("split = 'train'").withColumn("weight", weight), "training")
     return train(training, FeatureSet.of(training, names), FUELS, weight="weight", **options)
 
 
@@ -69,6 +75,11 @@ def score_rows(models: FuelModels, rows: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(errors of every row, report). The errors are settled once for the report's passes."""
-    errors = settle(prediction_errors(scored, FUELS), "errors")
+    """(errors of every row and fuel, report).
+
+    Scored rows are settled because their baselines are taken from a second reading,
+    and rows with baselines because the report passes over them more than once.
+    """
+    based = settle(with_baselines(settle(scored, "scored"), FUELS), "based")
+    errors = errors_by_fuel(based, FUELS)
     return errors, metric_report(errors)

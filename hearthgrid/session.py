@@ -42,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _test_folders[context.applicationId]
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -49,7 +54,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     true file sizes, so the planner's own broadcast threshold applies to them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

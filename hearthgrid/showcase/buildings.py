@@ -45,16 +45,16 @@ def upgraded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @registry.add(
-    f"WITH raw AS ({raw_metadata_sql(2022)} ) SELECT building_id, heating_fuel, vintage, sqft "
+    f"WITH raw AS ({raw_metadata_sql(2022, every=True)} ) SELECT building_id, heating_fuel, vintage, sqft "
     f"FROM raw WHERE {ELIGIBLE}"
 )
 def eligibility_filter(spark, folder):
-    homes = vintages.clean_metadata(raw_metadata(spark, folder, 2022))
+    homes = vintages.clean_metadata(raw_metadata(spark, folder, 2022, every=True))
     return homes.select("building_id", "heating_fuel", "vintage", "sqft")
 
 
 @registry.add(
-    f"WITH raw AS ({raw_metadata_sql(2022)}), marked AS (SELECT *, "
+    f"WITH raw AS ({raw_metadata_sql(2022, every=True)}), marked AS (SELECT *, "
     "list_extract(['No','No','No','Yes'], cast(building_id % 4 as integer) + 1) AS has_pv FROM raw) "
     "SELECT geometry_foundation_type, count(*) AS n_homes FROM marked "
     "WHERE geometry_building_type_acs = 'Single-Family Detached' AND occupants <> '10+' "
@@ -63,7 +63,7 @@ def eligibility_filter(spark, folder):
     "AND hvac_cooling_efficiency <> 'Shared Cooling' AND has_pv = 'No' GROUP BY ALL"
 )
 def eligibility_detached(spark, folder):
-    raw = vintages.edit_columns(raw_metadata(spark, folder, 2022), strip=("in__",))
+    raw = vintages.edit_columns(raw_metadata(spark, folder, 2022, every=True), strip=("in__",))
     marked = raw.withColumn("has_pv", F.when(F.col("bldg_id") % 4 == 3, "Yes").otherwise("No"))
     homes = marked.where(vintages.eligible_detached_homes())
     return homes.groupBy("geometry_foundation_type").agg(F.count(F.lit(1)).alias("n_homes"))
@@ -257,7 +257,7 @@ def clamp_conditional(spark, folder):
 
 CHOICE_SQL = """
 SELECT p_partkey, upgrade_id,
-  CASE WHEN p_type = 'ECONOMY' THEN 'none' WHEN upgrade_id = 15.04 AND applies THEN
+  CASE WHEN upgrade_id = 15.04 AND applies THEN
       CASE WHEN small THEN 'Daikin MSHP SZ, SEER 22.05, 10.64 HSPF' ELSE 'Daikin MSHP MZ, SEER 22.05, 11.2 HSPF' END
     WHEN upgrade_id = 15.08 AND p_size > 10 THEN 'Daikin 7 series ASHP, SEER 20, 10.35 HSPF'
     WHEN upgrade_id = 4 AND p_size > 10 THEN 'MSHP, SEER 24, 13 HSPF'
@@ -269,7 +269,6 @@ SELECT p_partkey, upgrade_id,
 FROM (SELECT *, cast(p_size % 5 + 1 AS integer) AS beds, p_retailprice < 950 AS applies,
   p_size % 5 + 1 = 1 OR p_size * 20 <= 749 OR (p_size % 5 + 1 = 2 AND p_size * 20 <= 999) AS small FROM part),
  (VALUES (4.0::DOUBLE), (6.0), (15.04), (15.08)) v(upgrade_id)
-WHERE p_type <> 'ECONOMY'
 """
 
 
@@ -278,7 +277,6 @@ def choice_by_size(spark, folder):
     ids = F.explode(F.array(*[F.lit(i) for i in (4.0, 6.0, 15.04, 15.08)]))
     homes = (
         table(spark, folder, "part")
-        .where("p_type <> 'ECONOMY'")
         .select(
             "p_partkey",
             (F.col("p_size") % 5 + 1).alias("n_bedrooms"),
@@ -360,7 +358,7 @@ def _with_copies(spark, folder) -> DataFrame:
 
 @registry.add(f"{DUPLICATES_SQL} SELECT c_custkey, scenario, a FROM ranked WHERE place = 1")
 def drop_unchanged_scenarios(spark, folder):
-    kept = scenarios.drop_unchanged(_with_copies(spark, folder), "scenario")
+    kept = scenarios.drop_unchanged(_with_copies(spark, folder), "scenario", [0.0, 1.0, 2.0])
     return kept.select("c_custkey", "scenario", "a")
 
 
@@ -611,7 +609,7 @@ def numeric_scenarios(spark, folder):
 
 
 @registry.add(
-    f"WITH raw AS ({raw_metadata_sql(2024)}), s AS (SELECT *, CASE geometry_building_type_acs "
+    f"WITH raw AS ({raw_metadata_sql(2024, every=True)}), s AS (SELECT *, CASE geometry_building_type_acs "
     "WHEN 'Mobile Home' THEN 1690 WHEN 'Single-Family Detached' THEN 1690 WHEN 'Single-Family Attached' THEN 1675 "
     "WHEN '2 Unit' THEN 1623 WHEN '3 or 4 Unit' THEN 1623 END AS area, "
     "CASE WHEN heating_fuel = 'Propane' THEN 'Other Fuel' ELSE heating_fuel END AS sampled_fuel, "
@@ -621,7 +619,7 @@ def numeric_scenarios(spark, folder):
     f"FROM s WHERE county_geoid <> '48201' AND sampled_fuel <> 'Other Fuel' AND {ELIGIBLE}"
 )
 def sampled_buildings(spark, folder):
-    raw = vintages.edit_columns(raw_metadata(spark, folder, 2024), strip=("in__",)).drop(
+    raw = vintages.edit_columns(raw_metadata(spark, folder, 2024, every=True), strip=("in__",)).drop(
         "sqft", "weather_file_city", "weight", "out__electricity__total"
     )
     samples = raw.withColumns(

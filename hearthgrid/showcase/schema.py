@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthgrid.operators import audit, columns, vintages
-from hearthgrid.session import shared_folder
+from hearthgrid.session import fresh_path
 from hearthgrid.showcase.base import Registry, table
 from hearthgrid.sources import dimensions, readers, tables
 
@@ -70,7 +70,7 @@ def schema_reconcile_union(spark, folder):
     "SELECT l_orderkey AS building_id, (l_linenumber + 10)::DOUBLE AS upgrade_id, "
     "l_extendedprice * (0.00029307107::DOUBLE * 1e6) AS out_heating_energy_consumption_kwh, "
     "CASE WHEN l_linenumber = 1 THEN l_quantity ELSE -1 END AS hp_bkup_share, l_tax AS site_energy_factor "
-    "FROM lineitem WHERE l_returnflag <> 'N' AND l_linenumber <= 2"
+    "FROM lineitem WHERE l_returnflag <> 'N'"
 )
 def simulation_outputs(spark, folder):
     def run(line: int):
@@ -85,7 +85,7 @@ def simulation_outputs(spark, folder):
             F.lit(0).alias("apply_upgrade.cost"),
         )
 
-    done = vintages.combine_outputs({11.0: [run(1)], 12.0: [run(2)]})
+    done = vintages.combine_outputs({10.0 + line: [run(line)] for line in range(1, 8)})
     return done.select(
         "building_id",
         "upgrade_id",
@@ -129,15 +129,18 @@ def fill_nulls(spark, folder):
 
 
 @registry.add(
-    "WITH a AS (SELECT 'p_brand' AS \"column\", p_brand AS value, 'l' AS s FROM part WHERE p_size < 3 UNION ALL "
-    "SELECT 'p_name', p_name, 'l' FROM part WHERE p_size < 3 UNION ALL SELECT 'p_type', p_type, 'l' FROM part WHERE p_size < 3 UNION ALL "
-    "SELECT 'p_brand', p_brand, 'r' FROM part WHERE p_size > 48 UNION ALL SELECT 'p_name', p_name, 'r' FROM part WHERE p_size > 48 UNION ALL "
-    "SELECT 'p_type', p_type, 'r' FROM part WHERE p_size > 48) "
+    "WITH p AS (SELECT *, p_type || ' ' || p_size AS kind, CASE WHEN p_size % 2 = 0 THEN 'l' ELSE 'r' END AS s FROM part), "
+    "a AS (SELECT 'p_brand' AS \"column\", p_brand AS value, s FROM p UNION ALL SELECT 'p_name', p_name, s FROM p UNION ALL "
+    "SELECT 'p_type', p_type, s FROM p UNION ALL SELECT 'kind', kind, s FROM p) "
     "SELECT \"column\", value, CASE WHEN min(s) = 'l' THEN 'left only' ELSE 'right only' END AS side FROM a GROUP BY ALL HAVING count(DISTINCT s) = 1"
 )
 def categorical_diff(spark, folder):
-    parts = table(spark, folder, "part")
-    return audit.categorical_difference(parts.where("p_size < 3"), parts.where("p_size > 48"))
+    parts = table(spark, folder, "part").withColumn(
+        "kind", F.concat_ws(" ", "p_type", F.col("p_size").cast("string"))
+    )
+    return audit.categorical_difference(
+        parts.where("p_size % 2 = 0"), parts.where("p_size % 2 = 1")
+    )
 
 
 @registry.add(
@@ -213,7 +216,7 @@ def zone_export(spark, folder):
     zones = dimensions.label_index(spark, labels, first=1)
     label = F.concat(F.lit("Z"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
     zoned = customers.withColumn("label", label).join(F.broadcast(zones), "label").drop("label")
-    path = f"{shared_folder(spark)}/zone-export-{abs(hash(folder))}"
+    path = fresh_path(spark, "zone-export")
     tables.write_export(zoned, path, "label_index", ["c_mktsegment", "c_name"])
     back = readers.parquet(spark, path)
     return back.groupBy(F.col("label_index").alias("zone")).agg(
@@ -232,9 +235,9 @@ def path_key_scan(spark, folder):
     customers = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("n_nationkey") == F.col("c_nationkey")
     )
-    path = f"{shared_folder(spark)}/path-key-{abs(hash(folder))}"
+    path = fresh_path(spark, "path-key")
     rows = customers.select("c_custkey", F.col("n_regionkey").alias("region"))
-    rows.write.mode("overwrite").option("header", True).partitionBy("region").csv(path)
+    rows.write.option("header", True).partitionBy("region").csv(path)
     back = readers.delimited(spark, f"{path}/region=*", "c_custkey long").select(
         "c_custkey", readers.file_key(r"region=(\d+)/").cast("int").alias("region")
     )

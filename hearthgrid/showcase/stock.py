@@ -302,10 +302,15 @@ def _vintage_columns(year: int, pick) -> dict[str, str]:
     }
 
 
-def raw_metadata(spark: SparkSession, folder: str, year: int) -> DataFrame:
-    """Raw metadata of one vintage: even customers are of 2022, odd ones of 2024."""
+def raw_metadata(spark: SparkSession, folder: str, year: int, every: bool = False) -> DataFrame:
+    """Raw metadata of one vintage: even customers are of 2022, odd ones of 2024.
+
+    With ``every``, all customers take the form of the vintage.
+    """
     columns = _vintage_columns(year, spark_pick)
-    customers = table(spark, folder, "customer").where(F.col("c_custkey") % 2 == int(year == 2024))
+    customers = table(spark, folder, "customer")
+    if not every:
+        customers = customers.where(F.col("c_custkey") % 2 == int(year == 2024))
     return customers.select(
         F.col("c_custkey").alias("bldg_id"),
         F.lit(1.0).alias("weight"),
@@ -314,10 +319,11 @@ def raw_metadata(spark: SparkSession, folder: str, year: int) -> DataFrame:
     )
 
 
-def raw_metadata_sql(year: int) -> str:
+def raw_metadata_sql(year: int, every: bool = False) -> str:
     columns = _vintage_columns(year, duckdb_pick)
+    chosen = "" if every else f" WHERE c_custkey % 2 = {int(year == 2024)}"
     picks = ",\n  ".join(f"{text} AS {name}" for name, text in columns.items())
     return (
         f"SELECT cast(c_custkey as integer) AS building_id,\n  {picks}\n"
-        f"FROM customer WHERE c_custkey % 2 = {int(year == 2024)}"
+        f"FROM customer{chosen}"
     )

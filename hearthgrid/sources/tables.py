@@ -63,22 +63,17 @@ def save(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
 
 
 def save_partitioned(df: DataFrame, name: str, column: str) -> None:
-    """Overwrite a managed table partitioned by one column.
-
-    A round-robin spread inside each value keeps a value that holds a third of all
-    rows from being written by one task.
-    """
-    save(spread_for(df, [column]), name, [column])
+    """Overwrite a managed table partitioned by one column."""
+    save(balanced(df, [column]), name, [column])
 
 
-def spread_for(df: DataFrame, columns: Sequence[str], slices: int = 16) -> DataFrame:
-    """Cluster rows by ``columns`` into at most ``slices`` files per value."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns if _hashable(df, c)])
-    return df.repartition(*[F.col(c) for c in columns], F.pmod(row, F.lit(slices)))
+def balanced(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Cluster rows by ``columns`` before a write.
 
-
-def _hashable(df: DataFrame, column: str) -> bool:
-    return not df.schema[column].dataType.typeName().startswith("map")
+    A rebalance, so that adaptive execution splits a value that holds a large part
+    of all rows over several tasks, and joins small ones, by actual size.
+    """
+    return df.hint("rebalance", *[F.col(c) for c in columns])
 
 
 def save_keyed(df: DataFrame, name: str, keys: Sequence[str]) -> None:
@@ -97,12 +92,10 @@ def wide_export(metadata: DataFrame, features: DataFrame, suffix: str = "__m") -
     return suffix_columns(metadata, suffix, ["building_id"]).join(features, "building_id")
 
 
-def write_export(
-    df: DataFrame, path: str, zone: str, cluster_by: Sequence[str], slices: int = 16
-) -> None:
+def write_export(df: DataFrame, path: str, zone: str, cluster_by: Sequence[str]) -> None:
     """Parquet partitioned by an integer zone, sorted by the cluster columns in each file."""
     (
-        spread_for(df, [zone], slices)
+        balanced(df, [zone])
         .sortWithinPartitions(zone, *cluster_by)
         .write.mode("overwrite")
         .partitionBy(zone)
