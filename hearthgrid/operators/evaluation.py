@@ -294,8 +294,8 @@ def metric_report(errors: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *ERROR_COLUMNS,
         "actual",
         "actual_savings",
-        F.inline(F.array_compact(F.array(*lines))),
-    )
+        F.inline(F.array(*lines)),
+    ).where("grouping is not null")
     return aggregate_metrics(assigned, ["grouping", "type", "upgrade_id", *by]).drop("grouping")
 
 

@@ -4,12 +4,13 @@ Spark's exact ``median``/``percentile`` keep every distinct value of a group in
 buffer. Here a sketch first brackets each wanted quantile between two nearby
 values; a second pass folds everything below and above the bracket into two
 counts and only ranks the few values inside it. The sketch decides how much work
-the second pass has, never the result: where a bracket turns out to miss its
-rank, it is widened and counted again.
+the second pass has, never the result: a bracket that turns out to miss its rank
+is opened and counted again, and one that holds many values is ranked in slices.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,11 @@ from pyspark.sql import functions as F
 
 from hearthgrid.session import join_settled, settle
 
-SKETCH_ACCURACY = 10_000
-FIRST_MARGIN = 2.0 / SKETCH_ACCURACY
+SKETCH_ACCURACY = 2_000
+MARGIN = 2.0 / SKETCH_ACCURACY
+# Distinct values that one task may sort.
+SORTED_VALUES = 2_000_000
+BELOW, INSIDE, ABOVE = 0, 1, 1_000_000
 
 
 def grouped_quantiles(
@@ -33,36 +37,31 @@ def grouped_quantiles(
     aggregates ride along on the first pass over the data.
     """
     keys = list(keys)
-    for reserved in ("__item", "__value", "__zone"):
-        if reserved in df.columns:
-            raise ValueError(f"{reserved} is used internally")
-    df = df.select(
-        "*", *[F.col(v).cast("double").alias(f"__v_{v}") for v in {q[0] for q in quantiles.values()}]
-    )
+    values = {value for value, _ in quantiles.values()}
+    df = df.withColumns({f"__v_{v}": F.col(v).cast("double") for v in values})
     first = settle(
         df.groupBy(*keys).agg(
             *extra,
-            *[
-                F.count(f"__v_{value}").alias(f"__n_{name}")
-                for name, (value, _) in quantiles.items()
-            ],
+            *[F.count(f"__v_{v}").alias(f"__n_{name}") for name, (v, _) in quantiles.items()],
             *[
                 F.percentile_approx(
-                    f"__v_{value}",
-                    [max(0.0, q - FIRST_MARGIN), min(1.0, q + FIRST_MARGIN)],
-                    SKETCH_ACCURACY,
+                    f"__v_{v}", [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], SKETCH_ACCURACY
                 ).alias(f"__edge_{name}")
-                for name, (value, q) in quantiles.items()
+                for name, (v, q) in quantiles.items()
             ],
         ),
         "quantile-edges",
     )
-    found = settle(_rank_inside(df, first, keys, quantiles), "quantile-ranks")
-    if not found.where("hit < 2").isEmpty():
-        missed = found.where("hit < 2").select(*keys, "__item")
-        found = found.where("hit = 2").unionByName(
-            settle(_rank_everything(df, missed, first, keys, quantiles), "quantile-rest")
+    bounds = first.select(*keys, *[c for c in first.columns if c.startswith(("__n_", "__edge_"))])
+    found = _found(df, bounds, keys, quantiles)
+    missed = found.where("not hit")
+    if not missed.isEmpty():
+        groups = _equal_join(bounds, missed.select(*keys).distinct(), keys)
+        opened = groups.withColumns(
+            {f"__edge_{name}": F.lit(None).cast("array<double>") for name in quantiles}
         )
+        again = _found(df, settle(opened, "quantile-open"), keys, quantiles)
+        found = found.where("hit").unionByName(again).distinct()
     wide = found.groupBy(*keys).agg(
         *[
             F.max(F.when(F.col("__item") == name, F.col("result"))).alias(name)
@@ -75,72 +74,59 @@ def grouped_quantiles(
     )
 
 
-def _rank_inside(df, first, keys, quantiles) -> DataFrame:
-    """Per group and quantile: the value at the wanted rank if its bracket holds it."""
-    bounds = first.select(
-        *keys, *[c for c in first.columns if c.startswith(("__n_", "__edge_"))]
-    )
+def _found(df: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
+    """(keys, item, result, hit) for the groups in ``bounds``."""
+    folded = settle(_fold(df, bounds, keys, quantiles), "quantile-values")
+    return settle(_at_ranks(_sliced(folded, keys), bounds, keys, quantiles), "quantile-ranks")
+
+
+def _fold(df: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
+    """Copies of every value inside its bracket, and counts of those below and above."""
     items = []
     for name, (value, _) in quantiles.items():
         v, edge = F.col(f"__v_{value}"), F.col(f"__edge_{name}")
-        zone = F.when(v < edge[0], 0).when(v > edge[1], 2).otherwise(1)
+        zone = F.when(v < edge[0], BELOW).when(v > edge[1], ABOVE).otherwise(INSIDE)
         items.append(
             F.struct(
                 F.lit(name).alias("__item"),
-                zone.alias("__zone"),
-                F.when(zone == 1, v).alias("__value"),
-                v.isNull().alias("__skip"),
+                F.when(v.isNotNull(), zone).alias("__zone"),
+                F.when(zone == INSIDE, v).alias("__value"),
             )
         )
-    folded = (
+    return (
         join_settled(df, bounds, keys)
         .select(*keys, F.inline(F.array(*items)))
-        .where("not __skip")
+        .where("__zone is not null")
         .groupBy(*keys, "__item", "__zone", "__value")
         .agg(F.count(F.lit(1)).alias("__copies"))
     )
-    return _interpolate(folded, first, keys, quantiles)
-
 
-def _rank_everything(df, missed, first, keys, quantiles) -> DataFrame:
-    """Fallback for brackets that missed: rank over equal slices of the value range.
 
-    Each value goes to one of many slices by its own sketch of edges, slices are
-    counted, and cumulative ranks are taken slice by slice.
-    """
-    named = df.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("__item"), F.col(f"__v_{v}").alias("__value"))
-                    for n, (v, _) in quantiles.items()
-                ]
-            )
-        ),
-    ).where("__value is not null")
-    rows = join_settled(named, settle(missed, "quantile-missed"), [*keys, "__item"])
-    grid = [i / 200 for i in range(1, 200)]
+def _sliced(folded: DataFrame, keys) -> DataFrame:
+    """Cut brackets with more values than one task should sort into ordered slices."""
+    group = [*keys, "__item"]
+    sizes = folded.where(F.col("__zone") == INSIDE).groupBy(*group).count()
+    largest = sizes.agg(F.max("count")).first()[0] or 0
+    slices = math.ceil(largest / SORTED_VALUES)
+    if slices <= 1:
+        return folded
+    grid = [i / slices for i in range(1, slices)]
     edges = settle(
-        rows.groupBy(*keys, "__item").agg(
-            F.percentile_approx("__value", grid, SKETCH_ACCURACY).alias("__grid")
-        ),
-        "quantile-grid",
+        folded.where(F.col("__zone") == INSIDE)
+        .groupBy(*group)
+        .agg(F.percentile_approx("__value", grid, 10 * slices).alias("__grid")),
+        "quantile-slices",
     )
-    sliced = join_settled(rows, edges, [*keys, "__item"]).select(
-        *keys,
-        "__item",
-        F.size(F.filter("__grid", lambda e: e < F.col("__value"))).alias("__zone"),
-        "__value",
-    )
-    folded = sliced.groupBy(*keys, "__item", "__zone", "__value").agg(
-        F.count(F.lit(1)).alias("__copies")
-    )
-    return _interpolate(folded, first, keys, quantiles)
+    place = F.size(F.filter("__grid", lambda edge: edge < F.col("__value")))
+    return join_settled(folded, edges, group, "left").withColumn(
+        "__zone",
+        F.when(F.col("__zone") == INSIDE, place + INSIDE).otherwise(F.col("__zone")),
+    ).drop("__grid")
 
 
-def _interpolate(folded, first, keys, quantiles) -> DataFrame:
-    """Value at rank fraction*(n-1) from folded (zone, value, copies) rows."""
+def _at_ranks(folded: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
+    """Value at rank fraction*(n-1) from (zone, value, copies) rows."""
+    group = [*keys, "__item"]
     ranks = [
         F.struct(
             F.lit(name).alias("__item"),
@@ -148,18 +134,17 @@ def _interpolate(folded, first, keys, quantiles) -> DataFrame:
         )
         for name, (_, q) in quantiles.items()
     ]
-    wanted = first.select(*keys, F.inline(F.array(*ranks))).where("__rank >= 0")
-    zones = folded.groupBy(*keys, "__item", "__zone").agg(
-        F.sum("__copies").alias("__zone_copies")
-    )
-    in_group = Window.partitionBy(*keys, "__item").orderBy("__zone")
-    zones = zones.withColumn(
-        "__before", F.sum("__zone_copies").over(in_group) - F.col("__zone_copies")
-    ).drop("__zone_copies")
-    zone_keys = [*keys, "__item", "__zone"]
-    in_zone = Window.partitionBy(*zone_keys).orderBy("__value")
+    wanted = bounds.select(*keys, F.inline(F.array(*ranks))).where("__rank >= 0")
+    zones = folded.groupBy(*group, "__zone").agg(F.sum("__copies").alias("__zone_copies"))
+    in_group = Window.partitionBy(*group).orderBy("__zone")
+    starts = zones.select(
+        *group,
+        "__zone",
+        (F.sum("__zone_copies").over(in_group) - F.col("__zone_copies")).alias("__before"),
+    )
+    in_zone = Window.partitionBy(*group, "__zone").orderBy("__value")
     ranked = (
-        _equal_join(folded, zones, zone_keys)
+        _equal_join(folded, starts, [*group, "__zone"])
         .withColumn("__end", F.col("__before") + F.sum("__copies").over(in_zone))
         .withColumn("__start", F.col("__end") - F.col("__copies"))
     )
@@ -167,23 +152,19 @@ def _interpolate(folded, first, keys, quantiles) -> DataFrame:
     holds_low = (F.col("__start") <= low) & (low < F.col("__end"))
     holds_high = (F.col("__start") <= high) & (high < F.col("__end"))
     picked = (
-        _equal_join(ranked, wanted, [*keys, "__item"])
-        .groupBy(*keys, "__item", "__rank")
+        _equal_join(ranked, wanted, group)
+        .groupBy(*group, "__rank")
         .agg(
             F.max(F.when(holds_low, F.col("__value"))).alias("__low"),
             F.max(F.when(holds_high, F.col("__value"))).alias("__high"),
         )
     )
     weight = F.col("__rank") - F.floor("__rank")
+    step = F.when(weight > 0, (F.col("__high") - F.col("__low")) * weight).otherwise(0.0)
     return picked.select(
-        *keys,
-        "__item",
-        (
-            F.col("__low") + F.when(weight > 0, (F.col("__high") - F.col("__low")) * weight).otherwise(0.0)
-        ).alias("result"),
-        (
-            F.col("__low").isNotNull().cast("int") + F.col("__high").isNotNull().cast("int")
-        ).alias("hit"),
+        *group,
+        (F.col("__low") + step).alias("result"),
+        (F.col("__low").isNotNull() & F.col("__high").isNotNull()).alias("hit"),
     )
 
 
