@@ -14,6 +14,7 @@ from hearthgrid.operators.vintages import (
     sampled_to_metadata,
 )
 from hearthgrid.operators.weather import hourly_weather, one_key_per
+from hearthgrid.session import settle
 
 
 def building_metadata(raw_2022: DataFrame, raw_2024: DataFrame) -> DataFrame:
@@ -46,7 +47,11 @@ def annual_outputs(published: DataFrame, own_runs: DataFrame) -> DataFrame:
 
 
 def weather_table(readings: DataFrame, raw_metadata: DataFrame, **options) -> DataFrame:
-    """Hourly weather of one county per weather city."""
+    """Hourly weather of one county per weather city.
+
+    The station table is settled, so that its true size lets the planner broadcast it
+    instead of shuffling the readings.
+    """
     stations = one_key_per(
         raw_metadata.select(
             quoted("in.weather_file_city").alias("weather_file_city"),
@@ -56,6 +61,6 @@ def weather_table(readings: DataFrame, raw_metadata: DataFrame, **options) -> Da
         "county",
         "county_gisjoin",
     )
-    return hourly_weather(readings, stations, **options)
+    return hourly_weather(readings, settle(stations, "stations"), **options)
 
 

@@ -28,11 +28,11 @@ def feature_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """(building features, weather arrays), both with ``weather_file_city_index``.
 
-    The building features are settled once and audited there, so the audit and
-    the tables written from them share one computation.
+    Both are settled once: the index is read off the one-row-per-city arrays, and
+    the audit shares its computation with the tables written afterwards.
     """
-    weather = weather_arrays(hourly, variables)
-    indexer = fit_label_index(hourly, "weather_file_city")
+    weather = settle(weather_arrays(hourly, variables), "weather-arrays")
+    indexer = fit_label_index(weather.select("weather_file_city"), "weather_file_city")
     buildings = settle(index_labels(indexer, changed_scenarios(metadata)), "features")
     return require_no_nulls(buildings), index_labels(indexer, weather)
 
@@ -51,5 +51,5 @@ def sampled_features(
     features = settle(building_features(metadata), "sampled-features")
     reference = training_features.where("upgrade_id = 0.01")
     require_same_categories(reference, features, exclude=["building_set"])
-    indexer = fit_label_index(weather, "weather_file_city")
+    indexer = fit_label_index(weather.select("weather_file_city"), "weather_file_city")
     return index_labels(indexer, require_no_nulls(features))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from hearthgrid.functions.lookup import gisjoin_to_geoid, look_up
 from hearthgrid.operators.evaluation import (
     ATTRIBUTES,
     KEYS,
@@ -58,6 +60,41 @@ def model_rows(
     return rows.join(settle(summary, "weather-summary"), "weather_file_city", "left")
 
 
+# Communities and the codes of their counties.
+COMMUNITIES = {
+    "Pittsburgh": ("42003", "42007"),
+    "Rhode Island": ("44001", "44003", "44005", "44007", "44009"),
+    "Atlanta": ("13121", "13089", "13067", "13135", "13063"),
+    "Denver": ("08001", "08031", "08059", "08005", "08013", "08014", "08035"),
+}
+
+
+def community(county: str = "county") -> Column:
+    """Community of a county code; null outside of all communities."""
+    of_geoid = {geoid: name for name, geoids in COMMUNITIES.items() for geoid in geoids}
+    return look_up(gisjoin_to_geoid(county), of_geoid)
+
+
+def savings_rows(
+    features: DataFrame,
+    savings: DataFrame,
+    metadata: DataFrame,
+    targets: Sequence[str],
+    extra: Sequence[str],
+) -> DataFrame:
+    """Baseline features, savings and further metadata of each building, with its community.
+
+    Homes that already have a heat pump and mobile homes are left out.
+    """
+    homes = features.where(
+        (F.col("heating_appliance_type") != "ASHP") & ~F.col("is_mobile_home")
+    )
+    named = metadata.select("building_id", *extra, community().alias("community"))
+    return homes.join(savings.select("building_id", *targets), "building_id").join(
+        named, "building_id"
+    )
+
+
 def train_models(
     rows: DataFrame, names: Sequence[str], scenario_ids: Sequence[float], **options
 ) -> FuelModels:

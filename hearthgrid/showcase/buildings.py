@@ -11,7 +11,10 @@ from hearthgrid.operators.features import building_features as feature_job
 from hearthgrid.operators.features import fuel_presence
 from hearthgrid.operators.columns import fill_from
 from hearthgrid.operators.rules import apply_stage, rule
+from hearthgrid.functions.lookup import relabel
+from hearthgrid.operators.evaluation import savings_by_building
 from hearthgrid.plans.extract import building_metadata, sampled_metadata
+from hearthgrid.plans.model import savings_rows
 from hearthgrid.showcase.base import Registry, table
 from hearthgrid.showcase.buildings_sql import (
     ALIGNED_WITH,
@@ -390,6 +393,32 @@ def keyed_feature_check(spark, folder):
     return checked.groupBy("building_set").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
+@registry.add(
+    f"{FEATURES_WITH}, saved AS (SELECT o_custkey AS building_id, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cost_delta "
+    "FROM orders GROUP BY o_custkey) SELECT coalesce(CASE place WHEN 'G0100010' THEN 'Pittsburgh' WHEN 'G0600370' THEN 'Denver' END, 'none') AS community, "
+    "heating_appliance_type, count(*) AS n_homes, sum(cost_delta)::BIGINT AS cost_delta FROM features "
+    "JOIN saved USING (building_id) JOIN (SELECT building_id, county AS place FROM aligned) USING (building_id) "
+    "WHERE heating_appliance_type <> 'ASHP' AND NOT is_mobile_home GROUP BY ALL"
+)
+def savings_join(spark, folder):
+    """Features, savings and metadata joined per building."""
+    metadata = aligned(spark, folder)
+    named = {"G0100010": "G4200030", "G0600370": "G0800310"}
+    placed = metadata.withColumn("county", relabel("county", named))
+    savings = savings_by_building(
+        table(spark, folder, "orders").select(
+            F.col("o_custkey").alias("building_id"),
+            F.round(F.col("o_totalprice") * 100).cast("long").alias("cost_delta"),
+        ),
+        ["building_id"],
+        ["cost_delta"],
+    )
+    rows = savings_rows(feature_job(metadata), savings, placed, ["cost_delta"], ["tenure"])
+    return rows.groupBy(
+        F.coalesce("community", F.lit("none")).alias("community"), "heating_appliance_type"
+    ).agg(F.count(F.lit(1)).alias("n_homes"), F.sum("cost_delta").alias("cost_delta"))
+
+
 # --- older generations -------------------------------------------------------------
 
 LABEL_INPUT = {

@@ -48,12 +48,38 @@ def weather_readings(
     )
 
 
-def simulation_runs(spark: SparkSession, paths: Mapping[str, float]) -> DataFrame:
+def files_below(spark: SparkSession, directory: str) -> list[str]:
+    """Paths of the data files of a directory; the files themselves are not read."""
+    listed = spark.read.format("binaryFile").load(directory).select("path")
+    return sorted(r["path"] for r in listed.collect() if r["path"].endswith(".parquet"))
+
+
+def tables_by_schema(spark: SparkSession, directory: str) -> list[DataFrame]:
+    """One table per schema found among the files of a directory.
+
+    Files are grouped by schema, so the plan grows with the number of schemas and
+    not with the number of files.
+    """
+    groups: dict[str, list[str]] = {}
+    for path in files_below(spark, directory):
+        groups.setdefault(parquet(spark, path).schema.json(), []).append(path)
+    return [spark.read.parquet(*paths) for paths in groups.values()]
+
+
+def simulation_runs(
+    spark: SparkSession, paths: Mapping[str, float], mixed_schemas: bool = False
+) -> DataFrame:
     """Simulation outputs of many directories in one clean table.
 
-    ``paths`` maps each directory to its scenario id.
+    ``paths`` maps each directory to its scenario id. With ``mixed_schemas`` the
+    files of one directory may differ in their columns and types.
     """
-    return combine_outputs([(i, parquet(spark, path)) for path, i in paths.items()])
+    runs = [
+        (scenario_id, df)
+        for path, scenario_id in paths.items()
+        for df in (tables_by_schema(spark, path) if mixed_schemas else [parquet(spark, path)])
+    ]
+    return combine_outputs(runs)
 
 
 def reconciled(tables: list[DataFrame]) -> list[DataFrame]:

@@ -92,6 +92,26 @@ def test_simulation_directories(spark, tmp_path):
     assert found.schema["x_energy_consumption_kwh"].dataType.typeName() == "double"
 
 
+def test_files_of_one_directory_may_differ(spark, tmp_path):
+    path = f"{tmp_path}/mixed"
+    spark.range(2).select(F.col("id").alias("building_id"), F.lit(1).cast("long").alias("x_lb")).write.parquet(path)
+    spark.range(2, 4).select(F.col("id").alias("building_id"), F.lit(1.5).alias("x_lb")).write.mode("append").parquet(path)
+    found = readers.simulation_runs(spark, {path: 3.0}, mixed_schemas=True)
+    assert len(readers.tables_by_schema(spark, path)) == 2
+    assert [r["building_id"] for r in found.orderBy("building_id").collect()] == [0, 1, 2, 3]
+    assert found.agg(F.max("x_kg")).first()[0] == pytest.approx(1.5 * 0.45359237)
+
+
+def test_tables_bucketed_alike_join_without_a_shuffle(spark, database):
+    keys = ["building_id", "building_set"]
+    df = spark.range(1000).select(F.col("id").alias("building_id"), (F.col("id") % 3).cast("string").alias("building_set"), F.lit(1).alias("x"))
+    for name in ("stock.outputs", "stock.features"):
+        tables.save_keyed(df, name, keys, bucket_by=keys, buckets=4)
+    joined = spark.table("stock.outputs").hint("merge").join(spark.table("stock.features"), keys)
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 1000
+
+
 def test_enforced_schema(spark, tmp_path):
     spark.range(2).write.parquet(f"{tmp_path}/p")
     found = readers.parquet(spark, f"{tmp_path}/p", spark.createDataFrame([], "id long, more string").schema)
