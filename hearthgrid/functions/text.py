@@ -167,22 +167,26 @@ def temperature_f(c: Column | str, relative_to: float = 0.0, strict: bool = Fals
     return or_fail(value - relative_to if relative_to else value, c, "temperature", strict)
 
 
-def wall_ratios(c: Column | str) -> Column:
-    """Window-to-wall percentages of the sides in ``F9 B9 L9 R9``."""
-    return F.transform(
-        F.split(F.trim(as_col(c)), r"\s+"), lambda side: F.substring(side, 2, 9).try_cast("int")
-    )
+WALL_SIDES = 4
 
 
 def wall_ratio_total(c: Column | str, strict: bool = False) -> Column:
+    """Sum of the window-to-wall percentages of the four sides in ``F9 B9 L9 R9``.
+
+    Spelled out side by side, because a lambda over the split label would keep the
+    whole feature projection out of code generation.
+    """
     c = as_col(c)
-    total = F.aggregate(wall_ratios(c), F.lit(0), lambda total, side: total + side)
+    sides = F.split(F.trim(c), r"\s+")
+    terms = [
+        F.substring(F.get(sides, F.lit(i)), 2, 9).try_cast("int") for i in range(WALL_SIDES)
+    ]
+    total = F.when(F.size(sides) == WALL_SIDES, terms[0] + terms[1] + terms[2] + terms[3])
     return or_fail(total, c, "window area", strict)
 
 
 def wall_ratio_mean(c: Column | str, strict: bool = False) -> Column:
-    c = as_col(c)
-    return wall_ratio_total(c, strict).cast("double") / F.size(wall_ratios(c))
+    return wall_ratio_total(c, strict).cast("double") / WALL_SIDES
 
 
 def energy_factor(c: Column | str, strict: bool = False) -> Column:

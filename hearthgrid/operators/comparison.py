@@ -48,7 +48,7 @@ def comparable_errors(
         (F.col("fuel") == "total")
         & ~F.col("baseline_appliance").isin("Heat Pump", "No Heating")
     )
-    return kept.join(F.broadcast(names), "upgrade_id").select(
+    return kept.join(names, "upgrade_id").select(
         "version",
         "building_id",
         "upgrade_id",

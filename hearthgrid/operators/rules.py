@@ -22,7 +22,8 @@ class Rule:
     when: Callable[[], Column] | None = None
 
     def applies(self, scenario_column: str) -> Column:
-        chosen = F.col(scenario_column).isin(sorted(self.scenarios))
+        ids = ", ".join(f"{s!r}D" for s in sorted(self.scenarios))
+        chosen = F.expr(f"`{scenario_column}` IN ({ids})")
         return chosen if self.when is None else chosen & self.when()
 
 

@@ -19,6 +19,7 @@ from hearthgrid.sources.dimensions import (
     ceiling_targets,
     heat_pump_curves,
     heat_pump_ratings,
+    literal,
 )
 
 # Scenario id -> (name, building set whose baseline it starts from).
@@ -302,14 +303,15 @@ def apply_scenario(features: DataFrame, scenario_id: float) -> DataFrame:
 def catalogue(spark: SparkSession, scenario_ids: Sequence[float] | None = None) -> DataFrame:
     chosen = CATALOGUE if scenario_ids is None else {float(s) for s in scenario_ids}
     rows = [(i, *CATALOGUE[i]) for i in sorted(chosen)]
-    return spark.createDataFrame(
-        rows, "upgrade_id double, upgrade_name string, building_set string"
-    )
+    return literal(spark, rows, "upgrade_id double, upgrade_name string, building_set string")
 
 
 def fan_out(features: DataFrame, scenarios: DataFrame, on: Sequence[str]) -> DataFrame:
-    """One row per building and scenario of its set, from a small scenario table."""
-    return features.join(F.broadcast(scenarios), list(on))
+    """One row per building and scenario of its set.
+
+    A literal scenario table has a known size and is broadcast without being told to.
+    """
+    return features.join(scenarios, list(on))
 
 
 def scenario_features(
@@ -348,23 +350,24 @@ def flag_changed(
         *[F.count_if(F.col(scenario_column) == s).alias(f"__n{i}") for i, s in enumerate(ordered)]
     )
     kind = df.schema[scenario_column].dataType
-    present = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(f"__n{i}") > 0,
-                    F.struct(F.lit(s).cast(kind).alias("id"), F.col(f"__n{i}").alias("copies")),
-                )
-                for i, s in enumerate(ordered)
-            ]
+    present = {
+        i: F.when(F.col(f"__n{i}") > 0, F.lit(s).cast(kind)) for i, s in enumerate(ordered)
+    }
+    per_scenario = [
+        F.struct(c.alias(scenario_column), F.col(f"__n{i}").alias("__copies"))
+        for i, c in present.items()
+    ]
+    first = F.coalesce(*present.values())
+    rows = (
+        counted.select(*compared, first.alias("__first"), F.inline(F.array(*per_scenario)))
+        .where(F.col(scenario_column).isNotNull())
+        .select(
+            *compared,
+            scenario_column,
+            (F.col(scenario_column) == F.col("__first")).alias("applicability"),
+            F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"),
         )
     )
-    rows = counted.select(*compared, F.posexplode(present).alias("__place", "__row")).select(
-        *compared,
-        F.col("__row.id").alias(scenario_column),
-        (F.col("__place") == 0).alias("applicability"),
-        F.explode(F.sequence(F.lit(1), F.col("__row.copies"))).alias("__copy"),
-    )
     if names:
         labels = map_literal({i: name for i, (name, _) in CATALOGUE.items()})
         rows = rows.withColumn(names, labels[F.col(scenario_column)])

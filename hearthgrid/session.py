@@ -15,6 +15,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Methods beyond this size are never compiled by the JVM. Projections as wide as the
+    # feature and scenario jobs run twice as fast as several smaller methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Call-site capture on every Column costs more than building these wide plans.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -22,6 +25,16 @@ SESSION_CONF = {
 # A side with at most this many rows may be copied to every executor.
 BROADCAST_ROWS = 200_000
 
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the settings that a running session can still take."""
+    for key, value in SESSION_CONF.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 _test_folders: dict[str, str] = {}
 
 

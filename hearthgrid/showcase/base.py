@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hearthgrid.session import configure
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,7 +22,12 @@ class Registry:
     def add(self, sql: str | None = None) -> Callable[[Query], Query]:
         def register(query: Query) -> Query:
             name = query.__name__
-            self.queries[name] = query
+
+            @wraps(query)
+            def configured(spark: SparkSession, folder: str) -> DataFrame:
+                return query(configure(spark), folder)
+
+            self.queries[name] = configured
             if sql is not None:
                 self.sql[name] = sql
             return query

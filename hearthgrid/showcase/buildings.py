@@ -30,7 +30,7 @@ from hearthgrid.showcase.stock import (
     raw_metadata_sql,
     spark_pick,
 )
-from hearthgrid.sources.dimensions import ceiling_targets
+from hearthgrid.sources.dimensions import ceiling_targets, literal
 
 registry = Registry()
 
@@ -167,7 +167,8 @@ def applicability_mismatch(spark, folder):
     "FROM customer, s WHERE scenario <> 2 OR c_mktsegment = 'BUILDING'"
 )
 def scenario_fanout(spark, folder):
-    plan = spark.createDataFrame(
+    plan = literal(
+        spark,
         [("BUILDING", i, f) for i, f in ((0, 1), (1, 2), (2, 3))]
         + [(s, i, f) for s in ("AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE") for i, f in ((0, 1), (1, 2))],
         "c_mktsegment string, scenario int, factor int",
@@ -321,8 +322,8 @@ def choice_by_size(spark, folder):
     "FROM part LEFT JOIN curve ON label = p_type"
 )
 def curve_attach_impute(spark, folder):
-    curves = spark.createDataFrame(
-        [("ECONOMY", 3.8, 0.98), ("PROMO", 4.23, None)], "p_type string, cop double, retention double"
+    curves = literal(
+        spark, [("ECONOMY", 3.8, 0.98), ("PROMO", 4.23, None)], "p_type string, cop double, retention double"
     )
     parts = table(spark, folder, "part").select(
         "p_partkey", "p_type", F.col("p_size").cast("double").alias("nominal")

@@ -2,7 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+ARROW_TYPES = {
+    T.StringType(): pa.string(),
+    T.DoubleType(): pa.float64(),
+    T.IntegerType(): pa.int32(),
+    T.LongType(): pa.int64(),
+}
+
+
+def literal(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table held in the plan itself: its size is known and reading it takes no task."""
+    fields = T.StructType.fromDDL(schema).fields
+    columns = {
+        field.name: pa.array([row[i] for row in rows], ARROW_TYPES[field.dataType])
+        for i, field in enumerate(fields)
+    }
+    return spark.createDataFrame(pa.table(columns), schema)
 
 # Window description -> (U-factor, solar heat gain coefficient).
 WINDOWS = [
@@ -116,8 +137,8 @@ HEAT_PUMP_RATINGS = {
 
 
 def windows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        WINDOWS, "windows string, window_ufactor double, window_shgc double"
+    return literal(
+        spark, WINDOWS, "windows string, window_ufactor double, window_shgc double"
     )
 
 
@@ -127,32 +148,32 @@ def floor_area(spark: SparkSession) -> DataFrame:
         for area, by_type in FLOOR_AREA.items()
         for kind, sqft in zip(FLOOR_AREA_TYPES, by_type)
     ]
-    return spark.createDataFrame(
-        rows, "geometry_floor_area string, geometry_building_type_acs string, sqft int"
+    return literal(
+        spark, rows, "geometry_floor_area string, geometry_building_type_acs string, sqft int"
     )
 
 
 def ceiling_targets(spark: SparkSession) -> DataFrame:
     rows = [(zone, *limits) for zone, limits in CEILING_TARGETS.items()]
-    return spark.createDataFrame(
-        rows, "climate_zone_temp int, ceiling_threshold int, ceiling_target int"
+    return literal(
+        spark, rows, "climate_zone_temp int, ceiling_threshold int, ceiling_target int"
     )
 
 
 def heat_pump_curves(spark: SparkSession) -> DataFrame:
     rows = [(label, *curve) for label, curve in HEAT_PUMP_CURVES.items()]
     columns = ", ".join(f"{name} double" for name in RETENTIONS + COPS)
-    return spark.createDataFrame(rows, f"hvac_heating_efficiency string, {columns}")
+    return literal(spark, rows, f"hvac_heating_efficiency string, {columns}")
 
 
 def heat_pump_ratings(spark: SparkSession) -> DataFrame:
     rows = [(label, *ratings) for label, ratings in HEAT_PUMP_RATINGS.items()]
-    return spark.createDataFrame(
-        rows, "hp_label string, hp_heating_fraction double, hp_cooling_eer double"
+    return literal(
+        spark, rows, "hp_label string, hp_heating_fraction double, hp_cooling_eer double"
     )
 
 
 def label_index(spark: SparkSession, labels: list[str], first: int = 0) -> DataFrame:
     """Two-column table of labels and their positions."""
     rows = [(label, i) for i, label in enumerate(labels, first)]
-    return spark.createDataFrame(rows, "label string, label_index int")
+    return literal(spark, rows, "label string, label_index int")

@@ -145,3 +145,10 @@ def test_filters_reach_the_scan(spark, folder):
     assert any("In(l_linenumber" in s or "l_linenumber" in s.split("PushedFilters")[-1] for s in scans) or any(
         "PushedFilters: [IsNotNull(o_orderstatus)" in s for s in scans
     )
+
+
+def test_literal_tables_take_no_task_and_are_broadcast(spark):
+    names = scenarios.catalogue(spark)
+    assert "LocalTableScan" in plan(names)
+    joined = spark.range(10).selectExpr("id", "cast(id as double) as upgrade_id").join(names, "upgrade_id")
+    assert "BroadcastHashJoin" in plan(joined)
