@@ -175,7 +175,8 @@ def cross_scenario_trends(
 
     A model tells scenarios apart if the slope is nearest to one where the two
     scenarios agree. Predictions are attached as columns of the building, and the
-    trend lines are plain aggregates over its rows.
+    trend lines are plain aggregates over its rows. ``df`` is read twice: settle it
+    first unless it is a table.
     """
     wide = _per_scenario(
         df.withColumn("__p", F.col(prediction)), building, scenario, scenarios, ["__p"]

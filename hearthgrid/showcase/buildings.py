@@ -375,8 +375,13 @@ def drop_unchanged_scenarios(spark, folder):
 def presence_flags(spark, folder):
     lines = table(spark, folder, "lineitem")
     fuels = {"A": "Natural Gas", "N": "Fuel Oil", "R": "Propane"}
-    held = lines.groupBy("l_orderkey").agg(
-        *[F.max(F.when(F.col("l_returnflag") == f, fuel)).alias(f"fuel_{f}") for f, fuel in fuels.items()]
+    held = (
+        lines.groupBy("l_orderkey")
+        .agg(*[F.max(F.col("l_returnflag") == f).alias(f"has_{f}") for f in fuels])
+        .select(
+            "l_orderkey",
+            *[F.when(F.col(f"has_{f}"), fuel).alias(f"fuel_{f}") for f, fuel in fuels.items()],
+        )
     )
     orders = table(spark, folder, "orders").select(
         "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").alias("has_gas_grill")

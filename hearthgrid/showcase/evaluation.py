@@ -391,7 +391,7 @@ def cross_scenario_trends(spark, folder):
         {"actual": F.col("actual") / 1e6, "prediction": F.col("prediction") / 1e6}
     )
     trends = comparison.cross_scenario_trends(
-        rows, ["l_orderkey"], "l_linenumber", range(1, 8)
+        settle(rows, "ordered-lines"), ["l_orderkey"], "l_linenumber", range(1, 8)
     )
     return trends.select(
         F.col("l_linenumber").alias("scenario"),

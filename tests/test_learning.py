@@ -44,6 +44,21 @@ def test_down_sampling(spark):
     assert whole.isEmpty()
 
 
+def test_shuffling_depends_on_key_and_seed_only(spark):
+    df = spark.range(50)
+    once = [r["id"] for r in splits.shuffled(df, ["id"], 1).collect()]
+    again = [r["id"] for r in splits.shuffled(df.repartition(9), ["id"], 1).collect()]
+    other = [r["id"] for r in splits.shuffled(df, ["id"], 2).collect()]
+    assert once == again and once != other and sorted(once) == list(range(50))
+
+
+def test_community_of_a_county(spark):
+    from hearthgrid.plans.model import community
+
+    df = spark.createDataFrame([("G4200030",), ("G0800310",), ("G9900010",)], "county string")
+    assert [r[0] for r in df.select(community()).collect()] == ["Pittsburgh", "Denver", None]
+
+
 def test_weights(spark):
     assert splits.baseline_weight([0.0, 0.01, 1.0, 3.0], [0.0, 0.01]) == 1.0
     with pytest.raises(ValueError, match="baseline"):
