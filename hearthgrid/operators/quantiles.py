@@ -56,7 +56,7 @@ def grouped_quantiles(
     found = _found(df, bounds, keys, quantiles)
     missed = found.where("not hit")
     if not missed.isEmpty():
-        groups = _equal_join(bounds, missed.select(*keys).distinct(), keys)
+        groups = join_settled(bounds, missed.select(*keys).distinct(), keys)
         opened = groups.withColumns(
             {f"__edge_{name}": F.lit(None).cast("array<double>") for name in quantiles}
         )
@@ -69,7 +69,7 @@ def grouped_quantiles(
         ]
     )
     carried = [c for c in first.columns if not c.startswith("__") and c not in keys]
-    return _equal_join(first.select(*keys, *carried), wide, keys, "left").select(
+    return join_settled(first.select(*keys, *carried), wide, keys, "left").select(
         *keys, *carried, *quantiles
     )
 
@@ -144,7 +144,7 @@ def _at_ranks(folded: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFram
     )
     in_zone = Window.partitionBy(*group, "__zone").orderBy("__value")
     ranked = (
-        _equal_join(folded, starts, [*group, "__zone"])
+        join_settled(folded, starts, [*group, "__zone"])
         .withColumn("__end", F.col("__before") + F.sum("__copies").over(in_zone))
         .withColumn("__start", F.col("__end") - F.col("__copies"))
     )
@@ -152,7 +152,7 @@ def _at_ranks(folded: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFram
     holds_low = (F.col("__start") <= low) & (low < F.col("__end"))
     holds_high = (F.col("__start") <= high) & (high < F.col("__end"))
     picked = (
-        _equal_join(ranked, wanted, group)
+        join_settled(ranked, wanted, group)
         .groupBy(*group, "__rank")
         .agg(
             F.max(F.when(holds_low, F.col("__value"))).alias("__low"),
@@ -168,17 +168,6 @@ def _at_ranks(folded: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFram
     )
 
 
-def _equal_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how="inner") -> DataFrame:
-    """Join on keys that may be null."""
-    other = right.select(
-        *[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns]
-    )
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(other[f"__r_{key}"])
-    return left.join(other, condition, how).drop(*[f"__r_{key}" for key in keys])
-
-
 def percentile_band(
     df: DataFrame,
     keys: Sequence[str],

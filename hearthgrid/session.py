@@ -1,4 +1,4 @@
-"""Session settings, the shared work folder and size-checked joins."""
+"""Session settings, the shared work folder and joins of settled tables."""
 
 from __future__ import annotations
 
@@ -22,10 +22,6 @@ SESSION_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-# A side with at most this many rows may be copied to every executor.
-BROADCAST_ROWS = 200_000
-
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings that a running session can still take."""
@@ -72,29 +68,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; stops counting beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def join_settled(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:
-    """Join a settled table: broadcast when its row count allows, shuffle otherwise.
+    """Join a settled table on keys that may be null.
 
-    Keys match null-safely, because the right side usually comes from a
-    ``groupBy`` over the left, where null is a group like any other.
+    The right side usually comes from a ``groupBy`` over the left, where null is a
+    group like any other. No hint is given: the planner knows the size of the files
+    and broadcasts them below its threshold, and beyond it the shuffle join is one
+    that adaptive execution can split.
     """
-    small = fits_broadcast(right, max_rows)
     renamed = right.select(
         *[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in right.columns]
     )
     condition = F.lit(True)
     for key in on:
         condition = condition & left[key].eqNullSafe(renamed[f"__{key}"])
-    side = F.broadcast(renamed) if small else renamed
-    return left.join(side, condition, how).drop(*[f"__{key}" for key in on])
+    return left.join(renamed, condition, how).drop(*[f"__{key}" for key in on])

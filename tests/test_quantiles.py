@@ -95,12 +95,21 @@ def test_band(spark):
     assert strict.agg(F.min("v"), F.max("v"), F.count("v")).first() == (6.0, 94.0, 89)
 
 
-def test_bound_on_broadcast_only_changes_the_plan(spark):
+def test_size_only_changes_the_plan(spark):
     from hearthgrid.session import join_settled, settle
 
+    def joined():
+        df = join_settled(left, right, ["k"])
+        return df._jdf.queryExecution().executedPlan().toString(), set(df.collect())
+
     left = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], "k string, n int")
     right = settle(spark.createDataFrame([("a", 10), (None, 20)], "k string, m int"), "right")
-    small = join_settled(left, right, ["k"])
-    large = join_settled(left, right, ["k"], max_rows=1)
-    assert set(small.collect()) == set(large.collect())
-    assert sorted(r["m"] for r in small.collect()) == [10, 20]
+    plan, rows = joined()
+    assert "BroadcastHashJoin" in plan and {r["m"] for r in rows} == {10, 20}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        large_plan, large_rows = joined()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in large_plan and large_rows == rows
