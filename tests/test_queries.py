@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from hearthgrid import showcase
 from tests.oracle import connect, differences
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = showcase.all_queries()
+SQL = showcase.all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +33,10 @@ def test_query(spark, folder, connection, name):
         assert not df.isEmpty()
 
 
+def test_entry_has_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_flagship(spark, folder):
     df = entry.entry(spark)
     assert df.count() > 0 and "median_absolute_error" in df.columns
