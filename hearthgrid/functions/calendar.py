@@ -35,6 +35,24 @@ def hour_of_year(ts: Column | str) -> Column:
     return (F.dayofyear(ts) - 1) * 24 + F.hour(ts)
 
 
+def label_hour(label: Column | str) -> Column:
+    """0-based hour of a year of 365 days from an hour label; 29 February counts as the 28th."""
+    label = as_col(label)
+    day = F.substring(label, 1, 5)
+    common = F.concat(F.lit("2001-"), F.when(day == "02-29", "02-28").otherwise(day))
+    return (F.dayofyear(F.to_date(common)) - 1) * 24 + F.substring(label, 7, 2).cast("int")
+
+
+def time_step(hour: Column | str, granularity: str) -> Column:
+    """0-based time step of an hour of the year.
+
+    Steps have equal length. Hours past 8760, which only a leap year's count reaches,
+    belong to the last step, so no hour is lost and no further step opens.
+    """
+    last = STEPS_PER_YEAR.get(granularity, 1) - 1
+    return F.least(F.floor(as_col(hour) / step_length(granularity)), F.lit(last)).cast("int")
+
+
 def step_length(granularity: str) -> int:
     """Hours per time step of a year cut into equal steps."""
     if granularity not in STEPS_PER_YEAR:

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.operators.columns import quoted
 
-# Scenario catalogues are small by nature; wide rows rely on it.
-MAX_SCENARIOS = 64
-
 
 def table_difference(previous: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New minus previous for every column, over all keys of either side."""
@@ -71,16 +68,20 @@ def _per_scenario(
 ) -> DataFrame:
     """One row per building with one column per scenario and measure.
 
-    Fixed-size buffers, folded on the map side: no list of a building's rows is
-    ever gathered. A scenario outside the catalogue fails the job.
+    Buffers as wide as the catalogue, folded on the map side: no list of a building's
+    rows is ever gathered. A scenario outside the catalogue fails the job, and so does a
+    building with several rows of one scenario: there is no one value to compare.
     """
-    if len(scenarios) > MAX_SCENARIOS:
-        raise ValueError(f"at most {MAX_SCENARIOS} scenarios can be compared")
     known = F.when(F.col(scenario).isin(list(scenarios)), F.col(scenario)).otherwise(
         F.raise_error(F.concat(F.lit("unknown scenario "), F.col(scenario).cast("string")))
     )
     checked = df.withColumn("__scenario", known)
-    return checked.groupBy(*building).agg(
+    repeated = F.raise_error(F.concat(F.lit("several rows of one scenario: "), F.to_json(F.struct(*building))))
+
+    def once(i: int) -> Column:
+        return F.when(F.col(f"n__{i}") > 1, repeated).otherwise(F.col(f"n__{i}")).cast("long")
+
+    counted = checked.groupBy(*building).agg(
         *[
             F.max(F.when(F.col("__scenario") == s, F.col(c))).alias(f"{c}__{i}")
             for i, s in enumerate(scenarios)
@@ -88,6 +89,7 @@ def _per_scenario(
         ],
         *[F.count_if(F.col("__scenario") == s).alias(f"n__{i}") for i, s in enumerate(scenarios)],
     )
+    return counted.where(sum((once(i) for i in range(len(scenarios))), F.lit(0)) > 0)
 
 
 def ordering_errors(

@@ -11,6 +11,7 @@ from hearthgrid.functions import metrics
 from hearthgrid.functions.lookup import relabel
 from hearthgrid.functions.text import prettify
 from hearthgrid.operators.quantiles import grouped_quantiles
+from hearthgrid.session import join_settled
 
 KEYS = ("building_id", "upgrade_id", "building_set")
 ATTRIBUTES = ("heating_fuel", "ac_type", "water_heater_fuel")
@@ -104,13 +105,13 @@ def with_baseline_values(
     """Attach each group's values at its lowest ``order``.
 
     An aggregate folds on the map side and the join splits heavy groups, where a
-    window would send a whole group to one task.
+    window would send a whole group to one task. Null is a group like any other.
     """
     values = [
         (F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()
     ]
     first = df.groupBy(*group).agg(F.min_by(F.struct(*values), order).alias("__first"))
-    return df.join(first.select(*group, "__first.*"), list(group))
+    return join_settled(df, first.select(*group, "__first.*"), list(group))
 
 
 def presentable_types() -> dict[str, Column]:

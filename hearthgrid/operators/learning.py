@@ -11,61 +11,59 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
-    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthgrid.operators.evaluation import value_spread
-from hearthgrid.sources.dimensions import label_index
+from hearthgrid.session import settle
 
 FUELS = ("electricity", "natural_gas", "fuel_oil", "propane")
-MAX_LABELS = 100_000
 
 
-def fit_label_index(df: DataFrame, column: str) -> StringIndexerModel:
-    """Alphabetical index of the labels of one column.
+def fit_label_index(df: DataFrame, column: str) -> DataFrame:
+    """Alphabetical index of the labels of one column, as a table of label and index.
 
-    The label list lives on the driver, so its size is checked first.
+    Labels are sorted by range over all tasks; a label's index is its place in its range
+    plus the sizes of the ranges before it. No task and no driver holds all labels.
     """
-    if df.select(column).distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"{column} has more than {MAX_LABELS} labels")
-    return StringIndexer(
-        inputCol=column,
-        outputCol=f"{column}_index",
-        stringOrderType="alphabetAsc",
-        handleInvalid="skip",
-    ).fit(df.drop(f"{column}_index"))
+    labels = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = settle(
+        labels.withColumns({"__range": F.spark_partition_id(), "__place": place}), "labels"
+    )
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select(
+        "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    index = (F.col("__start") + F.col("__place")).cast("int").alias(f"{column}_index")
+    return settle(ordered.join(starts, "__range").select(column, index), "label-index")
 
 
-def index_labels(indexer: StringIndexerModel, df: DataFrame) -> DataFrame:
-    """Add the integer index; rows with unknown labels are left out."""
-    name = indexer.getOutputCol()
-    return indexer.transform(df.drop(name)).withColumn(name, F.col(name).cast("int"))
+def index_labels(mapping: DataFrame, df: DataFrame) -> DataFrame:
+    """Add the integer index; rows with unknown or no labels are left out."""
+    column, index = mapping.columns
+    return df.drop(index).join(mapping, column).select(*df.drop(index).columns, index)
 
 
-def label_table(indexer: StringIndexerModel, df: DataFrame, first: int = 0) -> DataFrame:
-    """The label-to-index mapping as a table."""
-    return label_index(df.sparkSession, list(indexer.labels), first)
+def label_table(mapping: DataFrame, first: int = 0) -> DataFrame:
+    """The label-to-index mapping, counted from ``first``."""
+    column, index = mapping.columns
+    return mapping.select(F.col(column).alias("label"), (F.col(index) + first).alias("label_index"))
 
 
-def vocabulary(df: DataFrame, features: Sequence[str]) -> dict[str, list[str]]:
-    """Distinct labels of every string feature; empty for the others."""
+def vocabulary(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, label): the distinct labels of every string feature."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     strings = [f for f in features if isinstance(kinds[f], T.StringType)]
-    found: dict[str, list[str]] = {f: [] for f in features}
-    if strings:
-        pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("label")) for f in strings]
-        rows = df.select(F.inline(F.array(*pairs))).where("label is not null").distinct()
-        if rows.limit(MAX_LABELS + 1).count() > MAX_LABELS:
-            raise ValueError(f"more than {MAX_LABELS} labels")
-        for r in rows.orderBy("feature", "label").collect():
-            found[r["feature"]].append(r["label"])
-    return found
+    if not strings:
+        return df.sparkSession.createDataFrame([], "feature string, label string")
+    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("label")) for f in strings]
+    return df.select(F.inline(F.array(*pairs))).where("label is not null").distinct()
 
 
 @dataclass(frozen=True)

@@ -3,14 +3,13 @@
 Spark's exact ``median``/``percentile`` keep every distinct value of a group in one
 buffer. Here a sketch first brackets each wanted quantile between two nearby
 values; a second pass folds everything below and above the bracket into two
-counts and only ranks the few values inside it. The sketch decides how much work
-the second pass has, never the result: a bracket that turns out to miss its rank
-is opened and counted again, and one that holds many values is ranked in slices.
+counts and only ranks the few values inside it, in slices of the bracket. Brackets are
+wider than the sketch's error and the distance to the next rank together, so they hold
+the ranks; should one not, the job fails instead of giving another value.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,9 +18,11 @@ from pyspark.sql import functions as F
 from hearthgrid.session import join_settled, settle
 
 SKETCH_ACCURACY = 2_000
-MARGIN = 2.0 / SKETCH_ACCURACY
-# Distinct values that one task may sort.
-SORTED_VALUES = 2_000_000
+# Half widths of brackets, and the number of values from which each is wide enough: above
+# the sketch's error (1 / accuracy) plus two ranks. Smaller groups are all bracket.
+MARGINS = ((0.0015, 10_000), (0.02, 200))
+# Parts of a bracket that are ranked apart; they follow from the value alone.
+SLICES = 1_000
 BELOW, INSIDE, ABOVE = 0, 1, 1_000_000
 
 
@@ -34,39 +35,19 @@ def grouped_quantiles(
     """One row per group with exact, linearly interpolated quantiles.
 
     ``quantiles`` maps an output name to (value column, fraction). ``extra``
-    aggregates ride along on the first pass over the data.
+    aggregates ride along on the first pass over the data. The two passes are stored:
+    one row per group, and the values inside brackets.
     """
     keys = list(keys)
     values = {value for value, _ in quantiles.values()}
     df = df.withColumns({f"__v_{v}": F.col(v).cast("double") for v in values})
-    first = settle(
-        df.groupBy(*keys).agg(
-            *extra,
-            *[F.count(f"__v_{v}").alias(f"__n_{name}") for name, (v, _) in quantiles.items()],
-            *[
-                F.percentile_approx(
-                    f"__v_{v}", [max(0.0, q - MARGIN), min(1.0, q + MARGIN)], SKETCH_ACCURACY
-                ).alias(f"__edge_{name}")
-                for name, (v, q) in quantiles.items()
-            ],
-        ),
-        "quantile-edges",
-    )
+    first = settle(_edges(df, keys, quantiles, extra), "quantile-edges")
     bounds = first.select(*keys, *[c for c in first.columns if c.startswith(("__n_", "__edge_"))])
-    found = _found(df, bounds, keys, quantiles)
-    missed = found.where("not hit")
-    if not missed.isEmpty():
-        groups = join_settled(bounds, missed.select(*keys).distinct(), keys)
-        opened = groups.withColumns(
-            {f"__edge_{name}": F.lit(None).cast("array<double>") for name in quantiles}
-        )
-        again = _found(df, settle(opened, "quantile-open"), keys, quantiles)
-        found = found.where("hit").unionByName(again).distinct()
-    wide = found.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("__item") == name, F.col("result"))).alias(name)
-            for name in quantiles
-        ]
+    folded = settle(_fold(df, bounds, keys, quantiles), "quantile-values")
+    wide = (
+        _at_ranks(folded, bounds, keys, quantiles)
+        .groupBy(*keys)
+        .agg(*[F.max(F.when(F.col("__item") == name, F.col("result"))).alias(name) for name in quantiles])
     )
     carried = [c for c in first.columns if not c.startswith("__") and c not in keys]
     return join_settled(first.select(*keys, *carried), wide, keys, "left").select(
@@ -74,23 +55,48 @@ def grouped_quantiles(
     )
 
 
-def _found(df: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
-    """(keys, item, result, hit) for the groups in ``bounds``."""
-    folded = settle(_fold(df, bounds, keys, quantiles), "quantile-values")
-    return settle(_at_ranks(_sliced(folded, keys), bounds, keys, quantiles), "quantile-ranks")
+def _edges(df: DataFrame, keys, quantiles, extra) -> DataFrame:
+    """Per group the number of values and the bracket of every quantile; null if open."""
+    sketched = df.groupBy(*keys).agg(
+        *extra,
+        *[F.count(f"__v_{v}").alias(f"__n_{name}") for name, (v, _) in quantiles.items()],
+        *[
+            F.percentile_approx(
+                f"__v_{v}",
+                [min(1.0, max(0.0, q + side * m)) for m, _ in MARGINS for side in (-1, 1)],
+                SKETCH_ACCURACY,
+            ).alias(f"__edge_{name}")
+            for name, (v, q) in quantiles.items()
+        ],
+    )
+
+    def bracket(name: str) -> Column:
+        edge = None
+        for i, (_, least) in enumerate(MARGINS):
+            pair = F.slice(f"__edge_{name}", 2 * i + 1, 2)
+            enough = F.col(f"__n_{name}") >= least
+            edge = F.when(enough, pair) if edge is None else edge.when(enough, pair)
+        return edge
+
+    return sketched.withColumns({f"__edge_{name}": bracket(name) for name in quantiles})
 
 
 def _fold(df: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
-    """Copies of every value inside its bracket, and counts of those below and above."""
+    """Copies of every value inside its bracket, and counts of those below and above.
+
+    Zones are in the order of values: below, the slices of the bracket, above.
+    """
     items = []
     for name, (value, _) in quantiles.items():
         v, edge = F.col(f"__v_{value}"), F.col(f"__edge_{name}")
-        zone = F.when(v < edge[0], BELOW).when(v > edge[1], ABOVE).otherwise(INSIDE)
+        place = F.floor(F.try_divide(v - edge[0], edge[1] - edge[0]) * SLICES)
+        inside = INSIDE + F.coalesce(F.least(place, F.lit(SLICES - 1)), F.lit(0)).cast("int")
+        zone = F.when(v < edge[0], BELOW).when(v > edge[1], ABOVE).otherwise(inside)
         items.append(
             F.struct(
                 F.lit(name).alias("__item"),
                 F.when(v.isNotNull(), zone).alias("__zone"),
-                F.when(zone == INSIDE, v).alias("__value"),
+                F.when(~zone.isin(BELOW, ABOVE), v).alias("__value"),
             )
         )
     return (
@@ -102,28 +108,6 @@ def _fold(df: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
     )
 
 
-def _sliced(folded: DataFrame, keys) -> DataFrame:
-    """Cut brackets with more values than one task should sort into ordered slices."""
-    group = [*keys, "__item"]
-    sizes = folded.where(F.col("__zone") == INSIDE).groupBy(*group).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    slices = math.ceil(largest / SORTED_VALUES)
-    if slices <= 1:
-        return folded
-    grid = [i / slices for i in range(1, slices)]
-    edges = settle(
-        folded.where(F.col("__zone") == INSIDE)
-        .groupBy(*group)
-        .agg(F.percentile_approx("__value", grid, 10 * slices).alias("__grid")),
-        "quantile-slices",
-    )
-    place = F.size(F.filter("__grid", lambda edge: edge < F.col("__value")))
-    return join_settled(folded, edges, group, "left").withColumn(
-        "__zone",
-        F.when(F.col("__zone") == INSIDE, place + INSIDE).otherwise(F.col("__zone")),
-    ).drop("__grid")
-
-
 def _at_ranks(folded: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
     """Value at rank fraction*(n-1) from (zone, value, copies) rows."""
     group = [*keys, "__item"]
@@ -161,11 +145,9 @@ def _at_ranks(folded: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFram
     )
     weight = F.col("__rank") - F.floor("__rank")
     step = F.when(weight > 0, (F.col("__high") - F.col("__low")) * weight).otherwise(0.0)
-    return picked.select(
-        *group,
-        (F.col("__low") + step).alias("result"),
-        (F.col("__low").isNotNull() & F.col("__high").isNotNull()).alias("hit"),
-    )
+    held = F.col("__low").isNotNull() & F.col("__high").isNotNull()
+    missed = F.raise_error(F.lit("a bracket does not hold its quantile")).cast("double")
+    return picked.select(*group, F.when(held, F.col("__low") + step).otherwise(missed).alias("result"))
 
 
 def percentile_band(

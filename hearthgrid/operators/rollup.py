@@ -120,9 +120,8 @@ def step_sums(
     granularity: str,
     hour_index: str = "hour_index",
 ) -> DataFrame:
-    """Sum of each measure by time steps of equal length."""
-    length = calendar.step_length(granularity)
-    step = F.floor(F.col(hour_index) / length).cast("int").alias("time_step")
+    """Sum of each measure by the time steps of :func:`calendar.time_step`."""
+    step = calendar.time_step(hour_index, granularity).alias("time_step")
     return hourly.groupBy(*keys, step).agg(*[F.sum(m).alias(m) for m in measures])
 
 

@@ -13,14 +13,19 @@ from hearthgrid.operators.scenarios import BASELINE_OF_SET as BASELINES
 BUCKETS = 10_000
 
 
-def hash_bucket(keys: Sequence[str], seed: int = 42) -> Column:
-    """Stable pseudo-random number 0..9999 of a key.
+def key_number(keys: Sequence[str], seed: int = 42) -> Column:
+    """Stable pseudo-random number of 32 bits of a key.
 
     Depends on the key's text and the seed only, so a building lands on the same
     side whatever the partitioning, the engine or the number of retries.
     """
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % BUCKETS
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
+def hash_bucket(keys: Sequence[str], seed: int = 42) -> Column:
+    """Stable pseudo-random number 0..9999 of a key."""
+    return key_number(keys, seed) % BUCKETS
 
 
 def split_name(bucket: Column, validation: float = 0.2, test: float = 0.1) -> Column:
@@ -101,7 +106,8 @@ def down_sample(
         .collect()
     )
     n_rows = sum(r["n_rows"] for r in counts)
-    position = hash_bucket([building_set, building], seed) / BUCKETS
+    # All 32 bits: buckets would round small samples of large inputs.
+    position = key_number([building_set, building], seed) / float(1 << 32)
     kept = F.lit(False)
     for r in counts:
         fraction = sample_fraction(wanted, n_rows, r["n_baseline"], r["n_split"])

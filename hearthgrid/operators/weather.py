@@ -53,35 +53,54 @@ def weather_arrays(
     variables: Sequence[str],
     city: str = "weather_file_city",
     hour: str = "datetime_formatted",
+    hours: str | None = None,
 ) -> DataFrame:
     """One row per city with an hour-ordered array per variable.
 
     ``hour`` is a year-free label, so a city has at most 8784 of them. Readings
     that share an hour are averaged on the map side before any array is built,
-    which bounds the arrays however many readings a city has.
+    which bounds the arrays however many readings a city has. ``hours`` names an
+    array with the hour of the year of every entry, for :func:`time_slices`.
     """
     slots = hourly.groupBy(city, hour).agg(*[F.avg(v).alias(v) for v in variables])
     ordered = F.array_sort(F.collect_list(F.struct(hour, *variables)))
     return (
         slots.groupBy(city)
         .agg(ordered.alias("__year"))
-        .select(city, *[F.col(f"__year.{v}").alias(v) for v in variables])
+        .select(
+            city,
+            *[F.col(f"__year.{v}").alias(v) for v in variables],
+            *([F.transform(f"__year.{hour}", calendar.label_hour).alias(hours)] if hours else []),
+        )
     )
 
 
 def time_slices(
-    arrays: DataFrame, variables: Sequence[str], granularity: str, keys: Sequence[str]
+    arrays: DataFrame,
+    variables: Sequence[str],
+    granularity: str,
+    keys: Sequence[str],
+    hours: str = "hours",
 ) -> DataFrame:
-    """Arrays cut into time steps of equal length, one row per step."""
-    length = calendar.step_length(granularity)
-    steps = calendar.STEPS_PER_YEAR[granularity]
+    """Arrays cut into the time steps of a year, one row per step.
+
+    ``hours`` holds the hour of the year of every entry, in order. An entry goes to the
+    step of its hour (:func:`calendar.time_step`), whatever other hours are missing;
+    steps without hours have empty arrays. Nothing leaves the row.
+    """
+    steps = F.transform(hours, lambda hour: calendar.time_step(hour, granularity))
+    placed = arrays.withColumn("__steps", steps).withColumn("__back", F.reverse("__steps"))
 
     def step(i):
-        parts = [F.slice(v, i * length + 1, F.lit(length)).alias(v) for v in variables]
+        # Steps do not fall along the array, so the entries of one lie together.
+        first = F.array_position("__steps", i).cast("int")
+        last = F.size("__steps") + 1 - F.array_position("__back", i).cast("int")
+        length = F.when(first > 0, last - first + 1).otherwise(0)
+        parts = [F.slice(v, F.greatest(first, F.lit(1)), length).alias(v) for v in variables]
         return F.struct(i.alias("time_step"), *parts)
 
-    numbers = F.sequence(F.lit(0), F.lit(steps - 1))
-    return arrays.select(*keys, F.inline(F.transform(numbers, step)))
+    numbers = F.sequence(F.lit(0), F.lit(calendar.STEPS_PER_YEAR[granularity] - 1))
+    return placed.select(*keys, F.inline(F.transform(numbers, step)))
 
 
 def degree_columns(hourly: DataFrame, celsius: str = "temp_air") -> DataFrame:

@@ -11,7 +11,8 @@ from hearthgrid.showcase.base import Registry, table
 
 registry = Registry()
 
-BUCKET = "('0x' || substr(md5({}), 1, 8))::BIGINT % 10000"
+NUMBER = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+BUCKET = NUMBER + " % 10000"
 
 
 def _split_sql(key: str) -> str:
@@ -33,7 +34,7 @@ WITH r AS (SELECT DISTINCT l_orderkey AS building_id, CASE WHEN l_orderkey % 2 =
     CASE WHEN l_linenumber <= 5 THEN CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE 0.01 END ELSE l_linenumber END::DOUBLE AS upgrade_id FROM lineitem),
 b AS (SELECT r.* FROM r WHERE EXISTS (SELECT 1 FROM r x WHERE x.building_id = r.building_id AND x.building_set = r.building_set AND x.upgrade_id < 1)),
 s AS (SELECT *, """ + _split_sql("building_set || '|' || building_id || '|42'") + """ AS split,
-    """ + BUCKET.format("building_set || '|' || building_id || '|0'") + """ AS position FROM b)
+    """ + NUMBER.format("building_set || '|' || building_id || '|0'") + """ / 4294967296.0::DOUBLE AS position FROM b)
 """
 
 
@@ -70,7 +71,7 @@ def split_with_baseline(spark, folder):
     SCENARIO_ROWS + ", n AS (SELECT building_set, count(*) FILTER (upgrade_id < 1) AS base, "
     "count(*) FILTER (upgrade_id < 1 AND split = 'train') AS train FROM s GROUP BY ALL), t AS (SELECT count(*) AS total FROM s) "
     "SELECT building_set, split, count(*) AS n_rows FROM s JOIN n USING (building_set), t "
-    "WHERE position / 10000.0::DOUBLE < least(1.0, 500 * (base / total::DOUBLE) / train) GROUP BY ALL"
+    "WHERE position < least(1.0, 500 * (base / total::DOUBLE) / train) GROUP BY ALL"
 )
 def down_sample(spark, folder):
     rows = splits.with_baseline(scenario_rows(spark, folder), splits.BASELINES)
@@ -104,7 +105,7 @@ def label_index(spark, folder):
 )
 def label_mapping(spark, folder):
     parts = table(spark, folder, "part")
-    return learning.label_table(learning.fit_label_index(parts, "p_type"), parts, first=1)
+    return learning.label_table(learning.fit_label_index(parts, "p_type"), first=1)
 
 
 @registry.add(
@@ -113,8 +114,9 @@ def label_mapping(spark, folder):
 )
 def feature_vocabulary(spark, folder):
     found = learning.vocabulary(table(spark, folder, "part"), ["p_type", "p_size", "p_brand"])
-    rows = [(f, len(labels), labels[0]) for f, labels in found.items() if labels]
-    return spark.createDataFrame(rows, "feature string, n_labels long, first_label string")
+    return found.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_labels"), F.min("label").alias("first_label")
+    )
 
 
 @registry.add(

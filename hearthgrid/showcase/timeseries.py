@@ -60,11 +60,12 @@ def weather_arrays(spark, folder):
 
 @registry.add(
     READINGS + ", s AS (SELECT user_id, strftime(ts, '%m-%d-%H:00') AS h, avg(ghi) AS ghi FROM r GROUP BY ALL), "
-    "a AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY h) - 1) // 24 AS step, ghi FROM s) "
+    "a AS (SELECT user_id, dayofyear(('2001-' || CASE WHEN h LIKE '02-29%' THEN '02-28' ELSE h[1:5] END)::DATE) - 1 AS step, ghi FROM s) "
     "SELECT user_id, step::INTEGER AS time_step, count(*)::INTEGER AS n_hours, round(sum(ghi), 4) AS total FROM a GROUP BY ALL"
 )
 def time_slices(spark, folder):
-    arrays = weather.weather_arrays(_with_hour(spark, folder), ["ghi"], city="user_id")
+    rows = _with_hour(spark, folder)
+    arrays = weather.weather_arrays(rows, ["ghi"], city="user_id", hours="hours")
     steps = weather.time_slices(arrays, ["ghi"], "D", ["user_id"])
     return steps.where(F.size("ghi") > 0).select(
         "user_id",
@@ -270,7 +271,7 @@ def energy_with_weather(spark, folder):
 
 
 @registry.add(
-    "SELECT user_id, (((dayofyear(ts) - 1) * 24 + hour(ts)) // 730)::INTEGER AS time_step, "
+    "SELECT user_id, least(((dayofyear(ts) - 1) * 24 + hour(ts)) // 730, 11)::INTEGER AS time_step, "
     "sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL"
 )
 def step_sums(spark, folder):

@@ -168,6 +168,30 @@ def test_ordering_errors_against_pairs(spark):
         comparison.ordering_errors(df, ["building_id"], "upgrade_id", [0.0]).collect()
 
 
+def test_repeated_rows_of_a_scenario_are_refused(spark):
+    rows = [(1, 0.0, 10.0, 1.0), (1, 0.0, 1.0, 10.0), (1, 1.0, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "b int, s double, actual double, prediction double")
+    with pytest.raises(Exception, match="several rows of one scenario"):
+        comparison.ordering_errors(df, ["b"], "s", [0.0, 1.0]).collect()
+    with pytest.raises(Exception, match="several rows of one scenario"):
+        comparison.cross_scenario_trends(df, ["b"], "s", [0.0, 1.0]).collect()
+
+
+def test_catalogues_of_any_size_are_compared(spark):
+    rows = [(1, float(s), float(s), -float(s)) for s in range(70)]
+    df = spark.createDataFrame(rows, "b int, s double, actual double, prediction double")
+    found = comparison.ordering_errors(df, ["b"], "s", [float(s) for s in range(70)])
+    assert comparison.global_ordering_error(found).first() == (1.0, 70 * 69 // 2)
+
+
+def test_rows_of_a_null_group_have_baselines(spark):
+    rows = spark.createDataFrame(
+        [(None, 0, 5.0), (None, 1, 7.0), (2, 0, 1.0)], "b int, s int, v double"
+    )
+    found = evaluation.with_baseline_values(rows, ["b"], "s", {"base": "v"})
+    assert values(found, "b", "s", "base") == sorted([(None, 0, 5.0), (None, 1, 5.0), (2, 0, 1.0)], key=str)
+
+
 def test_no_pairs_is_no_error(spark):
     df = spark.createDataFrame([(1, 0.0, 1.0, 1.0)], "b int, s double, actual double, prediction double")
     found = comparison.ordering_errors(df, ["b"], "s", [0.0])

@@ -53,16 +53,17 @@ def test_heavy_group_with_ties_and_nulls(spark):
     check(spark, skewed())
 
 
-def test_many_values_in_a_bracket_are_sliced(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "SORTED_VALUES", 3)
-    monkeypatch.setattr(quantiles, "MARGIN", 0.2)
-    check(spark, skewed(800))
+def test_small_brackets_with_few_and_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MARGINS", ((0.0015, 4000), (0.05, 60)))
+    for slices in (1, 7, 1000):
+        monkeypatch.setattr(quantiles, "SLICES", slices)
+        check(spark, skewed(6000, slices))
 
 
-def test_brackets_that_miss_are_opened(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MARGIN", 0.0)
-    monkeypatch.setattr(quantiles, "SORTED_VALUES", 100)
-    check(spark, skewed(3000))
+def test_a_bracket_that_misses_fails_the_job(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MARGINS", ((0.0, 1),))
+    with pytest.raises(Exception, match="does not hold its quantile"):
+        check(spark, skewed(3000))
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))

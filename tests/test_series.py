@@ -37,7 +37,8 @@ def test_copies_of_an_hour_do_not_lengthen_the_year(spark):
 
 def test_time_slices(spark):
     df = spark.createDataFrame(
-        [("X", [float(i) for i in range(8760)])], "city string, t array<double>"
+        [("X", [float(i) for i in range(8760)], list(range(8760)))],
+        "city string, t array<double>, hours array<int>",
     )
     steps = weather.time_slices(df, ["t"], "M", ["city"]).orderBy("time_step").collect()
     assert [len(r["t"]) for r in steps] == [730] * 12
@@ -46,6 +47,28 @@ def test_time_slices(spark):
     assert days.count() == 365
 
 
+def test_no_hour_of_a_leap_year_is_lost(spark):
+    labels = "date_format(timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id), 'MM-dd-HH:00')"
+    df = spark.range(8784).selectExpr("'X' AS weather_file_city", "id + 0.0D AS t", f"{labels} AS datetime_formatted")
+    arrays = weather.weather_arrays(df, ["t"], hours="hours")
+    for grain, steps in (("D", 365), ("M", 12), ("Q", 4), ("Y", 1)):
+        rows = weather.time_slices(arrays, ["t"], grain, ["weather_file_city"]).orderBy("time_step").collect()
+        assert len(rows) == steps and [x for r in rows for x in r["t"]] == [float(i) for i in range(8784)]
+        sums = spark.range(8784).selectExpr("'X' AS weather_file_city", "cast(id AS int) AS hour_index", "id AS t")
+        summed = rollup.step_sums(sums, ["weather_file_city"], ["t"], grain)
+        assert summed.count() == steps and summed.agg(F.sum("t")).first()[0] == 8783 * 8784 // 2
+    # 29 February counts as the day before; the first of March is the 60th day.
+    days = weather.time_slices(arrays, ["t"], "D", ["weather_file_city"]).orderBy("time_step").collect()
+    assert len(days[58]["t"]) == 48 and days[59]["t"][0] == 60 * 24
+
+
+def test_hours_missing_from_a_year_move_no_other(spark):
+    hours = [h for h in range(8760) if h % 100 > 30]
+    df = spark.createDataFrame([("X", [float(h) for h in hours], hours)], "city string, t array<double>, hours array<int>")
+    for row in weather.time_slices(df, ["t"], "D", ["city"]).collect():
+        assert row["t"] == [float(h) for h in hours if h // 24 == row["time_step"]]
+
+
 def test_one_station_per_city(spark):
     raw = spark.createDataFrame([("X", "G2"), ("X", "G1"), ("Y", "G3")], "city string, county string")
     stations = weather.one_key_per(raw, "city", "county", "county_gisjoin")
