@@ -37,12 +37,27 @@ ROUNDS = 2
 END, BEGIN = np.uint64(1), np.uint64(2)
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays byte by byte: first all lowest bytes, and so on, as high ones are mostly alike."""
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in arrays]
+    return zstandard.compress(b"".join(planes), 3)
+
+
+def _unpack(data: bytes, *kinds: tuple[type, int]) -> list[np.ndarray]:
+    """The arrays of ``_pack``, from their types and lengths."""
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    out, begin = [], 0
+    for kind, n in kinds:
+        width = np.dtype(kind).itemsize
+        part = planes[begin : begin + n * width].reshape(width, n)
+        out.append(np.ascontiguousarray(part.T).reshape(-1).view(kind))
+        begin += n * width
+    return out
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _unpack_one(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
 def discounts(frequencies: list[int]) -> np.ndarray:
@@ -85,7 +100,7 @@ class Unigrams:
 
 def _blocks(df: DataFrame, key: str, text: str, held: str) -> DataFrame:
     """Texts in blocks: their keys, whether held out, words per text, and words as numbers
-    in the block's sorted list of distinct hashes."""
+    in the block's list of distinct hashes, the most frequent first."""
     chosen = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(held).alias("held"))
     chosen = chosen.withColumn("task", F.spark_partition_id())
 
@@ -95,7 +110,10 @@ def _blocks(df: DataFrame, key: str, text: str, held: str) -> DataFrame:
 
         def block(task: int) -> pa.RecordBatch:
             hashes = np.concatenate([h[2] for h in held_now])
-            words, tokens = np.unique(hashes, return_inverse=True)
+            words, place, n = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
             keys = pa.chunked_array([h[0] for h in held_now]).combine_chunks()
             size = pa.array([0, len(keys)], pa.int32())
             return pa.RecordBatch.from_arrays(
@@ -104,8 +122,8 @@ def _blocks(df: DataFrame, key: str, text: str, held: str) -> DataFrame:
                     pa.ListArray.from_arrays(size, keys),
                     pa.array([_pack(np.concatenate([h[1] for h in held_now]))]),
                     pa.array([_pack(np.concatenate([h[3] for h in held_now]).astype(np.int64))]),
-                    pa.array([_pack(tokens.astype(np.int32))]),
-                    pa.array([words.tobytes()]),
+                    pa.array([_pack(rank[place])]),
+                    pa.array([words[order].tobytes()]),
                 ],
                 names=["block", "keys", "held", "sizes", "tokens", "words"],
             )
@@ -145,8 +163,8 @@ class _Block:
     @classmethod
     def of(cls, row: dict) -> _Block:
         words = np.frombuffer(row["words"], np.uint64)
-        held, sizes = _unpack(row["held"], np.int8).astype(bool), _unpack(row["sizes"], np.int64)
-        tokens = _unpack(row["tokens"], np.int32)
+        held, sizes = _unpack_one(row["held"], np.int8).astype(bool), _unpack_one(row["sizes"], np.int64)
+        tokens = _unpack_one(row["tokens"], np.int32)
         doc = np.repeat(np.arange(len(sizes)), sizes + 1)
         last = np.cumsum(sizes + 1) - 1
         is_end = np.zeros(len(doc), bool)
@@ -186,7 +204,7 @@ def _word_counts(blocks: DataFrame) -> DataFrame:
 
 
 def _counts_by_block(blocks: DataFrame, unigrams: DataFrame) -> DataFrame:
-    """``block`` and ``counts``: training counts of its words, in their order."""
+    """``block`` and ``counts``: training counts of its words, in the order of hashes."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,9 +224,11 @@ def _counts_by_block(blocks: DataFrame, unigrams: DataFrame) -> DataFrame:
     return answered.groupBy("block").applyInArrow(gather, "block long, counts binary")
 
 
-def _full_counts(row: dict, totals: Unigrams) -> np.ndarray:
+def _full_counts(block: _Block, row: dict, totals: Unigrams) -> np.ndarray:
     """Counts of a block's words, the end and the beginning; both occur once per text."""
-    return np.concatenate([_unpack(row["counts"], np.int64), [totals.texts, totals.texts]])
+    out = np.full(len(block.words) + 2, totals.texts, np.int64)
+    out[np.argsort(block.words)] = _unpack_one(row["counts"], np.int64)
+    return out
 
 
 def _entries(block: _Block, counts: np.ndarray, buckets: int, hot: float):
@@ -259,7 +279,8 @@ def _bigram_round(
 
     def send(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        block, known = _Block.of(row), _full_counts(right.to_pylist()[0], totals)
+        block = _Block.of(row)
+        known = _full_counts(block, right.to_pylist()[0], totals)
         context, token, place, chosen, bucket = _entries(block, known, buckets, hot)
         trained = np.bincount(place[~block.held[block.doc]], minlength=len(context))
         hashes = block.hashes()
@@ -285,13 +306,13 @@ def _bigram_round(
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        runs = [_unpack(r["runs"], np.int64) for r in rows]
+        runs = [_unpack_one(r["runs"], np.int64) for r in rows]
         contexts = [np.frombuffer(r["contexts"], np.uint64) for r in rows]
         context = np.concatenate([np.repeat(h, n) for h, n in zip(contexts, runs, strict=True)])
         token = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-        token_count = np.concatenate([_unpack(r["token_counts"], np.int64) for r in rows])
-        context_count = np.concatenate([np.repeat(_unpack(r["context_counts"], np.int64), n) for r, n in zip(rows, runs, strict=True)])
-        n = np.concatenate([_unpack(r["n"], np.int64) for r in rows])
+        token_count = np.concatenate([_unpack_one(r["token_counts"], np.int64) for r in rows])
+        context_count = np.concatenate([np.repeat(_unpack_one(r["context_counts"], np.int64), n) for r, n in zip(rows, runs, strict=True)])
+        n = np.concatenate([_unpack_one(r["n"], np.int64) for r in rows])
         order = np.lexsort((token, context))
         context, token = context[order], token[order]
         new_context = np.concatenate([[True], context[1:] != context[:-1]])
@@ -318,12 +339,7 @@ def _bigram_round(
         for own, run in zip(contexts, runs, strict=True):
             end = begin + int(run.sum())
             at = np.searchsorted(names, own)
-            data.append(
-                zstandard.compress(
-                    answer[begin:end].astype(np.int64).tobytes()
-                    + by_count[at, :DISCOUNTED].tobytes() + share[at].tobytes(), 1
-                )
-            )
+            data.append(_pack(answer[begin:end], by_count[at, :DISCOUNTED], share[at]))
             begin = end
         out.append(_rows("answer", np.array([r["block"] for r in rows], np.int64), bucket, data=data))
         return pa.concat_tables(out)
@@ -391,7 +407,8 @@ def scored_texts(
         totals, discount, hot_contexts = shared.value
         row = left.to_pylist()[0]
         answers = sorted((r for r in right.to_pylist()), key=lambda r: r["bucket"])
-        block, known = _Block.of(row), _full_counts(answers[0], totals)
+        block = _Block.of(row)
+        known = _full_counts(block, answers[0], totals)
         context, token, place, chosen, bucket = _entries(block, known, buckets, hot)
         hashes = block.hashes()
         pair_count = np.zeros(len(context), np.int64)
@@ -401,11 +418,9 @@ def scored_texts(
             end = np.searchsorted(bucket, answer["bucket"], "right")
             at = chosen[begin:end]
             own = context[at][np.flatnonzero(np.diff(context[at], prepend=-1))]
-            data = zstandard.decompress(answer["data"])
-            edges = np.cumsum([0, 8 * len(at), 8 * DISCOUNTED * len(own), 8 * len(own)])
-            pair_count[at] = np.frombuffer(data[edges[0] : edges[1]], np.int64)
-            followers[own] = np.frombuffer(data[edges[1] : edges[2]], np.int64).reshape(-1, DISCOUNTED)
-            mass[own] = np.frombuffer(data[edges[2] : edges[3]], np.float64)
+            kinds = (np.int64, len(at)), (np.int64, DISCOUNTED * len(own)), (np.float64, len(own))
+            pair_count[at], few, mass[own] = _unpack(answer["data"], *kinds)
+            followers[own] = few.reshape(-1, DISCOUNTED)
             begin = end
         for i in np.flatnonzero(known > hot):
             followers[i], mass[i] = hot_contexts.get(int(hashes[i]), (0, 0.0))
