@@ -14,12 +14,13 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthgrid.operators.evaluation import value_spread
+from hearthgrid.operators.splits import BUCKETS, hash_bucket
 from hearthgrid.session import settle
 
 FUELS = ("electricity", "natural_gas", "fuel_oil", "propane")
@@ -149,11 +150,14 @@ def train(
     regressor=None,
     one_hot: bool = True,
 ) -> FuelModels:
-    """Fit one regressor per target; rows whose target is zero do not count."""
+    """Fit one regressor per target; rows whose target is zero do not count.
+
+    Rows are prepared once and stored, however often the regressors pass over them.
+    """
     rows = feature_set.as_numbers(rows)
     preparation = Pipeline(stages=feature_set.stages(one_hot)).fit(rows)
     kept = [*targets, *([weight] if weight else []), "features"]
-    prepared = preparation.transform(rows).select(*kept)
+    prepared = settle(preparation.transform(rows).select(*kept), "prepared")
     template = regressor or GBTRegressor(maxIter=20, maxDepth=5, seed=42)
     fitted = {}
     for target in targets:
@@ -182,31 +186,49 @@ def usable_predictions(
     return scored.withColumns(cleaned | {f"total{suffix}": total})
 
 
+def held_out(rows: DataFrame, key: Sequence[str] | None, share: float, seed: int) -> Column:
+    """Whether a row is kept for testing, by the hash of its key (or of all its columns)."""
+    return hash_bucket(list(key or rows.columns), seed) < round(share * BUCKETS)
+
+
+@dataclass
+class Search:
+    """Settings tried, their mean absolute errors on held-out rows, and the best model."""
+
+    settings: list[dict]
+    errors: list[float]
+    best: object
+
+
 def search(
     rows: DataFrame,
     feature_set: FeatureSet,
     target: str,
     grid: Mapping[str, Sequence],
     regressor=None,
-    train_ratio: float = 0.8,
-    parallelism: int = 4,
-):
-    """Best regressor of a parameter grid by mean absolute error on held-out rows."""
-    rows = feature_set.as_numbers(rows.where(F.col(target) != 0))
+    key: Sequence[str] | None = None,
+    share: float = 0.2,
+    seed: int = 42,
+) -> Search:
+    """Best regressor of a parameter grid by mean absolute error on held-out rows.
+
+    Rows are held out by the hash of their key, so the same ones on every run and
+    partitioning. They are prepared once and stored; all settings read that.
+    """
+    rows = feature_set.as_numbers(rows.where(F.col(target) != 0).withColumn("__held", held_out(rows, key, share, seed)))
     learner = (regressor or GBTRegressor(maxIter=10, seed=42)).copy()
     learner.setLabelCol(target).setFeaturesCol("features")
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(learner.getParam(name), list(values))
-    prepared = Pipeline(stages=feature_set.stages()).fit(rows).transform(rows)
-    return TrainValidationSplit(
-        estimator=learner,
-        estimatorParamMaps=builder.build(),
-        evaluator=RegressionEvaluator(labelCol=target, metricName="mae"),
-        trainRatio=train_ratio,
-        parallelism=parallelism,
-        seed=42,
-    ).fit(prepared.select("features", target))
+    settings = builder.build()
+    transformed = Pipeline(stages=feature_set.stages()).fit(rows).transform(rows)
+    prepared = settle(transformed.select("features", target, "__held"), "prepared")
+    models = learner.fit(prepared.where("not __held"), settings)
+    evaluator = RegressionEvaluator(labelCol=target, metricName="mae")
+    errors = [evaluator.evaluate(m.transform(prepared.where("__held"))) for m in models]
+    best = min(range(len(models)), key=errors.__getitem__)
+    return Search([{p.name: v for p, v in s.items()} for s in settings], errors, models[best])
 
 
 def feature_importance(
@@ -215,30 +237,31 @@ def feature_importance(
     target: str,
     segments: Mapping[str, str],
     regressor=None,
+    key: Sequence[str] | None = None,
+    share: float = 0.2,
+    seed: int = 42,
 ) -> DataFrame:
     """(segment, feature, importance, r2) of one boosted-tree model per segment.
 
     ``segments`` maps a name to the SQL condition of its rows. Labels are indexed
-    rather than one-hot encoded, so importances belong to features.
+    rather than one-hot encoded, so importances belong to features. ``r2`` is that of rows
+    held out by the hash of their key, among those whose target is not zero.
     """
     spark = rows.sparkSession
     names = [*feature_set.categorical, *feature_set.numeric, *feature_set.flags]
     template = regressor or GBTRegressor(maxIter=10, maxDepth=4, maxBins=256, seed=42)
+    kept = rows.where(F.col(target) != 0).withColumn("__held", held_out(rows, key, share, seed))
+    flags = [F.expr(condition).alias(f"__in_{i}") for i, condition in enumerate(segments.values())]
+    kept = settle(kept.select(*names, target, "__held", *flags), "segments")
+    evaluator = RegressionEvaluator(labelCol=target, predictionCol=f"{target}_p", metricName="r2")
     found = []
-    for segment, condition in segments.items():
-        models = train(
-            rows.where(condition), feature_set, [target], regressor=template, one_hot=False
-        )
-        model = models.regressors[target]
-        scored = models.score(rows.where(condition), [target])
-        evaluator = RegressionEvaluator(
-            labelCol=target, predictionCol=f"{target}_p", metricName="r2"
-        )
+    for i, segment in enumerate(segments):
+        own = kept.where(f"__in_{i}")
+        models = train(own.where("not __held"), feature_set, [target], regressor=template, one_hot=False)
+        scored = models.score(own.where("__held"), [target])
         r2 = evaluator.evaluate(scored.withColumnRenamed(f"{target}-pred", f"{target}_p"))
-        found += [
-            (segment, name, float(value), float(r2))
-            for name, value in zip(names, model.featureImportances.toArray())
-        ]
+        importances = models.regressors[target].featureImportances.toArray()
+        found += [(segment, name, float(v), float(r2)) for name, v in zip(names, importances)]
     return spark.createDataFrame(
         found, "segment string, feature string, importance double, r2 double"
     )

@@ -326,6 +326,10 @@ def scenario_features(
     return apply_scenarios(fan_out(features, scenarios, ["building_set"]))
 
 
+# Copies of a row that are restored at a time.
+COPIES = 4096
+
+
 def flag_changed(
     df: DataFrame,
     scenario_column: str = "upgrade_id",
@@ -365,8 +369,13 @@ def flag_changed(
             *compared,
             scenario_column,
             (F.col(scenario_column) == F.col("__first")).alias("applicability"),
-            F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"),
+            "__copies",
+            # Copies come back in runs: no array of a row is longer than a run, and the
+            # list of its runs is as much shorter.
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(COPIES).cast("long"))).alias("__run"),
         )
+        .withColumn("__left", F.least(F.col("__copies") - F.col("__run"), F.lit(COPIES)).cast("int"))
+        .withColumn("__copy", F.explode(F.array_repeat(F.lit(True), F.col("__left"))))
     )
     if names:
         labels = map_literal({i: name for i, (name, _) in CATALOGUE.items()})

@@ -167,14 +167,12 @@ def applicability_mismatch(spark, folder):
     "FROM customer, s WHERE scenario <> 2 OR c_mktsegment = 'BUILDING'"
 )
 def scenario_fanout(spark, folder):
-    plan = literal(
-        spark,
-        [("BUILDING", i, f) for i, f in ((0, 1), (1, 2), (2, 3))]
-        + [(s, i, f) for s in ("AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE") for i, f in ((0, 1), (1, 2))],
-        "c_mktsegment string, scenario int, factor int",
-    )
+    customers = table(spark, folder, "customer")
+    steps = F.array(*[F.struct(F.lit(i).alias("scenario"), F.lit(f).alias("factor")) for i, f in ((0, 1), (1, 2), (2, 3))])
+    plan = customers.select("c_mktsegment").distinct().select("c_mktsegment", F.inline(steps))
+    plan = plan.where("scenario <> 2 or c_mktsegment = 'BUILDING'")
     cents = F.round(F.col("c_acctbal") * 100).cast("long")
-    fanned = scenarios.fan_out(table(spark, folder, "customer"), plan, ["c_mktsegment"])
+    fanned = scenarios.fan_out(customers, plan, ["c_mktsegment"])
     return fanned.select("c_custkey", "scenario", (cents * F.col("factor")).alias("scaled_cents"))
 
 

@@ -122,7 +122,7 @@ def feature_vocabulary(spark, folder):
 @registry.add(
     "SELECT l_orderkey AS building_id, l_linenumber::DOUBLE AS upgrade_id, 'C' || (l_orderkey % 5) AS weather_file_city, "
     "sum(round(l_extendedprice * 100)::BIGINT + round(l_tax * 100)::BIGINT)::BIGINT AS electricity, sum(l_quantity::BIGINT)::BIGINT AS natural_gas "
-    "FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber IN (1, 2, 5) AND o_orderstatus <> 'P' GROUP BY ALL"
+    "FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber IN (1, 2, 5) GROUP BY ALL"
 )
 def training_targets(spark, folder):
     """Outputs of chosen scenarios joined to the buildings that have features."""
@@ -138,8 +138,7 @@ def training_targets(spark, folder):
         "b",
         "c",
     )
-    homes = table(spark, folder, "orders").where("o_orderstatus <> 'P'")
-    features = homes.select(
+    features = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("building_id"),
         F.explode(F.array(*[F.lit(float(i)) for i in range(1, 8)])).alias("upgrade_id"),
         F.concat(F.lit("C"), (F.col("o_orderkey") % 5).cast("string")).alias("weather_file_city"),
@@ -211,61 +210,108 @@ def train_score(spark, folder):
     )
 
 
-def _trees() -> GBTRegressor:
-    return GBTRegressor(maxIter=4, maxDepth=3, seed=42)
+def _stump() -> GBTRegressor:
+    """One tree of one split: on a feature of two values it predicts their means."""
+    return GBTRegressor(maxIter=1, maxDepth=1, seed=42)
 
 
 def _part_rows(spark, folder) -> DataFrame:
-    rows = table(spark, folder, "lineitem").select(
-        "l_partkey", "l_quantity", "l_extendedprice", "l_tax", "l_linestatus"
-    )
     parts = table(spark, folder, "part").select("p_partkey", "p_type", "p_size")
-    return rows.join(parts, F.col("p_partkey") == F.col("l_partkey")).withColumn(
-        "is_open", F.col("l_linestatus") == "O"
+    rows = table(spark, folder, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey"))
+    return rows.select(
+        "l_orderkey",
+        "l_linenumber",
+        "p_type",
+        "p_size",
+        "l_quantity",
+        "l_extendedprice",
+        "l_tax",
+        (F.col("l_linestatus") == "O").alias("is_open"),
+        (F.col("l_quantity") > 25).alias("is_bulk"),
     )
 
 
-PART_FEATURES = learning.FeatureSet(("p_type",), ("p_size", "l_quantity"), ("is_open",))
+LINE_KEY = ("l_orderkey", "l_linenumber")
+PART_ROWS = (
+    "WITH r AS (SELECT p_type, p_size, l_quantity AS q, l_extendedprice AS y, l_tax AS t, l_linestatus = 'O' AS is_open, "
+    "l_quantity > 25 AS is_bulk, " + BUCKET.format("l_orderkey || '|' || l_linenumber || '|42'") + " < 2000 AS held "
+    "FROM lineitem JOIN part ON p_partkey = l_partkey)"
+)
 
 
-@registry.add()
+@registry.add(
+    PART_ROWS + ", m AS (SELECT is_open, avg(y) FILTER (y <> 0) AS price, avg(t) FILTER (t <> 0) AS tax FROM r GROUP BY is_open) "
+    "SELECT p_type, count(*) AS n_rows, round(avg(price), 3) AS mean_price, round(avg(tax), 7) AS mean_tax "
+    "FROM r JOIN m USING (is_open) GROUP BY p_type"
+)
 def boosted_trees(spark, folder):
     rows = _part_rows(spark, folder)
-    models = learning.train(
-        rows, PART_FEATURES, ["l_extendedprice", "l_tax"], regressor=_trees()
-    )
+    features = learning.FeatureSet(flags=("is_open",))
+    models = learning.train(rows, features, ["l_extendedprice", "l_tax"], regressor=_stump())
     scored = models.score(rows, ["p_type"])
     return scored.groupBy("p_type").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.avg(F.col("`l_extendedprice-pred`")).alias("mean_price"),
-        F.avg(F.col("`l_tax-pred`")).alias("mean_tax"),
+        F.round(F.avg(F.col("`l_extendedprice-pred`")), 3).alias("mean_price"),
+        F.round(F.avg(F.col("`l_tax-pred`")), 7).alias("mean_tax"),
     )
 
 
-@registry.add()
+@registry.add(
+    PART_ROWS + ", k AS (SELECT avg(q) AS mq, avg(p_size) AS ms, avg(y) AS my, var_pop(q) AS vq, var_pop(p_size) AS vs, "
+    "covar_pop(q, p_size) AS qs, covar_pop(q, y) AS qy, covar_pop(p_size, y) AS sy FROM r WHERE y <> 0), "
+    "b AS (SELECT *, (qy * vs - sy * qs) / (vq * vs - qs * qs) AS bq, (sy * vq - qy * qs) / (vq * vs - qs * qs) AS bs FROM k), "
+    "g AS (SELECT low + (high - low) * i / 4 AS v FROM (SELECT min(q) AS low, max(q) AS high FROM r), range(5) x(i)), "
+    "p AS (SELECT v, my + bq * (v - mq) + bs * (p_size - ms) AS pred FROM r, b, g) "
+    "SELECT v AS feature_value, round(median(pred), 1) AS median_prediction, round(avg(pred), 1) AS mean_prediction, "
+    "round(stddev_samp(pred), 1) AS std_prediction, round(min(pred), 1) AS min_prediction, round(max(pred), 1) AS max_prediction "
+    "FROM p GROUP BY v"
+)
 def whatif_sweep(spark, folder):
+    """A linear model of price by quantity and size, over five quantities."""
     rows = _part_rows(spark, folder)
-    models = learning.train(rows, PART_FEATURES, ["l_extendedprice"], regressor=_trees())
-    return learning.what_if(models, rows, "l_quantity", points=5)
+    features = learning.FeatureSet(numeric=("l_quantity", "p_size"))
+    linear = LinearRegression(solver="normal")
+    models = learning.train(rows, features, ["l_extendedprice"], regressor=linear)
+    swept = learning.what_if(models, rows, "l_quantity", points=5)
+    return swept.withColumns({c: F.round(c, 1) for c in swept.columns if c != "feature_value"})
 
 
-@registry.add()
+@registry.add(
+    PART_ROWS + ", s(segment, open) AS (VALUES ('open', true), ('closed', false), ('all', NULL)), "
+    "x AS (SELECT segment, is_bulk, held, y FROM r JOIN s ON open IS NULL OR open = is_open WHERE y <> 0), "
+    "m AS (SELECT segment, is_bulk, avg(y) AS pred FROM x WHERE NOT held GROUP BY ALL), "
+    "h AS (SELECT segment, y, pred, avg(y) OVER (PARTITION BY segment) AS mean FROM x JOIN m USING (segment, is_bulk) WHERE held) "
+    "SELECT segment, 'is_bulk' AS feature, 1.0::DOUBLE AS importance, "
+    "round(1 - sum((y - pred) * (y - pred)) / sum((y - mean) * (y - mean)), 6) AS r2 FROM h GROUP BY segment"
+)
 def importance(spark, folder):
     segments = {"open": "is_open", "closed": "not is_open", "all": "true"}
-    return learning.feature_importance(
-        _part_rows(spark, folder), PART_FEATURES, "l_extendedprice", segments, _trees()
+    features = learning.FeatureSet(flags=("is_bulk",))
+    found = learning.feature_importance(
+        _part_rows(spark, folder), features, "l_extendedprice", segments, _stump(), key=LINE_KEY
     )
+    return found.withColumn("r2", F.round("r2", 6))
 
 
-@registry.add()
+@registry.add(
+    PART_ROWS + ", z AS (SELECT held, y, (q - avg(q) OVER ()) / stddev_samp(q) OVER () AS x FROM r WHERE y <> 0), "
+    "k AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS start, sum(x * y) / sum(x * x) AS through FROM z WHERE NOT held), "
+    "e AS (SELECT avg(abs(y - start - slope * x)) AS a, avg(abs(y - through * x)) AS b FROM z, k WHERE held) "
+    "SELECT 0 AS setting, true AS fit_intercept, round(a, 2) AS mean_absolute_error FROM e UNION ALL SELECT 1, false, round(b, 2) FROM e"
+)
 def parameter_search(spark, folder):
     found = learning.search(
         _part_rows(spark, folder),
-        PART_FEATURES,
+        learning.FeatureSet(numeric=("l_quantity",)),
         "l_extendedprice",
-        {"regParam": [0.0, 10.0]},
-        regressor=LinearRegression(),
-        parallelism=2,
+        {"fitIntercept": [True, False]},
+        regressor=LinearRegression(solver="normal"),
+        key=LINE_KEY,
+    )
+    rows = [
+        (i, setting["fitIntercept"], round(float(error), 2))
+        for i, (setting, error) in enumerate(zip(found.settings, found.errors))
+    ]
+    return spark.createDataFrame(
+        rows, "setting int, fit_intercept boolean, mean_absolute_error double"
     )
-    rows = list(enumerate(float(m) for m in found.validationMetrics))
-    return spark.createDataFrame(rows, "setting int, mean_absolute_error double")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from hearthgrid.operators import audit, columns, vintages
-from hearthgrid.session import fresh_path
+from hearthgrid.operators import audit, columns, learning, vintages
+from hearthgrid.plans import extract
+from hearthgrid.session import fresh_path, settle
 from hearthgrid.showcase.base import Registry, table
-from hearthgrid.sources import dimensions, readers, tables
+from hearthgrid.sources import readers, tables
 
 registry = Registry()
 
@@ -191,31 +194,30 @@ def latest_version(spark, folder):
 
 @registry.add(
     "SELECT o_orderpriority, count(*) AS n_orders, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents "
-    "FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderstatus <> 'P' GROUP BY ALL"
+    "FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY ALL"
 )
 def sql_over_tables(spark, folder):
     return tables.query(
         spark,
         "SELECT o_orderpriority, count(*) AS n_orders, sum(cast(round(o_totalprice * 100) AS bigint)) AS cents "
         "FROM {orders} JOIN {customers} ON c_custkey = o_custkey "
-        "WHERE c_mktsegment = :segment AND o_orderstatus <> :left_out GROUP BY o_orderpriority",
+        "WHERE c_mktsegment = :segment GROUP BY o_orderpriority",
         {"orders": table(spark, folder, "orders"), "customers": table(spark, folder, "customer")},
         segment="BUILDING",
-        left_out="P",
     )
 
 
 @registry.add(
-    "SELECT c_nationkey + 1 AS zone, count(*) AS n_rows, count(DISTINCT c_mktsegment) AS n_segments, "
-    "sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents FROM customer GROUP BY ALL"
+    "SELECT zone, count(*) AS n_rows, count(DISTINCT c_mktsegment) AS n_segments, "
+    "sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents "
+    "FROM (SELECT *, dense_rank() OVER (ORDER BY c_nationkey)::INTEGER AS zone FROM customer) GROUP BY ALL"
 )
 def zone_export(spark, folder):
     """Written by zone, sorted by segment, and read back."""
-    customers = table(spark, folder, "customer")
-    labels = [f"Z{i:02}" for i in range(25)]
-    zones = dimensions.label_index(spark, labels, first=1)
     label = F.concat(F.lit("Z"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
-    zoned = customers.withColumn("label", label).join(F.broadcast(zones), "label").drop("label")
+    customers = table(spark, folder, "customer").withColumn("label", label)
+    zones = learning.label_table(learning.fit_label_index(customers, "label"), first=1)
+    zoned = customers.join(zones, "label").drop("label")
     path = fresh_path(spark, "zone-export")
     tables.write_export(zoned, path, "label_index", ["c_mktsegment", "c_name"])
     back = readers.parquet(spark, path)
@@ -244,3 +246,85 @@ def path_key_scan(spark, folder):
     return back.groupBy("region").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("c_custkey").alias("keys")
     )
+
+
+@registry.add(
+    "SELECT c_custkey::VARCHAR AS c_custkey, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer"
+)
+def text_scan(spark, folder):
+    """Delimited files without a schema: every column is text."""
+    path = fresh_path(spark, "text-scan")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    customers.write.option("header", True).csv(path)
+    return readers.delimited(spark, path)
+
+
+@registry.add(
+    "SELECT o_orderpriority, count(*) AS n_orders, sum(round(o_totalprice * 200)::BIGINT)::BIGINT AS amount FROM orders GROUP BY ALL"
+)
+def newest_table(spark, folder):
+    """Two versions saved by partition; the newest one is found by name and read back."""
+    orders = table(spark, folder, "orders")
+    base = f"default.orders_{uuid.uuid4().hex[:12]}"
+    for version, factor in (("1_9_0", 100), ("1_10_0", 200)):
+        amounts = orders.select("o_orderpriority", F.round(F.col("o_totalprice") * factor).cast("long").alias("amount"))
+        tables.save_partitioned(amounts, f"{base}_{tables.padded_version(version)}", "o_orderpriority")
+    newest = spark.table(tables.latest_table(spark, base))
+    found = newest.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.sum("amount").alias("amount")
+    )
+    result = settle(found, "newest")
+    for version in ("1_9_0", "1_10_0"):
+        spark.sql(f"DROP TABLE {base}_{tables.padded_version(version)}")
+    return result
+
+
+@registry.add(
+    "SELECT l_orderkey::INTEGER AS building_id, l_linenumber::DOUBLE AS upgrade_id, true AS applicability, "
+    "round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem WHERE l_linestatus = 'O' UNION ALL "
+    "SELECT l_orderkey::INTEGER, l_linenumber::DOUBLE, l_returnflag = 'N', NULL FROM lineitem WHERE l_linestatus <> 'O'"
+)
+def combined_outputs(spark, folder):
+    """Own runs and published ones, which lack a column, in one table."""
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("building_id"),
+        F.col("l_linenumber").alias("upgrade_id"),
+        "l_linestatus",
+        "l_returnflag",
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
+    )
+    own = lines.where("l_linestatus = 'O'").select("building_id", "upgrade_id", "cents")
+    published = lines.where("l_linestatus <> 'O'").select(
+        "building_id", "upgrade_id", (F.col("l_returnflag") == "N").alias("applicability")
+    )
+    return extract.annual_outputs(published, own)
+
+
+@registry.add(
+    "SELECT o_orderkey AS building_id, o_orderstatus AS o_orderstatus__m, count(*) AS n_lines, "
+    "sum(l_quantity)::BIGINT AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL"
+)
+def wide_table(spark, folder):
+    """Metadata, suffixed, next to the features of the same key; written by zone and read back."""
+    metadata = table(spark, folder, "orders").select(F.col("o_orderkey").alias("building_id"), "o_orderstatus")
+    features = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("building_id")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").cast("long").alias("quantity")
+    )
+    path = fresh_path(spark, "wide-table")
+    wide = tables.wide_export(metadata, features).withColumn("zone", (F.col("building_id") % 7).cast("int"))
+    tables.write_export(wide, path, "zone", ["building_id"])
+    return readers.parquet(spark, path).drop("zone")
+
+
+@registry.add(
+    "SELECT o_orderstatus, count(*) AS n_orders, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders GROUP BY ALL"
+)
+def report_file(spark, folder):
+    """An aggregated report as one delimited file, read back."""
+    report = table(spark, folder, "orders").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_orders"),
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
+    )
+    path = fresh_path(spark, "report")
+    tables.write_report(report.orderBy("o_orderstatus"), path)
+    return readers.delimited(spark, path, report.schema)

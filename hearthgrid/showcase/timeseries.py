@@ -190,36 +190,32 @@ def weather_summary(spark, folder):
     return found.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-ENERGY = """
+END_USES = [c for members in rollup.END_USE_GROUPS.values() for c in members]
+# Each end use takes another remainder of the price.
+_USES = {c: f"round(l_extendedprice * 100)::BIGINT % {5 + i}" for i, c in enumerate(END_USES)}
+_TOTALS = ", ".join(
+    f"({' + '.join(_USES[c] for c in members)})::BIGINT AS {total}"
+    for total, members in rollup.END_USE_GROUPS.items()
+)
+ENERGY = f"""
 WITH h AS (SELECT l_orderkey AS building_id, l_linenumber AS upgrade_id, month(l_shipdate)::INTEGER AS month, day(l_shipdate)::INTEGER AS day,
-    round(l_extendedprice * 100)::BIGINT + l_quantity::BIGINT + round(l_tax * 100)::BIGINT AS out_electricity_heating_total,
-    round(l_discount * 100)::BIGINT * 2 AS out_electricity_cooling_total FROM lineitem)
+    {_TOTALS} FROM lineitem)
 """
-SUMS = (
-    "sum(out_electricity_heating_total)::BIGINT AS sum_out_electricity_heating_total, "
-    "sum(out_electricity_cooling_total)::BIGINT AS sum_out_electricity_cooling_total"
-)
+SUMS = ", ".join(f"sum({total})::BIGINT AS sum_{total}" for total in rollup.END_USE_GROUPS)
 
 
 def hourly_energy(spark, folder) -> DataFrame:
-    """Line items as hourly energy by end use, grouped into heating and cooling."""
-    wanted = ("out_electricity_heating_total", "out_electricity_cooling_total")
-    groups = {name: rollup.END_USE_GROUPS[name] for name in wanted}
-    heating, cooling = groups[wanted[0]], groups[wanted[1]]
-    off = F.round(F.col("l_discount") * 100).cast("long")
+    """Line items as hourly energy by end use, grouped into totals."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     rows = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("building_id"),
         F.col("l_linenumber").alias("upgrade_id"),
         F.month("l_shipdate").alias("month"),
         F.dayofmonth("l_shipdate").alias("day"),
         F.col("l_shipdate").alias("timestamp"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias(heating[0]),
-        F.col("l_quantity").cast("long").alias(heating[1]),
-        F.round(F.col("l_tax") * 100).cast("long").alias(heating[2]),
-        off.alias(cooling[0]),
-        off.alias(cooling[1]),
+        *[(cents % (5 + i)).alias(c) for i, c in enumerate(END_USES)],
     )
-    return rollup.group_columns(rows, groups)
+    return rollup.group_columns(rows, rollup.END_USE_GROUPS)
 
 
 @registry.add(ENERGY + f"SELECT building_id, upgrade_id, {SUMS} FROM h GROUP BY building_id, upgrade_id")
@@ -297,25 +293,24 @@ def period_end_resample(spark, folder):
     )
 
 
+APPLIANCES = [a for members in rollup.APPLIANCE_GROUPS.values() for a in members]
+# Each appliance takes another remainder of the price.
+_PARTS = {a: f"round(l_extendedprice * 100)::BIGINT % {7 + i}" for i, a in enumerate(APPLIANCES)}
+
+
 @registry.add(
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity + l_tax + l_discount, 6) AS heating, "
-    "round(l_extendedprice + l_tax, 6) AS cooling FROM lineitem"
+    "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(
+        f"({' + '.join(_PARTS[a] for a in members)})::BIGINT AS {group}"
+        for group, members in rollup.APPLIANCE_GROUPS.items()
+    )
+    + " FROM lineitem"
 )
 def appliance_groups(spark, folder):
-    groups = {
-        "heating": rollup.APPLIANCE_GROUPS["heating"][:3],
-        "cooling": rollup.APPLIANCE_GROUPS["cooling"],
-    }
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     rows = table(spark, folder, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        F.col("l_quantity").alias("heating"),
-        F.col("l_tax").alias("heating_fans_pumps"),
-        F.col("l_discount").alias("heating_hp_bkup"),
-        F.col("l_extendedprice").alias("cooling"),
-        F.col("l_tax").alias("cooling_fans_pumps"),
+        *[(cents % (7 + i)).alias(a) for i, a in enumerate(APPLIANCES)],
     )
-    done = rollup.group_columns(rows, groups)
-    return done.withColumns({c: F.round(c, 6) for c in groups})
+    return rollup.group_columns(rows, rollup.APPLIANCE_GROUPS)

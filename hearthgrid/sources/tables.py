@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.operators.audit import require_key
@@ -99,14 +100,21 @@ def save_keyed(
     bucket_by: Sequence[str] = (),
     buckets: int = 0,
 ) -> None:
-    """Write a table whose keys are complete and unique, or fail."""
-    save(require_key(df, keys), name, bucket_by=bucket_by, buckets=buckets)
+    """Write a table whose keys are complete and unique, or fail and leave ``name`` as it was.
 
-
-def zone_number_of(column: str, zones: DataFrame) -> Column:
-    """Integer of a zone label from its small mapping table."""
-    pairs = [x for r in zones.collect() for x in (F.lit(r["label"]), F.lit(r["label_index"]))]
-    return F.create_map(*pairs)[F.col(column)]
+    The rows are computed once: they are written under another name, the written files are
+    checked, and only then take the name.
+    """
+    spark = df.sparkSession
+    waiting = f"{name}__{uuid.uuid4().hex[:12]}"
+    save(df, waiting, bucket_by=bucket_by, buckets=buckets)
+    try:
+        require_key(spark.table(waiting), keys)
+    except ValueError:
+        spark.sql(f"DROP TABLE {waiting}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {waiting} RENAME TO {name}")
 
 
 def wide_export(metadata: DataFrame, features: DataFrame, suffix: str = "__m") -> DataFrame:

@@ -162,4 +162,4 @@ def test_search(spark):
         {"regParam": [0.0, 100.0]},
         regressor=LinearRegression(),
     )
-    assert found.validationMetrics[0] < found.validationMetrics[1]
+    assert found.errors[0] < found.errors[1] and found.settings[0] == {"regParam": 0.0}

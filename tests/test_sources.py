@@ -132,12 +132,6 @@ def test_wide_export_suffixes_metadata(spark):
     assert tables.wide_export(metadata, features).columns == ["building_id", "fuel__m", "fuel"]
 
 
-def test_zone_numbers(spark):
-    zones = dimensions.label_index(spark, ["1A", "2A"], first=1)
-    df = spark.createDataFrame([("2A",), ("9Z",)], "zone string")
-    assert [r[0] for r in df.select(tables.zone_number_of("zone", zones)).collect()] == [2, None]
-
-
 def test_report_file(spark, tmp_path):
     tables.write_report(spark.range(3), f"{tmp_path}/r")
     files = list((tmp_path / "r").glob("part-*.csv"))
