@@ -146,9 +146,9 @@ def test_what_if(spark):
 
 def test_importance_names_the_feature_that_matters(spark):
     features = learning.FeatureSet(("kind",), ("size",), ())
-    df = homes(spark).withColumn("cost", 5.0 * F.col("size") + 1)
+    df = homes(spark).withColumns({"cost": 5.0 * F.col("size") + 1, "id": F.monotonically_increasing_id()})
     found = learning.feature_importance(
-        df, features, "cost", {"all": "true"}, GBTRegressor(maxIter=3, maxDepth=3, seed=1)
+        df, features, "cost", {"all": "true"}, GBTRegressor(maxIter=3, maxDepth=3, seed=1), key=["id"]
     )
     best = found.orderBy(F.desc("importance")).first()
     assert (best["segment"], best["feature"]) == ("all", "size") and best["r2"] > 0.9
