@@ -180,6 +180,7 @@ def fit_quality(
     all labels. A key with several labels counts as 1 if half of them are. The driver gets
     the passages of the sample, at most 2 * sample_rows * PASSAGES rows, and fits there.
     """
+    df = df.select(key, text)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
     if trained is not None:
         known = known.where(trained)

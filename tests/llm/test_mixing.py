@@ -81,9 +81,10 @@ def test_odd_rows(spark):
     assert mixing.repeated_by_mix(df.limit(0)).collect() == []
 
 
-def test_sources_by_code_point():
-    sizes = {"z": 100, "é": 100, "Z": 100, "\U0001d4b3": 100, "ｚ": 100, None: 100}
-    assert list(plain_targets(sizes)) != []
+def test_sources_by_code_point(spark):
+    names = ["z", "é", "Z", "\U0001d4b3", "ｚ", "", None]
+    rows = [(i, t, "en", names[i % len(names)], 0) for i, t in enumerate(sentences(90, 3))]
+    check(spark, rows)
 
 
 def test_rows_repeat_as_the_mix_says(spark):

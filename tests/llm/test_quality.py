@@ -26,16 +26,16 @@ def test_gradients_fit_the_label_of_one_passage():
     """A bag is low if one of its passages is; only attention can tell which."""
     draw = np.random.default_rng(3)
     bags, labels = [], []
-    for i in range(200):
+    for i in range(400):
         passages = draw.normal(size=(draw.integers(2, 8), quality.FEATURES)).astype(np.float32)
-        passages[:, 0] = 0
+        passages[:, 0] = passages[:, 6:] = 0
         if i % 2:
             passages[draw.integers(len(passages)), 0] = 3
         bags.append(passages)
         labels.append(1 - i % 2)
-    model = quality.fit_bags(bags[:150], np.array(labels[:150], float), np.ones(150))
-    scores = quality.score_passages(bags[150:], model)
-    assert ((scores > 0.5) == np.array(labels[150:], bool)).mean() > 0.85
+    model = quality.fit_bags(bags[:300], np.array(labels[:300], float), np.ones(300))
+    scores = quality.score_passages(bags[300:], model)
+    assert ((scores > 0.5) == np.array(labels[300:], bool)).mean() > 0.85
 
 
 def test_scores_do_not_depend_on_neighbours():
