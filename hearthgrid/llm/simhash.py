@@ -145,7 +145,7 @@ def fingerprint_links(
     cut = F.xxhash64("fingerprint")
     own = tiles.join(blocks.drop("others").withColumnRenamed("home", "tile"), "tile").select(
         F.col("tile").alias("home"),
-        F.pmod(cut, F.col("cuts")).alias("cut"),
+        F.pmod(cut, F.col("cuts")).cast("int").alias("cut"),
         F.explode(F.sequence(F.lit(0), F.col("other_cuts") - 1)).alias("other_cut"),
         "fingerprint",
         F.lit(True).alias("own"),
@@ -154,7 +154,7 @@ def fingerprint_links(
     other = tiles.join(others, "tile").select(
         "home",
         F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"),
-        F.pmod(cut, F.col("other_cuts")).alias("other_cut"),
+        F.pmod(cut, F.col("other_cuts")).cast("int").alias("other_cut"),
         "fingerprint",
         F.lit(False).alias("own"),
     )
