@@ -25,6 +25,8 @@ PART_BITS = 16
 # Fingerprints of a tile that are compared as one side, and rows of the other side.
 TILE_ROWS = 4096
 OTHER_ROWS = 65536
+# Bits of the map of keys that are not simply kept.
+MAP_BITS = 25
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -236,28 +238,45 @@ def without_near_duplicates(
 ) -> DataFrame:
     """One row of each near-duplicate group: the one with the group's smallest key.
 
-    Of rows that share that key, and of the rows of a group that has null keys only, the
-    one with the smallest columns, in their order, stays.
+    Of a group's rows that share that key, and of the rows of a group that has null keys
+    only, the one with the smallest columns, in their order, stays.
+
+    Most rows stay and are not shuffled: a bit map of a fixed size has the hashes of all
+    keys that are dropped or that several rows have. Only rows that meet a bit are joined
+    with these keys, which tells the few that only share a hash.
     """
     found = stored(near_duplicates(df, key, text, radius), "simhash-found")
-    # The few rows that are left to compare are those whose key others have too.
-    repeated = found.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n")).where("n > 1 or __key is null")
-    repeated = stored(repeated.select("__key"), "simhash-repeated")
-    keepers = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct()
-    keepers = stored(keepers, "simhash-keepers")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
-    kept = rows.join(keepers, "__key", "left_semi")
-    single = kept.join(repeated, "__key", "left_anti").select("row")
-    several = kept.join(repeated, "__key", "left_semi").groupBy("__key").agg(F.min("row").alias("row")).select("row")
-    unnamed = found.where(F.col("component_id").isNull()).select(
-        F.conv("fingerprint", 16, -10).cast("long").alias("__print"), "group"
+    keys = found.groupBy(F.col(key).alias("__key")).agg(
+        F.count("*").alias("n"), F.first(F.col(key) == F.col("component_id")).alias("least")
+    )
+    marks = stored(
+        keys.where("__key is not null and (n > 1 or not least)").select("__key", (F.col("n") > 1).alias("several")),
+        "simhash-marks",
+    )
+    bit = F.pmod(F.xxhash64("__key"), 1 << MAP_BITS)
+    word, place = F.shiftright(bit, 6).alias("__word"), (bit % 64).cast("int").alias("__place")
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__place"))
+    # At most 2 ** (MAP_BITS - 6) rows, whatever the number of keys.
+    bit_map = marks.select(word, place).groupBy("__word").agg(F.bit_or(flag).alias("__bits"))
+    bit_map = stored(bit_map, "simhash-map")
+    packed = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = df.select(packed, F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = rows.select("*", word, place).join(F.broadcast(bit_map), "__word", "left")
+    met = F.coalesce(F.col("__bits").bitwiseAND(flag) != 0, F.lit(False)) | F.col("__key").isNull()
+    single = rows.where(~met).select("row")
+    doubtful = rows.where(met).select("row", "__key", "__text").join(marks, "__key", "left")
+    unmarked = doubtful.where("several is null and __key is not null").select("row")
+    # Rows that share a key, or have none: the group tells which one stays.
+    groups = found.select(
+        F.conv("fingerprint", 16, -10).cast("long").alias("__print"), "group", "component_id"
     ).distinct()
-    nameless = (
-        rows.where(F.col("__key").isNull())
+    several = (
+        doubtful.where("several or __key is null")
         .withColumn("__print", fingerprint_column(F.col("__text")))
-        .join(unnamed, "__print")
+        .join(groups, "__print")
+        .where(F.col("__key").eqNullSafe(F.col("component_id")))
         .groupBy("group")
         .agg(F.min("row").alias("row"))
         .select("row")
     )
-    return single.unionByName(several).unionByName(nameless).select("row.*")
+    return single.unionByName(unmarked).unionByName(several).select("row.*")
