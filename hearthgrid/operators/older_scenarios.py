@@ -28,6 +28,7 @@ ATTIC_UPGRADES = [
         "R-60",
     ),
 ]
+# Foundations that are crawlspaces.
 CRAWLSPACES = ("Unvented Crawlspace", "Vented Crawlspace")
 # Existing heat pumps that are still replaced.
 WEAK_DUCTED = ("ASHP, SEER 10, 6.2 HSPF", "ASHP, SEER 13, 7.7 HSPF", "ASHP, SEER 15, 8.5 HSPF")

@@ -89,10 +89,19 @@ def energy_rollup(
 
 
 def modelling_table(
-    energy: DataFrame, metadata: DataFrame, weather: DataFrame, grain: str, place="county_geoid"
+    energy: DataFrame,
+    metadata: DataFrame,
+    weather: DataFrame,
+    grain: str,
+    place: str = "county_geoid",
+    on: Sequence[str] = ("building_id", "upgrade_id"),
 ) -> DataFrame:
-    """Rolled-up energy with building metadata and the weather of the same period."""
-    return energy.join(metadata, ["building_id", "upgrade_id"]).join(
+    """Rolled-up energy with building metadata and the weather of the same period.
+
+    ``on`` names the keys that the metadata has: ``building_id`` alone if it does not
+    differ by scenario.
+    """
+    return energy.join(metadata, list(on)).join(
         weather, [place, *grain_keys(grain)]
     )
 

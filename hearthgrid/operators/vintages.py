@@ -52,6 +52,7 @@ OUTPUT_REPLACE = {
     "energy_use": "site_energy",
 }
 
+# Building types that are modelled.
 MODELED_TYPES = (
     "Single-Family Detached",
     "Single-Family Attached",
@@ -154,6 +155,7 @@ REDUNDANT_2024 = (
     "hvac_secondary_heating_fuel",
     "hvac_secondary_heating_partial_space_conditioning",
 )
+# Appliances whose label carries a usage.
 APPLIANCES_WITH_USAGE = (
     "clothes_dryer",
     "clothes_washer",
@@ -161,6 +163,7 @@ APPLIANCES_WITH_USAGE = (
     "dishwasher",
     "refrigerator",
 )
+# Fuel names of the later vintage.
 FUEL_WORDS = {"Electric": "Electricity", "Gas": "Natural Gas"}
 
 

@@ -251,14 +251,11 @@ def energy_with_weather(spark, folder):
     homes = table(spark, folder, "orders").join(
         customers, F.col("c_custkey") == F.col("o_custkey")
     ).select(F.col("o_orderkey").alias("building_id"), F.col("c_nationkey").alias("place"))
-    scenarios = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("upgrade_id")
     climate = customers.groupBy(
         F.col("c_nationkey").alias("place"),
         (1 + F.col("c_custkey") % 12).cast("int").alias("month"),
     ).agg(F.round(F.avg("c_acctbal"), 4).alias("temp"))
-    joined = rollup.modelling_table(
-        energy, homes.select("building_id", "place", scenarios), climate, "monthly", "place"
-    )
+    joined = rollup.modelling_table(energy, homes, climate, "monthly", "place", ["building_id"])
     return joined.groupBy("place", "month").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("sum_out_electricity_heating_total").alias("heat"),
