@@ -400,11 +400,11 @@ def scored_texts(
         .agg(*[F.sum(c).alias(c) for c in columns[:-1]], F.sum("mass").alias("mass")).collect()
     )
     hot_contexts = {r["hash"] & ((1 << 64) - 1): (np.array(r[1 : DISCOUNTED + 1]), r["mass"]) for r in hot_rows}
-    shared = spark.sparkContext.broadcast((totals, discount, hot_contexts))
+    shared = spark.sparkContext.broadcast((discount, hot_contexts))
     hot = max(totals.tokens / HOT, 1.0)
 
     def score(key_: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        totals, discount, hot_contexts = shared.value
+        discount, hot_contexts = shared.value
         row = left.to_pylist()[0]
         answers = sorted((r for r in right.to_pylist()), key=lambda r: r["bucket"])
         block = _Block.of(row)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,8 @@ SMOOTHING = 0.1
 UNDECIDED = "und"
 
 
-@cache
-def _letters() -> np.ndarray:
-    """Whether each code point is a letter."""
-    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+# Whether each code point is a letter, a bit each.
+LETTERS = np.packbits(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def ngram_buckets(texts: list[str | None], longest: int = LONGEST, buckets: int = BUCKETS):
@@ -38,7 +35,7 @@ def ngram_buckets(texts: list[str | None], longest: int = LONGEST, buckets: int
     sizes = np.fromiter(map(len, joined), np.int64, len(joined))
     points = np.concatenate([*joined, np.empty(0, np.uint32)])
     doc = np.repeat(np.arange(len(joined)), sizes)
-    letter = _letters()[points]
+    letter = np.unpackbits(LETTERS).view(bool)[points]
     starts = np.cumsum(sizes) - sizes
     first = np.zeros(len(points), bool)
     first[starts] = True
@@ -159,13 +156,16 @@ def with_language(df: DataFrame, model: LanguageModel, text: str = "text") -> Da
     Null texts and texts without letters are ``und`` with score 0, as are all texts if no
     language was learned. Whole texts are scored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(
+        (model.languages, model.priors, model.table, model.longest)
+    )
     kept = df.drop("lang_pred", "score")
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = LanguageModel(*shared.value)
         for batch in batches:
-            names, scores = predict_languages(batch.column(at).to_pylist(), shared.value)
+            names, scores = predict_languages(batch.column(at).to_pylist(), known)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"],

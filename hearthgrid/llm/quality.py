@@ -221,13 +221,14 @@ def with_quality(
 
     Null and empty texts have one passage of zeros. The model is a few kilobytes.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights))
     chosen = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = QualityModel(*shared.value)
         for batch in batches:
             passages = [encode_passages(t.as_py()) for t in batch["text"]]
-            scores = score_passages(passages, shared.value) if passages else np.empty(0)
+            scores = score_passages(passages, known) if passages else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(scores)], names=["key", "score"])
 
     kind = chosen.schema["key"].dataType.simpleString()
