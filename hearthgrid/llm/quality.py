@@ -95,14 +95,12 @@ def _forward(x: np.ndarray, bag: np.ndarray, n: int, p: dict[str, np.ndarray]):
     """Scores of bags, with what the gradient needs. Each bag has one passage at least."""
     t, g = np.tanh(x @ p["V"]), 1 / (1 + np.exp(-(x @ p["U"])))
     e = (t * g) @ p["w"]
-    top = np.full(n, -np.inf)
-    np.maximum.at(top, bag, e)
-    a = np.exp(e - top[bag])
+    first = np.searchsorted(bag, np.arange(n))
+    a = np.exp(e - np.maximum.reduceat(e, first)[bag])
     a /= np.bincount(bag, a, minlength=n)[bag]
     # The weighted passage representation of a bag, and its score.
     h = np.tanh(x @ p["H"] + p["hb"])
-    z = np.zeros((n, h.shape[1]))
-    np.add.at(z, bag, a[:, None] * h)
+    z = np.add.reduceat(a[:, None] * h, first, axis=0)
     score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"], -40, 40)))
     return t, g, a, h, z, score
 
