@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -240,12 +240,22 @@ def without_near_duplicates(
 
     Of a group's rows that share that key, and of the rows of a group that has null keys
     only, the one with the smallest columns, in their order, stays.
+    """
+    signed = F.conv("fingerprint", 16, -10).cast("long").alias("print")
+    found = near_duplicates(df, key, text, radius).select(key, signed, "component_id", "group")
+    return one_row_of_each_group(df, stored(found, "simhash-found"), fingerprint_column, key, text)
+
+
+def one_row_of_each_group(
+    df: DataFrame, found: DataFrame, print_of: Callable[[Column], Column], key: str, text: str
+) -> DataFrame:
+    """Rows of ``df`` that stay by ``found``: ``key``, ``print``, ``component_id`` and ``group``
+    of every row, where ``print_of`` gives a text's print.
 
     Most rows stay and are not shuffled: a bit map of a fixed size has the hashes of all
     keys that are dropped or that several rows have. Only rows that meet a bit are joined
     with these keys, which tells the few that only share a hash.
     """
-    found = stored(near_duplicates(df, key, text, radius), "simhash-found")
     keys = found.groupBy(F.col(key).alias("__key")).agg(
         F.count("*").alias("n"), F.first(F.col(key) == F.col("component_id")).alias("least")
     )
@@ -267,12 +277,10 @@ def without_near_duplicates(
     doubtful = rows.where(met).select("row", "__key", "__text").join(marks, "__key", "left")
     unmarked = doubtful.where("several is null and __key is not null").select("row")
     # Rows that share a key, or have none: the group tells which one stays.
-    groups = found.select(
-        F.conv("fingerprint", 16, -10).cast("long").alias("__print"), "group", "component_id"
-    ).distinct()
+    groups = found.select(F.col("print").alias("__print"), "group", "component_id").distinct()
     several = (
         doubtful.where("several or __key is null")
-        .withColumn("__print", fingerprint_column(F.col("__text")))
+        .withColumn("__print", print_of(F.col("__text")))
         .join(groups, "__print")
         .where(F.col("__key").eqNullSafe(F.col("component_id")))
         .groupBy("group")
