@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import wraps
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.llm import (
+    centroids,
     decontaminate,
     hamming_search,
     katz,
     language,
     mixing,
+    pieces,
+    prefix_trie,
     quality,
     secrets,
     sharding,
@@ -25,7 +29,9 @@ from hearthgrid.llm.common import prepared, split_number
 from hearthgrid.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Folder of the public vocabularies, and the setting that names another one.
+TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS_KEY = "hearthgrid.tokenizers"
 QUALITY_LEAST = 0.7
 
 _queries: dict[str, Query] = {}
@@ -44,6 +50,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary(spark: SparkSession, name: str) -> str:
+    return f"{spark.conf.get(TOKENIZERS_KEY, TOKENIZERS)}/{name}"
+
+
 def _held_out(parts: int) -> F.Column:
     return F.coalesce(split_number(F.col("doc_id"), parts) == 2, F.lit(False))
 
@@ -102,7 +112,7 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.with_token_counts(_table(spark, folder, "documents"), VOCABULARY)
+    return token_counts.with_token_counts(_table(spark, folder, "documents"), _vocabulary(spark, "byte_bpe_50k.tiktoken"))
 
 
 @_query
@@ -115,6 +125,34 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+@_query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    sequences = prefix_trie.turn_sequences(_table(spark, folder, "conversations"))
+    return prefix_trie.trie_nodes(prefix_trie.with_shared_heads(sequences, group=5, most=9))
+
+
+@_query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    found, final = centroids.clustered(_table(spark, folder, "embeddings"))
+    # One digest for each centroid: as many as there are clusters.
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final.tolist()]
+    digest = F.array(*map(F.lit, digests))[F.col("cluster")] if digests else F.lit(None).cast("string")
+    return centroids.with_inertia(found).withColumn("centroid_sha256", digest)
+
+
+@_query
+def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = _vocabulary(spark, "piece_bpe_32k.model")
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    tokens = pieces.encoded(docs, model).select("doc_id", "ids")
+    return pieces.decoded(tokens, model).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_queries)
 

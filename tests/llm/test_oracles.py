@@ -16,4 +16,4 @@ def test_against_sql(spark, folder, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(name[2:].split("_")[0]) for name in queries.all_queries()]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
