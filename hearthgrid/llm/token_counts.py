@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 # A word with the blank before it, else a run of blanks, of digits or of other marks.
 PRE_TOKEN = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
-# Nodes after which a task begins a new trie.
-TRIE_NODES = 400_000
+# Nodes after which a task begins a new trie, about 150 bytes each.
+TRIE_NODES = 1_000_000
+# Characters beyond which the pre-tokens of a text are taken one by one.
+LONG_TEXT = 1 << 20
 
 
 @cache
@@ -31,6 +33,17 @@ def piece_scores(path: str) -> dict[bytes, float]:
     return {piece: -math.log(r + 1) - total for piece, r in ranks.items()}
 
 
+class _Terminals(dict):
+    """Counts of inserted pre-tokens; one that is asked for first is inserted."""
+
+    def __init__(self, insert: Callable[[str], int]) -> None:
+        self.insert = insert
+
+    def __missing__(self, token: str) -> int:
+        count = self[token] = self.insert(token)
+        return count
+
+
 class Trie:
     """Pre-tokens inserted so far, each prefix scored once.
 
@@ -43,8 +56,11 @@ class Trie:
     """
 
     def __init__(self, scores: Mapping[bytes, float], nodes: int = TRIE_NODES) -> None:
-        self.scores, self.nodes = scores, nodes
-        self.longest = max(map(len, scores), default=1)
+        self.nodes = nodes
+        # What pieces end with, and the score of what is a piece: a walk back from the end
+        # of a prefix stops where no piece reaches further.
+        self.ends: dict[bytes, float | None] = {piece[k:]: None for piece in scores for k in range(len(piece))}
+        self.ends.update(scores)
         self.unknown = min(scores.values(), default=0.0) - 10
         self.clear()
 
@@ -52,13 +68,13 @@ class Trie:
         self.children: dict[int, int] = {}
         self.forward = [0.0]
         self.pieces = [0]
-        self.terminal: dict[str, int] = {}
+        self.terminal = _Terminals(self.insert)
 
     def insert(self, token: str) -> int:
-        """The number of tokens of a pre-token."""
+        """The number of tokens of a pre-token, whose prefixes become nodes."""
         data = token.encode("utf-8", "replace")
         children, forward, pieces = self.children, self.forward, self.pieces
-        score_of, longest = self.scores.get, self.longest
+        end_of = self.ends.get
         path = [0]
         node = 0
         for i, byte in enumerate(data, 1):
@@ -66,8 +82,10 @@ class Trie:
             node = children.get(edge, -1)
             if node < 0:
                 best, count = forward[path[-1]] + self.unknown, pieces[path[-1]] + 1
-                for k in range(max(0, i - longest), i):
-                    score = score_of(data[k:i])
+                for k in range(i - 1, -1, -1):
+                    score = end_of(data[k:i], False)
+                    if score is False:
+                        break
                     if score is not None:
                         at = path[k]
                         total, n = forward[at] + score, pieces[at] + 1
@@ -77,12 +95,10 @@ class Trie:
                 forward.append(best)
                 pieces.append(count)
             path.append(node)
-        self.terminal[token] = pieces[node]
         return pieces[node]
 
     def count(self, token: str) -> int:
-        known = self.terminal.get(token)
-        return self.insert(token) if known is None else known
+        return self.terminal[token]
 
     def trimmed(self) -> None:
         """Start anew once the trie is full: counts stay right, memory stays bounded."""
@@ -112,16 +128,23 @@ def with_token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(shared.value)
-        find = regex.compile(pattern).finditer
+        compiled = regex.compile(pattern)
         for batch in batches:
             pre, tokens = [], []
             for value in batch["text"]:
-                n = total = 0
-                for match in find(value.as_py() or ""):
-                    n += 1
-                    total += trie.count(match[0])
-                pre.append(n)
-                tokens.append(total)
+                text = value.as_py() or ""
+                count = trie.terminal.__getitem__
+                if len(text) <= LONG_TEXT:
+                    found = compiled.findall(text)
+                    pre.append(len(found))
+                    tokens.append(sum(map(count, found)))
+                else:
+                    n = total = 0
+                    for match in compiled.finditer(text):
+                        n += 1
+                        total += count(match[0])
+                    pre.append(n)
+                    tokens.append(total)
                 trie.trimmed()
             yield pa.RecordBatch.from_arrays(
                 [batch["key"], pa.array(pre, pa.int64()), pa.array(tokens, pa.int64())],

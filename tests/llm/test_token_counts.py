@@ -47,7 +47,7 @@ def test_shared_prefixes_are_scored_once():
 
 def test_against_a_public_unigram_model():
     """The same scores in an installed tokenizer give as many tokens."""
-    scores = token_counts.piece_scores(queries.VOCABULARY)
+    scores = token_counts.piece_scores(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken")
     known = {p.decode(): s for p, s in scores.items() if p.isascii()}
     known.pop("", None)
     model = Tokenizer(models.Unigram([("<unk>", -100.0), *known.items()], 0, False))
@@ -79,7 +79,7 @@ def test_odd_rows(spark, tmp_path):
 
 
 def test_query(spark, folder):
-    scores = token_counts.piece_scores(queries.VOCABULARY)
+    scores = token_counts.piece_scores(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken")
     import regex
 
     memo = {}
