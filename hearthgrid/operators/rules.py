@@ -7,13 +7,34 @@ projection of ``CASE`` expressions; later stages see the results of earlier ones
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Columns that stand for those of the row while values of one scenario are made.
+_seen: dict[str, Column] = {}
+
+
+def col(name: str) -> Column:
+    """A column as rules see it: the row's own, or what earlier stages made of it."""
+    return _seen.get(name, F.col(name))
+
+
+@contextmanager
+def seeing(columns: Mapping[str, Column]) -> Iterator[None]:
+    before = dict(_seen)
+    _seen.update(columns)
+    try:
+        yield
+    finally:
+        _seen.clear()
+        _seen.update(before)
+
+
 @dataclass(frozen=True)
 class Rule:
     scenarios: frozenset[float]
@@ -58,3 +79,25 @@ def apply_stage(
             any_rule = any_rule | F.coalesce(r.applies(scenario_column), F.lit(False))
         changed[flag] = F.when(any_rule, 1).otherwise(F.col(flag))
     return df.withColumns(changed)
+
+
+def stage_values(
+    rules: Callable[[], Sequence[Rule]], scenario: float, seen: Mapping[str, Column]
+) -> dict[str, Column]:
+    """``seen`` after one stage of one scenario, as expressions over the unchanged row.
+
+    Rules of other scenarios leave nothing behind, so the variants of many scenarios fit
+    side by side into one projection.
+    """
+    by_column: dict[str, list[Rule]] = {}
+    changed = {}
+    with seeing(seen):
+        for r in rules():
+            if scenario in r.scenarios:
+                by_column.setdefault(r.column, []).append(r)
+        for name, own in by_column.items():
+            chain = F
+            for r in own:
+                chain = chain.when(F.lit(True) if r.when is None else r.when(), r.value())
+            changed[name] = chain.otherwise(col(name))
+    return {**seen, **changed}

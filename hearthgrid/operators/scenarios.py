@@ -11,10 +11,13 @@ from hearthgrid.functions import water_heater
 from hearthgrid.functions.lookup import map_literal
 from hearthgrid.operators.columns import fill_from
 from hearthgrid.operators.features import fuel_presence
-from hearthgrid.operators.rules import Rule, apply_stage, rule
+from hearthgrid.operators.rules import Rule, apply_stage, col, rule, stage_values
 from hearthgrid.operators.vintages import SET_2022, SET_2024
+from hearthgrid.session import join_settled, settle
 from hearthgrid.sources.dimensions import (
+    CEILING_TARGETS,
     COPS,
+    HEAT_PUMP_RATINGS,
     RETENTIONS,
     ceiling_targets,
     heat_pump_curves,
@@ -85,18 +88,18 @@ LOOKUP_ONLY = ("insulation_wall", "water_heater_efficiency")
 
 
 def _ducts() -> Column:
-    return F.col("has_ducts")
+    return col("has_ducts")
 
 
 def _ducts_improvable() -> Column:
-    return _ducts() & ~F.col("duct_leakage_and_insulation").isin(*DUCTS_LEFT_ALONE)
+    return _ducts() & ~col("duct_leakage_and_insulation").isin(*DUCTS_LEFT_ALONE)
 
 
 def _tier(low: float, high: float | None = None, closed: bool = False):
     """Condition that infiltration lies above ``low`` and not above ``high``."""
 
     def holds() -> Column:
-        ach = F.col("infiltration_ach50")
+        ach = col("infiltration_ach50")
         above = ach >= low if closed else ach > low
         return above if high is None else above & (ach <= high)
 
@@ -104,7 +107,7 @@ def _tier(low: float, high: float | None = None, closed: bool = False):
 
 
 def _scaled(column: str, factor: float):
-    return lambda: F.col(column) * factor
+    return lambda: col(column) * factor
 
 
 def envelope_rules() -> list[Rule]:
@@ -112,9 +115,9 @@ def envelope_rules() -> list[Rule]:
         rule(
             ENCLOSURE,
             "insulation_ceiling_r_value",
-            lambda: F.col("ceiling_target"),
-            lambda: (F.col("attic_type") == "Vented Attic")
-            & (F.col("insulation_ceiling_r_value") <= F.col("ceiling_threshold")),
+            lambda: col("ceiling_target"),
+            lambda: (col("attic_type") == "Vented Attic")
+            & (col("insulation_ceiling_r_value") <= col("ceiling_threshold")),
         ),
         rule(
             ENCLOSURE,
@@ -125,20 +128,20 @@ def envelope_rules() -> list[Rule]:
         rule(
             ENCLOSURE,
             "duct_leakage_percentage",
-            lambda: F.least(F.col("duct_leakage_percentage"), F.lit(0.1)),
+            lambda: F.least(col("duct_leakage_percentage"), F.lit(0.1)),
             _ducts_improvable,
         ),
         rule(
             ENCLOSURE,
             "duct_insulation_r_value",
-            lambda: F.greatest(F.col("duct_insulation_r_value"), F.lit(8.0)),
+            lambda: F.greatest(col("duct_insulation_r_value"), F.lit(8.0)),
             _ducts_improvable,
         ),
         rule(
             ENCLOSURE,
             "insulation_wall_r_value",
             13,
-            lambda: F.col("insulation_wall") == "Wood Stud, Uninsulated",
+            lambda: col("insulation_wall") == "Wood Stud, Uninsulated",
         ),
         rule(AIR_SEALING, "infiltration_ach50", _scaled("infiltration_ach50", 0.6), _tier(15)),
         rule(AIR_SEALING, "infiltration_ach50", _scaled("infiltration_ach50", 0.7), _tier(10, 15)),
@@ -148,17 +151,17 @@ def envelope_rules() -> list[Rule]:
 
 def _ductless_gains() -> Column:
     """Homes with heating whose present equipment is below the no-gain ratings."""
-    return (F.col("heating_fuel") != "None") & (
-        (F.col("heating_efficiency_nominal_percentage") < NO_GAIN_HEATING)
-        | (F.col("cooling_efficiency_eer") < NO_GAIN_COOLING)
+    return (col("heating_fuel") != "None") & (
+        (col("heating_efficiency_nominal_percentage") < NO_GAIN_HEATING)
+        | (col("cooling_efficiency_eer") < NO_GAIN_COOLING)
     )
 
 
 def _single_zone() -> Column:
     return (
-        (F.col("n_bedrooms") == 1)
-        | (F.col("sqft") <= 749)
-        | ((F.col("n_bedrooms") == 2) & (F.col("sqft") <= 999))
+        (col("n_bedrooms") == 1)
+        | (col("sqft") <= 749)
+        | ((col("n_bedrooms") == 2) & (col("sqft") <= 999))
     )
 
 
@@ -219,25 +222,25 @@ def water_heater_rules() -> list[Rule]:
     fits = HEAT_PUMP_WATER_HEATER
     return [
         rule(fits, "water_heater_fuel", "Electricity"),
-        rule(fits, label, lambda: F.col(label), lambda: F.col(label) == "Electric Tankless"),
+        rule(fits, label, lambda: col(label), lambda: col(label) == "Electric Tankless"),
         rule(
             fits,
             label,
             "Electric Heat Pump, 50 gal, 3.45 UEF",
-            lambda: F.col("n_bedrooms") <= 3,
+            lambda: col("n_bedrooms") <= 3,
         ),
         rule(
             fits,
             label,
             "Electric Heat Pump, 66 gal, 3.35 UEF",
-            lambda: F.col("n_bedrooms") == 4,
+            lambda: col("n_bedrooms") == 4,
         ),
         rule(fits, label, "Electric Heat Pump, 80 gal, 3.45 UEF"),
     ]
 
 
 def appliance_rules() -> list[Rule]:
-    respecified = water_heater.specs("water_heater_efficiency")
+    respecified = water_heater.specs(col("water_heater_efficiency"))
     return [
         *[
             rule(HEAT_PUMP_WATER_HEATER, name, lambda spec=spec: spec)
@@ -326,6 +329,99 @@ def scenario_features(
     return apply_scenarios(fan_out(features, scenarios, ["building_set"]))
 
 
+def scenario_values(scenario_id: float) -> dict[str, Column]:
+    """Columns that a scenario changes, as expressions over the baseline row.
+
+    The same rules as :func:`apply_scenarios`, whose remaining columns follow from these.
+    """
+    limits = map_literal({zone: F.struct(*map(F.lit, pair)) for zone, pair in CEILING_TARGETS.items()})
+    ratings = map_literal({label: F.struct(*map(F.lit, pair)) for label, pair in HEAT_PUMP_RATINGS.items()})
+    limit = limits[F.col("climate_zone_temp").cast("int")]
+    seen = {
+        "has_heat_pump_dryer": F.lit(False),
+        "infiltration_ach50": F.col("infiltration_ach50").cast("double"),
+        "duct_insulation_r_value": F.col("duct_insulation_r_value").cast("double"),
+        "hp_label": F.lit(None).cast("string"),
+        "ceiling_threshold": limit["col1"],
+        "ceiling_target": limit["col2"],
+    }
+    seen = stage_values(envelope_rules, scenario_id, seen)
+    seen = stage_values(heat_pump_choice_rules, scenario_id, seen)
+    for name, field in (("heating_efficiency_nominal_percentage", "col1"), ("cooling_efficiency_eer", "col2")):
+        seen[name] = F.coalesce(ratings[seen["hp_label"]][field], F.col(name))
+    for rules in (heat_pump_rules, water_heater_rules, appliance_rules):
+        seen = stage_values(rules, scenario_id, seen)
+    return {n: c for n, c in seen.items() if n not in ("hp_label", "ceiling_threshold", "ceiling_target", *LOOKUP_ONLY)}
+
+
+def fan_out_flagged(features: DataFrame, scenario_ids: Sequence[float] | None = None) -> DataFrame:
+    """One row per building and scenario of its set, with ``applicability``: false where a
+    lower scenario changes the row to the very same features.
+
+    The variants of a row are compared inside it: an array holds, for each scenario, the
+    columns that any of them changes. Nothing is shuffled and no row is multiplied before
+    its scenarios are known. Rows are compared with no others, so a building is to be in
+    one row; :func:`changed_scenarios` takes any.
+    """
+    chosen = CATALOGUE if scenario_ids is None else {float(s) for s in scenario_ids}
+    ordered = sorted(chosen)
+    values = {s: scenario_values(s) for s in ordered}
+    changed = sorted({name for own in values.values() for name in own})
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema.fields}
+    # Numbers are compared as doubles, whatever type a rule's literal has.
+    kind = {n: k if (k := kinds.get(n, "boolean")) in ("string", "boolean") else "double" for n in changed}
+
+    def variant(s: float) -> Column:
+        fits = F.col("building_set") == CATALOGUE[s][1]
+        if s in ENCLOSURE:
+            fits &= F.col("climate_zone_temp").cast("int").isin(list(CEILING_TARGETS))
+        columns = [values[s].get(n, F.col(n)).cast(kind[n]).alias(n) for n in changed]
+        return F.when(fits, F.struct(*columns))
+
+    rows = features.withColumn("__variants", F.array(*map(variant, ordered)))
+    own = F.col("__variants")
+    scenarios = F.array(*[
+        F.when(own[i].isNotNull(), F.struct(
+            F.lit(s).alias("upgrade_id"), F.lit(CATALOGUE[s][0]).alias("upgrade_name"),
+            (F.array_position(own, own[i]) == i + 1).alias("applicability"),
+        ))
+        for i, s in enumerate(ordered)
+    ])
+    names = ["building_set", *[c for c in features.columns if c != "building_set"]]
+    return rows.select(*[F.col(f"`{n}`") for n in names], F.inline(F.filter(scenarios, lambda x: x.isNotNull())))
+
+
+def changed_scenarios(
+    features: DataFrame,
+    scenario_ids: Sequence[float] | None = None,
+    key: Sequence[str] = ("building_id", "building_set"),
+    unique: bool = False,
+) -> DataFrame:
+    """Features of every building under every scenario that changes something against all
+    lower ones: :func:`drop_unchanged` of :func:`scenario_features`, without its shuffle.
+
+    Rows whose ``key`` no other row has are compared inside themselves. ``unique`` says that
+    all are such, as a keyed table guarantees; else their keys alone are counted first. Rows
+    that share a key may equal each other's variants and take the aggregation.
+    """
+    def apart(rows: DataFrame) -> DataFrame:
+        return apply_scenarios(fan_out_flagged(rows, scenario_ids).where("applicability").drop("applicability"))
+
+    if unique:
+        return apart(features)
+    repeated = features.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    repeated = settle(repeated, "repeated-buildings")
+    if repeated.isEmpty():
+        return apart(features)
+    several = join_settled(features, repeated, key).select(*features.columns)
+    together = drop_unchanged(scenario_features(several, scenario_ids))
+    renamed = repeated.select(*[F.col(c).alias(f"__{c}") for c in key])
+    alike = F.lit(True)
+    for c in key:
+        alike &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return apart(features.join(renamed, alike, "left_anti")).unionByName(together)
+
+
 # Copies of a row that are restored at a time.
 COPIES = 4096
 

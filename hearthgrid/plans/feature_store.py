@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from hearthgrid.operators import scenarios
 from hearthgrid.operators.audit import require_no_nulls, require_same_categories
 from hearthgrid.operators.features import building_features
 from hearthgrid.operators.learning import fit_label_index, index_labels
-from hearthgrid.operators.scenarios import drop_unchanged, scenario_features
 from hearthgrid.operators.weather import weather_arrays
 from hearthgrid.session import settle
 from hearthgrid.sources.tables import save_keyed
@@ -20,7 +20,7 @@ BUILDING_KEYS = ("building_id", "upgrade_id", "weather_file_city")
 
 def changed_scenarios(metadata: DataFrame) -> DataFrame:
     """Features of every building under every scenario that changes something."""
-    return drop_unchanged(scenario_features(building_features(metadata)))
+    return scenarios.changed_scenarios(building_features(metadata))
 
 
 def feature_tables(

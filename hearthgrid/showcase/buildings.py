@@ -126,7 +126,7 @@ RANKED = f", ranked AS (SELECT *, rank() OVER (PARTITION BY {CHANGEABLE} ORDER B
     "infiltration_ach50, water_heater_type, min_cop_47f FROM ranked WHERE place = 1"
 )
 def applicable_scenarios(spark, folder):
-    kept = scenarios.drop_unchanged(upgraded(spark, folder))
+    kept = scenarios.changed_scenarios(features(spark, folder))
     return kept.select(
         "building_id",
         "building_set",
@@ -143,7 +143,7 @@ def applicable_scenarios(spark, folder):
     "WHERE place = 1 GROUP BY upgrade_id"
 )
 def scenario_counts(spark, folder):
-    kept = scenarios.drop_unchanged(upgraded(spark, folder))
+    kept = scenarios.changed_scenarios(features(spark, folder))
     return kept.groupBy("upgrade_id").agg(F.count(F.lit(1)).alias("n_buildings"))
 
 
@@ -153,7 +153,7 @@ def scenario_counts(spark, folder):
     "GROUP BY upgrade_id"
 )
 def applicability_mismatch(spark, folder):
-    flagged = scenarios.flag_changed(upgraded(spark, folder))
+    flagged = scenarios.fan_out_flagged(features(spark, folder))
     simulated = flagged.select(
         "building_id", "upgrade_id", (F.col("building_id") % 7 != 0).alias("applicability")
     )

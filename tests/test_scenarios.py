@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +277,86 @@ def test_unchanged_scenarios_are_dropped_with_all_copies_of_the_rest(spark):
     assert values(flagged.where("not applicability"), "upgrade_id") == [(1.0,), (4.0,)]
 
 
+def varied_homes(spark, n=150):
+    """Homes of both sets that differ in what the rules look at, nulls included."""
+    draw = random.Random(11)
+    choices = {
+        "climate_zone_temp": [1, 2, 5, None, 99],
+        "attic_type": ["Vented Attic", "None", None],
+        "insulation_wall": ["Wood Stud, Uninsulated", "Brick, R-13", None],
+        "insulation_wall_r_value": [13, 0],
+        "insulation_ceiling_r_value": [7, 38, None],
+        "infiltration_ach50": [5, 8, 12, 15, 20, None],
+        "has_ducts": [True, False, None],
+        "duct_leakage_percentage": [0.1, 0.3, None],
+        "duct_leakage_and_insulation": ["20% Leakage to Outside, R-6", "0% Leakage to Outside, Uninsulated", "None"],
+        "heating_fuel": ["Electricity", "Natural Gas", "None"],
+        "heating_appliance_type": ["ASHP", "Furnace"],
+        "ac_type": ["Heat Pump", "AC"],
+        "cooled_space_percentage": [1.0, 0.5],
+        "heat_pump_sizing_methodology": ["ACCA", "HERS", "None"],
+        "heating_efficiency_nominal_percentage": [0.8, 2.638, 3.9, None],
+        "cooling_efficiency_eer": [10.7, 22.0, None],
+        "cooling_setpoint_offset_magnitude_degrees_f": [0.0, 3.0],
+        "heating_setpoint_offset_magnitude_degrees_f": [0.0, 9.0],
+        "n_bedrooms": [1, 2, 4, 5],
+        "sqft": [600.0, 900.0, 2000.0],
+        "water_heater_fuel": ["Electricity", "Propane"],
+        "water_heater_efficiency": ["Electric Tankless", "Electric Heat Pump, 50 gal, 3.45 UEF", "Natural Gas Premium"],
+        "clothes_dryer_fuel": ["Electricity", "Natural Gas"],
+        "cooking_range_fuel": ["Electricity", "Propane"],
+        "has_induction_range": [True, False],
+        "hvac_heating_efficiency": ["ASHP, SEER 15, 9 HSPF", "MSHP, SEER 24, 13 HSPF", "Fuel Furnace, 80% AFUE"],
+    }
+    changes = [{"building_id": i, **{k: draw.choice(v) for k, v in choices.items()}} for i in range(n)]
+    even = F.when(F.col("building_id") % 2 == 0, scenarios.SET_2022).otherwise(scenarios.SET_2024)
+    return homes(spark, *changes).withColumn("building_set", even)
+
+
+def as_bag(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+
+
+def test_variants_inside_the_row_are_those_of_the_aggregation(spark):
+    some = varied_homes(spark)
+    expected = as_bag(scenarios.drop_unchanged(scenarios.scenario_features(some)))
+    assert as_bag(scenarios.changed_scenarios(some, unique=True)) == expected
+    assert as_bag(scenarios.changed_scenarios(some)) == expected
+    every = scenarios.scenario_features(some).count()
+    assert len(expected) < every - 20
+    flagged = scenarios.fan_out_flagged(some)
+    assert flagged.count() == every
+    keys = ["building_id", "building_set", "upgrade_id", "upgrade_name", "applicability"]
+    assert values(flagged, *keys) == values(scenarios.flag_changed(scenarios.scenario_features(some)), *keys)
+
+
+def test_rows_of_one_building_are_compared_with_each_other(spark):
+    """Copies, a null key, and a building whose one row equals a variant of its other row."""
+    some = varied_homes(spark, 40)
+    sealed = some.where("building_id = 5").withColumn("infiltration_ach50", F.lit(20))
+    better = sealed.withColumn("infiltration_ach50", F.lit(12))
+    no_key = some.where("building_id < 4").withColumn("building_id", F.lit(None).cast("int"))
+    rows = some.where("building_id <> 5").unionByName(sealed).unionByName(better).unionByName(no_key)
+    rows = rows.unionByName(rows.where("building_id in (3, 8)"))
+    expected = as_bag(scenarios.drop_unchanged(scenarios.scenario_features(rows)))
+    assert as_bag(scenarios.changed_scenarios(rows)) == expected
+    assert as_bag(scenarios.changed_scenarios(rows, unique=True)) != expected
+
+
+def test_a_choice_of_scenarios_and_no_homes(spark):
+    some = varied_homes(spark, 30)
+    chosen = [0.0, 1.0, 9.0, 15.05]
+    expected = as_bag(scenarios.drop_unchanged(scenarios.scenario_features(some, chosen)))
+    assert as_bag(scenarios.changed_scenarios(some, chosen)) == expected
+    assert scenarios.changed_scenarios(some.limit(0)).collect() == []
+
+
+def test_unique_homes_are_not_shuffled(spark):
+    plan = scenarios.changed_scenarios(varied_homes(spark, 5), unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    assert "PythonUDF" not in plan and "CartesianProduct" not in plan
+
+
 def test_names_come_back(spark):
     df = spark.createDataFrame(
         [(1, 0.0, "Baseline", "a"), (1, 1.0, "Basic enclosure", "b")],
