@@ -329,15 +329,11 @@ def scenario_features(
     return apply_scenarios(fan_out(features, scenarios, ["building_set"]))
 
 
-def scenario_values(scenario_id: float) -> dict[str, Column]:
-    """Columns that a scenario changes, as expressions over the baseline row.
-
-    The same rules as :func:`apply_scenarios`, whose remaining columns follow from these.
-    """
+def _before_rules() -> dict[str, Column]:
+    """What rules of all scenarios read besides the row, with the limits of its climate zone."""
     limits = map_literal({zone: F.struct(*map(F.lit, pair)) for zone, pair in CEILING_TARGETS.items()})
-    ratings = map_literal({label: F.struct(*map(F.lit, pair)) for label, pair in HEAT_PUMP_RATINGS.items()})
     limit = limits[F.col("climate_zone_temp").cast("int")]
-    seen = {
+    return {
         "has_heat_pump_dryer": F.lit(False),
         "infiltration_ach50": F.col("infiltration_ach50").cast("double"),
         "duct_insulation_r_value": F.col("duct_insulation_r_value").cast("double"),
@@ -345,12 +341,30 @@ def scenario_values(scenario_id: float) -> dict[str, Column]:
         "ceiling_threshold": limit["col1"],
         "ceiling_target": limit["col2"],
     }
+
+
+def _ratings() -> Column:
+    return map_literal({label: F.struct(*map(F.lit, pair)) for label, pair in HEAT_PUMP_RATINGS.items()})
+
+
+def scenario_values(
+    scenario_id: float, before: dict[str, Column] | None = None, ratings: Column | None = None
+) -> dict[str, Column]:
+    """Columns that a scenario changes, as expressions over the baseline row.
+
+    The same rules as :func:`apply_scenarios`, whose remaining columns follow from these.
+    ``before`` and ``ratings`` are what all scenarios share, made once for many.
+    """
+    seen = dict(_before_rules() if before is None else before)
     seen = stage_values(envelope_rules, scenario_id, seen)
     seen = stage_values(heat_pump_choice_rules, scenario_id, seen)
-    for name, field in (("heating_efficiency_nominal_percentage", "col1"), ("cooling_efficiency_eer", "col2")):
-        seen[name] = F.coalesce(ratings[seen["hp_label"]][field], F.col(name))
-    for rules in (heat_pump_rules, water_heater_rules, appliance_rules):
-        seen = stage_values(rules, scenario_id, seen)
+    if scenario_id in (*BY_DUCTS, *BY_SIZE, *DUCTED_ONLY):
+        rating = (_ratings() if ratings is None else ratings)[seen["hp_label"]]
+        for name, field in (("heating_efficiency_nominal_percentage", "col1"), ("cooling_efficiency_eer", "col2")):
+            seen[name] = F.coalesce(rating[field], F.col(name))
+    seen = stage_values(heat_pump_rules, scenario_id, seen)
+    if scenario_id in (*HEAT_PUMP_WATER_HEATER, *APPLIANCES):
+        seen = stage_values(appliance_rules, scenario_id, stage_values(water_heater_rules, scenario_id, seen))
     return {n: c for n, c in seen.items() if n not in ("hp_label", "ceiling_threshold", "ceiling_target", *LOOKUP_ONLY)}
 
 
@@ -365,25 +379,29 @@ def fan_out_flagged(features: DataFrame, scenario_ids: Sequence[float] | None =
     """
     chosen = CATALOGUE if scenario_ids is None else {float(s) for s in scenario_ids}
     ordered = sorted(chosen)
-    values = {s: scenario_values(s) for s in ordered}
+    before, ratings = _before_rules(), _ratings()
+    values = {s: scenario_values(s, before, ratings) for s in ordered}
     changed = sorted({name for own in values.values() for name in own})
     kinds = {f.name: f.dataType.simpleString() for f in features.schema.fields}
     # Numbers are compared as doubles, whatever type a rule's literal has.
     kind = {n: k if (k := kinds.get(n, "boolean")) in ("string", "boolean") else "double" for n in changed}
 
+    own = {n: F.col(n).cast(kind[n]).alias(n) for n in changed if n in kinds}
+
     def variant(s: float) -> Column:
         fits = F.col("building_set") == CATALOGUE[s][1]
         if s in ENCLOSURE:
             fits &= F.col("climate_zone_temp").cast("int").isin(list(CEILING_TARGETS))
-        columns = [values[s].get(n, F.col(n)).cast(kind[n]).alias(n) for n in changed]
+        made = {n: c for n, c in values[s].items() if n not in kinds or c is not before.get(n)}
+        columns = [made[n].cast(kind[n]).alias(n) if n in made else own[n] for n in changed]
         return F.when(fits, F.struct(*columns))
 
     rows = features.withColumn("__variants", F.array(*map(variant, ordered)))
-    own = F.col("__variants")
+    variants = F.col("__variants")
     scenarios = F.array(*[
-        F.when(own[i].isNotNull(), F.struct(
+        F.when(variants[i].isNotNull(), F.struct(
             F.lit(s).alias("upgrade_id"), F.lit(CATALOGUE[s][0]).alias("upgrade_name"),
-            (F.array_position(own, own[i]) == i + 1).alias("applicability"),
+            (F.array_position(variants, variants[i]) == i + 1).alias("applicability"),
         ))
         for i, s in enumerate(ordered)
     ])
