@@ -1,11 +1,12 @@
-"""Exact quantiles per group without gathering any group.
+"""Exact quantiles per group by histogram refinement, without gathering any group.
 
 Spark's exact ``median``/``percentile`` keep every distinct value of a group in one
-buffer. Here a sketch first brackets each wanted quantile between two nearby
-values; a second pass folds everything below and above the bracket into two
-counts and only ranks the few values inside it, in slices of the bracket. Brackets are
-wider than the sketch's error and the distance to the next rank together, so they hold
-the ranks; should one not, the job fails instead of giving another value.
+buffer. Here a first pass counts each group's values by brackets that follow from the
+value alone, with the least and the greatest value of each. The counts tell which bracket
+holds a rank and how many values lie below it; only that bracket is opened. As long as it
+holds more than ``SMALL`` values that differ, it is divided evenly between its least and its
+greatest value and counted again. Then its values are ranked. Brackets hold their ranks by
+their counts, so no data make a job fail or give another value.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 
 from hearthgrid.session import join_settled, settle
 
-SKETCH_ACCURACY = 2_000
-# Half widths of brackets, and the number of values from which each is wide enough: above
-# the sketch's error (1 / accuracy) plus two ranks. Smaller groups are all bracket.
-MARGINS = ((0.0015, 10_000), (0.02, 200))
-# Parts of a bracket that are ranked apart; they follow from the value alone.
-SLICES = 1_000
-BELOW, INSIDE, ABOVE = 0, 1, 1_000_000
+# Values that one task ranks at most, unless they are all the same.
+SMALL = 1_000_000
+# First brackets for each factor of e in size, and parts of an opened bracket.
+FIRST_PARTS = 64
+PARTS = 4096
+# Numbers beyond those of any finite double.
+_INFINITE, _NOT_A_NUMBER = 100_000, 200_000
 
 
 def grouped_quantiles(
@@ -34,120 +35,133 @@ def grouped_quantiles(
 ) -> DataFrame:
     """One row per group with exact, linearly interpolated quantiles.
 
-    ``quantiles`` maps an output name to (value column, fraction). ``extra``
-    aggregates ride along on the first pass over the data. The two passes are stored:
-    one row per group, and the values inside brackets.
+    ``quantiles`` maps an output name to (value column, fraction). Null values do not
+    count; NaN is greater than any number. ``extra`` aggregates are attached. One row for
+    each group and quantile is stored, once, and again only for brackets that are opened
+    further; the pass over the values inside brackets is part of the result's plan.
     """
     keys = list(keys)
-    values = {value for value, _ in quantiles.values()}
-    df = df.withColumns({f"__v_{v}": F.col(v).cast("double") for v in values})
-    first = settle(_edges(df, keys, quantiles, extra), "quantile-edges")
-    bounds = first.select(*keys, *[c for c in first.columns if c.startswith(("__n_", "__edge_"))])
-    folded = settle(_fold(df, bounds, keys, quantiles), "quantile-values")
-    wide = (
-        _at_ranks(folded, bounds, keys, quantiles)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(F.col("__item") == name, F.col("result"))).alias(name) for name in quantiles])
-    )
-    carried = [c for c in first.columns if not c.startswith("__") and c not in keys]
-    return join_settled(first.select(*keys, *carried), wide, keys, "left").select(
-        *keys, *carried, *quantiles
+    values = sorted({value for value, _ in quantiles.values()})
+    valued = df.withColumns({f"__v_{v}": F.col(v).cast("double") for v in values})
+    brackets = settle(_brackets(valued, keys, quantiles, values), "quantile-brackets")
+    open_ = (F.col("__n") > SMALL) & (F.col("__low") < F.col("__high"))
+    while not brackets.where(open_).isEmpty():
+        divided = _divided(_inside(valued, brackets.where(open_), keys, quantiles), brackets, keys)
+        brackets = settle(brackets.where(~open_).unionByName(divided), "quantile-brackets")
+    ranked = _at_ranks(_inside(valued, brackets, keys, quantiles), brackets, keys)
+    at = [F.max(F.when(F.col("__item") == i, F.col("__value"))).alias(f"__at_{i}") for i in range(2 * len(quantiles))]
+    weights = [F.max(F.when(F.col("__item") == 2 * i, F.col("__weight"))).alias(f"__weight_{i}") for i in range(len(quantiles))]
+    wide = ranked.groupBy(*keys).agg(*at, *weights).select(
+        *keys, *[_between(f"__at_{2 * i}", f"__at_{2 * i + 1}", f"__weight_{i}").alias(n) for i, n in enumerate(quantiles)]
     )
+    groups = df.groupBy(*keys).agg(*extra) if extra else df.select(*keys).distinct()
+    return join_settled(groups, wide, keys, "left").select(*groups.columns, *quantiles)
 
 
-def _edges(df: DataFrame, keys, quantiles, extra) -> DataFrame:
-    """Per group the number of values and the bracket of every quantile; null if open."""
-    sketched = df.groupBy(*keys).agg(
-        *extra,
-        *[F.count(f"__v_{v}").alias(f"__n_{name}") for name, (v, _) in quantiles.items()],
-        *[
-            F.percentile_approx(
-                f"__v_{v}",
-                [min(1.0, max(0.0, q + side * m)) for m, _ in MARGINS for side in (-1, 1)],
-                SKETCH_ACCURACY,
-            ).alias(f"__edge_{name}")
-            for name, (v, q) in quantiles.items()
-        ],
-    )
+def _between(lower: str, upper: str, weight: str) -> Column:
+    step = F.when(F.col(weight) > 0, (F.col(upper) - F.col(lower)) * F.col(weight)).otherwise(0.0)
+    return F.col(lower) + step
 
-    def bracket(name: str) -> Column:
-        edge = None
-        for i, (_, least) in enumerate(MARGINS):
-            pair = F.slice(f"__edge_{name}", 2 * i + 1, 2)
-            enough = F.col(f"__n_{name}") >= least
-            edge = F.when(enough, pair) if edge is None else edge.when(enough, pair)
-        return edge
 
-    return sketched.withColumns({f"__edge_{name}": bracket(name) for name in quantiles})
+def _holding_rank(counted: DataFrame, group: Sequence[str], bracket: str) -> DataFrame:
+    """The bracket that holds ``__rank``, with the number of values below. ``counted`` has a
+    row for each bracket that has values, ``__base`` the number of values below all."""
+    so_far = Window.partitionBy(*group).orderBy(bracket)
+    before = F.sum("__n").over(so_far) - F.col("__n") + F.col("__base")
+    holds = (F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__before") + F.col("__n"))
+    rows = counted.withColumn("__before", before).where(holds)
+    return rows.select(*group, "__rank", "__weight", "__low", "__high", "__before", "__n")
 
 
-def _fold(df: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
-    """Copies of every value inside its bracket, and counts of those below and above.
+def _brackets(df: DataFrame, keys, quantiles, values) -> DataFrame:
+    """Per group and item the rank and its first bracket.
 
-    Zones are in the order of values: below, the slices of the bracket, above.
+    Each quantile has two items, the whole ranks next to fraction * (n - 1), and the weight
+    of the upper one. First brackets grow with the size of their values; their number is
+    bounded.
     """
+    items = [F.struct(F.lit(i).alias("__column"), F.col(f"__v_{v}").alias("__value")) for i, v in enumerate(values)]
+    v = F.col("__value")
+    size = F.floor(F.log1p(F.abs(v)) * FIRST_PARTS)
+    sign = F.signum(v)
+    number = (
+        F.when(F.isnan(v), _NOT_A_NUMBER)
+        .when(F.abs(v) == float("inf"), sign * _INFINITE)
+        .otherwise(sign * size)
+        .cast("int")
+    )
+    counted = (
+        df.select(*keys, F.inline(F.array(*items)))
+        .where("__value is not null")
+        .groupBy(*keys, "__column", number.alias("__bracket"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__value").alias("__low"), F.max("__value").alias("__high"))
+    )
+    asked = F.array(*[
+        F.struct(F.lit(values.index(v)).alias("column"), F.lit(2 * i + side).alias("item"), F.lit(float(q)).alias("part"))
+        for i, (v, q) in enumerate(quantiles.values()) for side in (0, 1)
+    ])
+    total = F.sum("__n").over(Window.partitionBy(*keys, "__column"))
+    # Totals first: a window beside an explode would count exploded rows.
+    each = counted.withColumn("__total", total).select(
+        *keys, "__bracket", "__n", "__low", "__high", "__total", F.lit(0).cast("long").alias("__base"),
+        F.explode(F.filter(asked, lambda a: a["column"] == F.col("__column"))).alias("__asked"),
+    )
+    place = F.col("__asked.part") * (F.col("__total") - 1)
+    rank = F.when(F.col("__asked.item") % 2 == 0, F.floor(place)).otherwise(F.ceil(place))
+    each = each.withColumns(
+        {"__item": F.col("__asked.item"), "__rank": rank.cast("long"), "__weight": place - F.floor(place)}
+    )
+    return _holding_rank(each, [*keys, "__item"], "__bracket")
+
+
+def _inside(df: DataFrame, brackets: DataFrame, keys, quantiles) -> DataFrame:
+    """Values inside their group's brackets, with the number of their copies."""
+    edges = brackets.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("__item") == i, F.struct("__low", "__high"))).alias(f"__edge_{i}")
+            for i in range(2 * len(quantiles))
+        ]
+    )
     items = []
-    for name, (value, _) in quantiles.items():
-        v, edge = F.col(f"__v_{value}"), F.col(f"__edge_{name}")
-        place = F.floor(F.try_divide(v - edge[0], edge[1] - edge[0]) * SLICES)
-        inside = INSIDE + F.coalesce(F.least(place, F.lit(SLICES - 1)), F.lit(0)).cast("int")
-        zone = F.when(v < edge[0], BELOW).when(v > edge[1], ABOVE).otherwise(inside)
-        items.append(
-            F.struct(
-                F.lit(name).alias("__item"),
-                F.when(v.isNotNull(), zone).alias("__zone"),
-                F.when(~zone.isin(BELOW, ABOVE), v).alias("__value"),
-            )
-        )
+    for i, (value, _) in enumerate(v for v in quantiles.values() for _ in (0, 1)):
+        v, edge = F.col(f"__v_{value}"), F.col(f"__edge_{i}")
+        inside = (v >= edge["__low"]) & (v <= edge["__high"])
+        items.append(F.struct(F.lit(i).alias("__item"), F.when(inside, v).alias("__value")))
     return (
-        join_settled(df, bounds, keys)
+        join_settled(df, edges, keys)
         .select(*keys, F.inline(F.array(*items)))
-        .where("__zone is not null")
-        .groupBy(*keys, "__item", "__zone", "__value")
+        .where("__value is not null")
+        .groupBy(*keys, "__item", "__value")
         .agg(F.count(F.lit(1)).alias("__copies"))
     )
 
 
-def _at_ranks(folded: DataFrame, bounds: DataFrame, keys, quantiles) -> DataFrame:
-    """Value at rank fraction*(n-1) from (zone, value, copies) rows."""
+def _divided(inside: DataFrame, brackets: DataFrame, keys) -> DataFrame:
+    """The part of each opened bracket that holds its rank.
+
+    The least and the greatest value fall into different parts, so every round has fewer.
+    """
     group = [*keys, "__item"]
-    ranks = [
-        F.struct(
-            F.lit(name).alias("__item"),
-            (F.lit(float(q)) * (F.col(f"__n_{name}") - 1)).alias("__rank"),
-        )
-        for name, (_, q) in quantiles.items()
-    ]
-    wanted = bounds.select(*keys, F.inline(F.array(*ranks))).where("__rank >= 0")
-    zones = folded.groupBy(*group, "__zone").agg(F.sum("__copies").alias("__zone_copies"))
-    in_group = Window.partitionBy(*group).orderBy("__zone")
-    starts = zones.select(
-        *group,
-        "__zone",
-        (F.sum("__zone_copies").over(in_group) - F.col("__zone_copies")).alias("__before"),
-    )
-    in_zone = Window.partitionBy(*group, "__zone").orderBy("__value")
-    ranked = (
-        join_settled(folded, starts, [*group, "__zone"])
-        .withColumn("__end", F.col("__before") + F.sum("__copies").over(in_zone))
-        .withColumn("__start", F.col("__end") - F.col("__copies"))
+    # Differences of the largest numbers are taken of their halves.
+    scale = F.when(F.greatest(F.abs("__low"), F.abs("__high")) > 1e300, 0.5).otherwise(1.0)
+    low, high, v = F.col("__low") * scale, F.col("__high") * scale, F.col("__value") * scale
+    part = F.least(F.floor((v - low) / (high - low) * PARTS), F.lit(PARTS - 1)).cast("int")
+    counted = (
+        join_settled(inside, brackets, group)
+        .groupBy(*group, "__rank", "__weight", F.col("__before").alias("__base"), part.alias("__part"))
+        .agg(F.sum("__copies").alias("__n"), F.min("__value").alias("__low"), F.max("__value").alias("__high"))
     )
-    low, high = F.floor("__rank"), F.ceil("__rank")
-    holds_low = (F.col("__start") <= low) & (low < F.col("__end"))
-    holds_high = (F.col("__start") <= high) & (high < F.col("__end"))
-    picked = (
-        join_settled(ranked, wanted, group)
-        .groupBy(*group, "__rank")
-        .agg(
-            F.max(F.when(holds_low, F.col("__value"))).alias("__low"),
-            F.max(F.when(holds_high, F.col("__value"))).alias("__high"),
-        )
-    )
-    weight = F.col("__rank") - F.floor("__rank")
-    step = F.when(weight > 0, (F.col("__high") - F.col("__low")) * weight).otherwise(0.0)
-    held = F.col("__low").isNotNull() & F.col("__high").isNotNull()
-    missed = F.raise_error(F.lit("a bracket does not hold its quantile")).cast("double")
-    return picked.select(*group, F.when(held, F.col("__low") + step).otherwise(missed).alias("result"))
+    return _holding_rank(counted, group, "__part")
+
+
+def _at_ranks(inside: DataFrame, brackets: DataFrame, keys) -> DataFrame:
+    """The value at each item's rank."""
+    group = [*keys, "__item"]
+    in_bracket = Window.partitionBy(*group).orderBy("__value")
+    end = F.col("__before") + F.sum("__copies").over(in_bracket)
+    ranked = join_settled(inside, brackets, group).withColumn("__end", end)
+    holds = (F.col("__end") - F.col("__copies") <= F.col("__rank")) & (F.col("__rank") < F.col("__end"))
+    return ranked.where(holds).select(*group, "__value", "__weight")
 
 
 def percentile_band(

@@ -53,17 +53,40 @@ def test_heavy_group_with_ties_and_nulls(spark):
     check(spark, skewed())
 
 
-def test_small_brackets_with_few_and_many_slices(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MARGINS", ((0.0015, 4000), (0.05, 60)))
-    for slices in (1, 7, 1000):
-        monkeypatch.setattr(quantiles, "SLICES", slices)
-        check(spark, skewed(6000, slices))
-
-
-def test_a_bracket_that_misses_fails_the_job(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MARGINS", ((0.0, 1),))
-    with pytest.raises(Exception, match="does not hold its quantile"):
-        check(spark, skewed(3000))
+@pytest.mark.parametrize("small, first, parts", [(1, 64, 4096), (20, 0.01, 50)])
+def test_brackets_are_opened_until_they_are_small(spark, monkeypatch, small, first, parts):
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    monkeypatch.setattr(quantiles, "FIRST_PARTS", first)
+    monkeypatch.setattr(quantiles, "PARTS", parts)
+    check(spark, skewed(800, parts))
+
+
+def test_values_of_any_size(spark, monkeypatch):
+    """Far apart, next to each other, infinite; some in one bracket until it is opened often."""
+    monkeypatch.setattr(quantiles, "SMALL", 20)
+    near = [1.0]
+    for _ in range(40):
+        near.append(float(np.nextafter(near[-1], 2)))
+    rows = [("near", v) for v in near] + [("tiny", 5e-324 * i) for i in range(30)]
+    rows += [("far", s * 10.0**e) for e in range(-300, 308, 19) for s in (1, -1)] + [("zero", -0.0), ("zero", 0.0)]
+    check(spark, rows)
+    odd = [("a", v) for v in (float("-inf"), -1.0, 0.0, 1.0, float("inf"))] + [("b", 1.0), ("b", float("nan")), ("b", 2.0)]
+    df = spark.createDataFrame(odd, "k string, v double")
+    got = quantiles.grouped_quantiles(df, ["k"], {"m": ("v", 0.5), "top": ("v", 1.0), "low": ("v", 0.0)}).collect()
+    got = {r["k"]: (r["low"], r["m"], str(r["top"])) for r in got}
+    assert got == {"a": (float("-inf"), 0.0, "inf"), "b": (1.0, 2.0, "nan")}
+
+
+def test_jobs_and_plan(spark):
+    """One stored pass; the second one is in the result's plan, and nothing can fail there."""
+    df = spark.createDataFrame(skewed(3000), "k string, v double")
+    context = spark.sparkContext
+    context.setJobGroup("quantiles", "")
+    result = quantiles.grouped_quantiles(df, ["k"], KINDS, extra=[F.count("v").alias("n")])
+    jobs = len(context.statusTracker().getJobIdsForGroup("quantiles"))
+    context.setJobGroup("", "")
+    assert jobs <= 6
+    assert "raise_error" not in result._jdf.queryExecution().optimizedPlan().toString()
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
