@@ -108,6 +108,14 @@ def contained_items(
     fewer words is found where it is the whole text. Null and empty texts have none. Rows
     that share a key are judged one by one; the pair comes once, with the largest share.
     """
+    found = _contained(docs, items, key, text, containment, width, map_bits)
+    return found.groupBy(F.col("key").alias(key), "item_id").agg(
+        F.max("n_shared").alias("n_shared"), F.first("n_item").alias("n_item")
+    )
+
+
+def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, containment: float, width: int, map_bits: int) -> DataFrame:
+    """The pairs of :func:`contained_items` for each ``key`` and ``digest`` of a text."""
     shingles = stored(item_sketches(items, containment, width), "item-sketches")
     spark = docs.sparkSession
     in_sketch = shingles.where("in_sketch")
@@ -164,18 +172,21 @@ def contained_items(
         F.max("in_sketch").alias("candidate"),
     )
     need = F.greatest(F.lit(1), F.ceil(F.col("n_item") * containment - 1e-9))
-    return (
-        counted.where(F.col("candidate") & (F.col("n_shared") >= need))
-        .groupBy(F.col("key").alias(key), "item_id")
-        .agg(F.max("n_shared").alias("n_shared"), F.first("n_item").alias("n_item"))
-    )
+    return counted.where(F.col("candidate") & (F.col("n_shared") >= need))
 
 
 def without_items(
-    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options
+    docs: DataFrame,
+    items: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    containment: float = CONTAINMENT,
+    width: int = SHINGLE,
+    map_bits: int = MAP_BITS,
 ) -> DataFrame:
-    """The rows whose text contains no item. Rows with a null key are judged by that key:
-    all of them go if one contains an item."""
-    pairs = contained_items(docs, items, key, text, **options).select(F.col(key).alias("__key")).distinct()
-    leaks = stored(pairs, "leaks")
-    return docs.join(leaks, docs[key].eqNullSafe(leaks["__key"]), "left_anti")
+    """The rows whose text contains no item. Rows that share a key, or have none, are judged
+    by their own texts: key and a 64-bit digest of the text name what goes."""
+    found = _contained(docs, items, key, text, containment, width, map_bits)
+    leaks = stored(found.select(F.col("key").alias("__key"), F.col("digest").alias("__digest")).distinct(), "leaks")
+    leaking = docs[key].eqNullSafe(leaks["__key"]) & (F.xxhash64(docs[text]) == leaks["__digest"])
+    return docs.join(leaks, leaking, "left_anti")

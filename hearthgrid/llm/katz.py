@@ -101,7 +101,7 @@ class Unigrams:
 def _blocks(df: DataFrame, key: str, text: str, held: str) -> DataFrame:
     """Texts in blocks: their keys, whether held out, words per text, and words as numbers
     in the block's list of distinct hashes, the most frequent first."""
-    chosen = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(held).alias("held"))
+    chosen = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(held), F.lit(False)).alias("held"))
     chosen = chosen.withColumn("task", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

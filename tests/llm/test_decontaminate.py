@@ -107,3 +107,15 @@ def test_words_and_shingles():
     assert found == {(i, s) for i, t in enumerate(texts) for s in plain_shingles(t)}
     assert len(set(values.tolist())) == len({s for _, s in found})
     assert Words([]).hashes().tolist() == [] and len(Words([None]).shingles(5)[0]) == 0
+
+
+def test_rows_of_one_key_are_judged_by_their_texts(spark):
+    """Clean rows stay beside leaking ones that share their key, or have none either."""
+    item = " ".join(f"word{i}" for i in range(20))
+    leak, clean = f"before {item} after", "a clean text that says something else entirely"
+    rows = [(k, t, "en", "a", 1) for k in (7, None) for t in (leak, clean, clean, None)]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontaminate.without_items(documents(spark, rows, extra=["digest", "hash"]), items).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted(
+        ((k, t) for k in (7, None) for t in (clean, clean, None)), key=str
+    )

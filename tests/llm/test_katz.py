@@ -155,3 +155,11 @@ def test_query(spark, folder):
     found = sorted((tuple(r) for r in queries.op5_katz(spark, folder).collect()), key=str)
     for f, w in zip(found, expected(rows), strict=True):
         assert f[:5] == w[:5] and f[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_null_held_is_trained(spark):
+    rows = [(i, "one two three one two", bool(i % 2) if i < 6 else None) for i in range(9)]
+    schema = "doc_id long, text string, held_out boolean"
+    filled = [(k, t, bool(h)) for k, t, h in rows]
+    found = [sorted(map(tuple, katz.scored_texts(spark.createDataFrame(r, schema)).drop("held_out").collect())) for r in (rows, filled)]
+    assert found[0] == found[1]
