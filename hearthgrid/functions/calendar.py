@@ -35,6 +35,19 @@ def hour_of_year(ts: Column | str) -> Column:
     return (F.dayofyear(ts) - 1) * 24 + F.hour(ts)
 
 
+def step_hour(ts: Column | str) -> Column:
+    """0-based hour of a year of 365 days, the same that :func:`label_hour` gives its label.
+
+    29 February counts as the 28th, so from then on a leap year's days have the numbers
+    they have in any other year, and energy and weather of a day share a time step.
+    """
+    ts = as_col(ts)
+    year = F.year(ts)
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    day = F.dayofyear(ts) - F.when(leap & (F.dayofyear(ts) >= 60), 1).otherwise(0)
+    return (day - 1) * 24 + F.hour(ts)
+
+
 def label_hour(label: Column | str) -> Column:
     """0-based hour of a year of 365 days from an hour label; 29 February counts as the 28th."""
     label = as_col(label)

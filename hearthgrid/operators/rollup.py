@@ -129,7 +129,11 @@ def step_sums(
     granularity: str,
     hour_index: str = "hour_index",
 ) -> DataFrame:
-    """Sum of each measure by the time steps of :func:`calendar.time_step`."""
+    """Sum of each measure by the time steps of :func:`calendar.time_step`.
+
+    With hours from :func:`calendar.step_hour` the steps are those of
+    :func:`weather.time_slices`, in leap years too.
+    """
     step = calendar.time_step(hour_index, granularity).alias("time_step")
     return hourly.groupBy(*keys, step).agg(*[F.sum(m).alias(m) for m in measures])
 

@@ -264,13 +264,14 @@ def energy_with_weather(spark, folder):
 
 
 @registry.add(
-    "SELECT user_id, least(((dayofyear(ts) - 1) * 24 + hour(ts)) // 730, 11)::INTEGER AS time_step, "
+    "SELECT user_id, (((dayofyear(('2001-' || CASE WHEN strftime(ts, '%m-%d') = '02-29' THEN '02-28' ELSE strftime(ts, '%m-%d') END)::DATE) - 1) * 24 "
+    "+ hour(ts)) // 730)::INTEGER AS time_step, "
     "sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL"
 )
 def step_sums(spark, folder):
     events = table(spark, folder, "events").select(
         "user_id",
-        calendar.hour_of_year("ts").alias("hour_index"),
+        calendar.step_hour("ts").alias("hour_index"),
         F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
     return rollup.step_sums(events, ["user_id"], ["cents"], "M")

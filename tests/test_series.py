@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from hearthgrid.functions import calendar
 from hearthgrid.operators import rollup, weather
 from tests.conftest import values
 
@@ -62,6 +63,21 @@ def test_no_hour_of_a_leap_year_is_lost(spark):
     assert len(days[58]["t"]) == 48 and days[59]["t"][0] == 60 * 24
 
 
+@pytest.mark.parametrize("year", [2019, 2020, 2100, 2000])
+def test_energy_and_weather_of_a_day_share_a_step(spark, year):
+    start = f"timestamp'{year}-01-01 00:00:00'"
+    df = spark.range(8784).selectExpr("'X' AS weather_file_city", "id + 0.0D AS t", f"{start} + make_interval(0, 0, 0, 0, id) AS ts")
+    df = df.where(F.year("ts") == year).withColumn("hour_index", calendar.step_hour("ts"))
+    keyed = df.withColumn("datetime_formatted", calendar.hour_key("ts"))
+    assert keyed.where(calendar.label_hour("datetime_formatted") != F.col("hour_index")).isEmpty()
+    arrays = weather.weather_arrays(keyed, ["t"], hours="hours")
+    for grain in ("D", "M"):
+        sums = rollup.step_sums(df, ["weather_file_city"], ["t"], grain)
+        slices = weather.time_slices(arrays, ["t"], grain, ["weather_file_city"])
+        wanted = {r["time_step"]: sum(r["t"]) for r in slices.collect()}
+        assert {r["time_step"]: r["t"] for r in sums.collect()} == wanted
+
+
 def test_hours_missing_from_a_year_move_no_other(spark):
     hours = [h for h in range(8760) if h % 100 > 30]
     df = spark.createDataFrame([("X", [float(h) for h in hours], hours)], "city string, t array<double>, hours array<int>")
