@@ -222,7 +222,9 @@ def search(
     for name, values in grid.items():
         builder = builder.addGrid(learner.getParam(name), list(values))
     settings = builder.build()
-    transformed = Pipeline(stages=feature_set.stages()).fit(rows).transform(rows)
+    # Labels and scales come from trained rows alone.
+    preparation = Pipeline(stages=feature_set.stages()).fit(rows.where("not __held"))
+    transformed = preparation.transform(rows)
     prepared = settle(transformed.select("features", target, "__held"), "prepared")
     models = learner.fit(prepared.where("not __held"), settings)
     evaluator = RegressionEvaluator(labelCol=target, metricName="mae")

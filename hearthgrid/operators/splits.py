@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthgrid.functions.metrics import row_sum
 from hearthgrid.operators.scenarios import BASELINE_OF_SET as BASELINES
+from hearthgrid.session import settle
 
 BUCKETS = 10_000
 
@@ -166,3 +167,37 @@ def look_up_features(
 def shuffled(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     """Rows in a pseudo-random order that only depends on the key and the seed."""
     return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+
+
+def dense_positions(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Add the 0-based place of every row in the order of the given columns.
+
+    Rows are sorted by range over all tasks and stored once; a row's place is its place in
+    its range plus the sizes of the ranges before, one number per range. No task holds all
+    rows. Rows that are alike in ``order`` share a range, so let it tell rows apart; nulls
+    come first.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = settle(
+        df.orderBy(*order).withColumns({"__range": F.spark_partition_id(), "__place": place}),
+        "positions",
+    )
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__size")).select(
+        "__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start")
+    )
+    position = (F.col("__start") + F.col("__place")).alias(name)
+    # One row per range, and no more ranges than shuffle partitions.
+    return ordered.join(F.broadcast(starts), "__range").select(*df.columns, position)
+
+
+def seeded_positions(
+    df: DataFrame, keys: Sequence[str], seed: int = 42, name: str = "position"
+) -> DataFrame:
+    """Add a dense pseudo-random position that follows from keys and seed only.
+
+    The same on every partitioning. Keys name a row each; of rows that share one, which
+    comes first is not said.
+    """
+    placed = df.withColumn("__number", key_number(keys, seed))
+    return dense_positions(placed, ["__number", *keys], name).drop("__number")

@@ -6,7 +6,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthgrid.operators import learning, splits
+from hearthgrid.operators import learning, linear, splits
 from hearthgrid.showcase.base import Registry, table
 
 registry = Registry()
@@ -294,7 +294,8 @@ def importance(spark, folder):
 
 
 @registry.add(
-    PART_ROWS + ", z AS (SELECT held, y, (q - avg(q) OVER ()) / stddev_samp(q) OVER () AS x FROM r WHERE y <> 0), "
+    PART_ROWS + ", c AS (SELECT avg(q) AS centre, stddev_samp(q) AS spread FROM r WHERE y <> 0 AND NOT held), "
+    "z AS (SELECT held, y, (q - centre) / spread AS x FROM r, c WHERE y <> 0), "
     "k AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS start, sum(x * y) / sum(x * x) AS through FROM z WHERE NOT held), "
     "e AS (SELECT avg(abs(y - start - slope * x)) AS a, avg(abs(y - through * x)) AS b FROM z, k WHERE held) "
     "SELECT 0 AS setting, true AS fit_intercept, round(a, 2) AS mean_absolute_error FROM e UNION ALL SELECT 1, false, round(b, 2) FROM e"
@@ -315,3 +316,140 @@ def parameter_search(spark, folder):
     return spark.createDataFrame(
         rows, "setting int, fit_intercept boolean, mean_absolute_error double"
     )
+
+
+def _sums_sql(terms: int, target: str, condition: str, mark: str = "", weight: str = "1.0::DOUBLE") -> str:
+    """Weighted sums of products of x0, x1, ... and the target, over rows of a condition."""
+    sums = [
+        f"sum({weight} * x{i} * x{j}) FILTER ({condition}) AS {mark}s_{i}_{j}"
+        for i in range(terms)
+        for j in range(i, terms)
+    ]
+    sums += [f"sum({weight} * x{i} * {target}) FILTER ({condition}) AS {mark}t_{i}" for i in range(terms)]
+    return ", ".join(sums)
+
+
+def _solved_sql(terms: int, source: str, marks: tuple[str, ...] = ("",)) -> str:
+    """Rows of sums with coefficients b_0, b_1, ..., by elimination in order of the terms."""
+
+    def widened(inner: str, steps: list[str]) -> str:
+        return f"(SELECT *, {', '.join(steps)} FROM {inner})"
+
+    found = source
+    for j in range(terms):
+        pivots, factors = [], []
+        for m in marks:
+            less = "".join(f" - {m}l_{j}_{k} * {m}l_{j}_{k} * {m}d_{k}" for k in range(j))
+            pivots.append(f"{m}s_{j}_{j}{less} AS {m}d_{j}")
+            less = "".join(f" - {m}l_{j}_{k} * {m}z_{k}" for k in range(j))
+            pivots.append(f"{m}t_{j}{less} AS {m}z_{j}")
+            for i in range(j + 1, terms):
+                less = "".join(f" - {m}l_{i}_{k} * {m}l_{j}_{k} * {m}d_{k}" for k in range(j))
+                factors.append(f"({m}s_{j}_{i}{less}) / {m}d_{j} AS {m}l_{i}_{j}")
+        found = widened(found, pivots)
+        found = widened(found, factors) if factors else found
+    for j in reversed(range(terms)):
+        steps = []
+        for m in marks:
+            less = "".join(f" - {m}l_{i}_{j} * {m}b_{i}" for i in range(j + 1, terms))
+            steps.append(f"{m}z_{j} / {m}d_{j}{less} AS {m}b_{j}")
+        found = widened(found, steps)
+    return found
+
+
+def _sum_of_terms(terms: int, mark: str = "") -> str:
+    return " + ".join(f"{mark}b_{i} * x{i}" for i in range(terms))
+
+
+@registry.add(
+    "WITH x AS (SELECT segment, l_returnflag, l_linestatus, CASE WHEN l_linenumber <= 2 THEN 1.75::DOUBLE ELSE 1 END AS w, "
+    "l_extendedprice AS price, l_tax AS tax, 1.0::DOUBLE AS x0, (l_returnflag = 'N')::INTEGER::DOUBLE AS x1, "
+    "(l_returnflag = 'R')::INTEGER::DOUBLE AS x2, (l_linestatus = 'O')::INTEGER::DOUBLE AS x3, l_quantity::DOUBLE AS x4, l_discount::DOUBLE AS x5 "
+    "FROM lineitem JOIN (VALUES ('all', 0, 99), ('first', 0, 3), ('later', 4, 99)) v(segment, low, high) ON l_linenumber BETWEEN low AND high), "
+    "m AS (SELECT segment, " + _sums_sql(6, "price", "price <> 0", "p", "w") + ", " + _sums_sql(6, "tax", "tax <> 0", "q", "w") + " FROM x GROUP BY segment), "
+    "k AS (SELECT * FROM " + _solved_sql(6, "m", ("p", "q")) + ") "
+    "SELECT segment, l_returnflag, l_linestatus, count(*) AS n_rows, round(avg(" + _sum_of_terms(6, "p") + "), 3) AS mean_price, "
+    "round(avg(" + _sum_of_terms(6, "q") + "), 8) AS mean_tax FROM x JOIN k USING (segment) GROUP BY ALL"
+)
+def linear_models(spark, folder):
+    """Weighted models of price and tax by two labels and two numbers, in three segments."""
+    rows = table(spark, folder, "lineitem").withColumn(
+        "weight", splits.sample_weight("l_linenumber", range(1, 8), [1, 2])
+    )
+    features = learning.FeatureSet(("l_returnflag", "l_linestatus"), ("l_quantity", "l_discount"))
+    segments = {"all": "true", "first": "l_linenumber <= 3", "later": "l_linenumber > 3"}
+    models = linear.fit_linear(rows, features, ["l_extendedprice", "l_tax"], "weight", segments)
+    groups = ["segment", "l_returnflag", "l_linestatus"]
+    scored = models.score(linear.in_segments(rows, segments), groups, segment="segment")
+    return scored.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.round(F.avg("`l_extendedprice-pred`"), 3).alias("mean_price"),
+        F.round(F.avg("`l_tax-pred`"), 8).alias("mean_tax"),
+    )
+
+
+_DISPLACED = (("l_quantity", 1), ("p_size", 2), ("is_open", 3), ("is_bulk", 4))
+
+
+@registry.add(
+    "WITH r AS (SELECT l_returnflag, l_orderkey AS o, l_linenumber AS l, 1.0::DOUBLE AS x0, l_quantity::DOUBLE AS x1, p_size::DOUBLE AS x2, "
+    "(l_linestatus = 'O')::INTEGER::DOUBLE AS x3, (l_quantity > 25)::INTEGER::DOUBLE AS x4, "
+    "l_extendedprice + 2000 * l_quantity + 500 * p_size + CASE WHEN l_linestatus = 'O' THEN 12000 ELSE 0 END AS y, "
+    + NUMBER.format("l_orderkey || '|' || l_linenumber || '|42'") + " AS number FROM lineitem JOIN part ON p_partkey = l_partkey), "
+    "x AS (SELECT segment, r.* FROM r JOIN (VALUES ('all', 'A'), ('all', 'N'), ('all', 'R'), ('returned', 'R')) v(segment, flag) ON flag = l_returnflag), "
+    "m AS (SELECT segment, " + _sums_sql(5, "y", "y <> 0 AND number % 10000 >= 2000") + " FROM x GROUP BY segment), "
+    "k AS (SELECT * FROM " + _solved_sql(5, "m") + "), "
+    "h AS (SELECT segment, number, o, l, x0, x1, x2, x3, x4, y, count(*) AS n FROM x WHERE number % 10000 < 2000 GROUP BY ALL), "
+    "d AS (SELECT *, y - (" + _sum_of_terms(5) + ") AS off, "
+    + ", ".join(f"coalesce(lead(x{i}) OVER w, first_value(x{i}) OVER w) - x{i} AS step{i}" for _, i in _DISPLACED)
+    + " FROM h JOIN k USING (segment) WINDOW w AS (PARTITION BY segment ORDER BY number, o, l, x1, x2, x3, x4, y)), "
+    "e AS (" + " UNION ALL ".join(f"SELECT segment, '{name}' AS feature, n, off, off - b_{i} * step{i} AS moved FROM d" for name, i in _DISPLACED) + ") "
+    "SELECT segment, feature, round((sum(n * moved * moved) - sum(n * off * off)) / sum(n), 0) AS importance, "
+    "round(sqrt(sum(n * off * off) / sum(n)), 4) AS error, sum(n)::BIGINT AS n_rows FROM e GROUP BY ALL"
+)
+def displaced_importance(spark, folder):
+    """What linear models of a line's cost lose on held-out lines without each of four features.
+
+    The cost is the price and a share for quantity, size and open lines: three features of
+    different strength, and one that only goes along with the quantity.
+    """
+    parts = table(spark, folder, "part").select("p_partkey", "p_size")
+    rows = table(spark, folder, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey"))
+    rows = rows.select(
+        *LINE_KEY,
+        "l_returnflag",
+        "l_quantity",
+        "p_size",
+        (F.col("l_linestatus") == "O").alias("is_open"),
+        (F.col("l_quantity") > 25).alias("is_bulk"),
+        (
+            F.col("l_extendedprice")
+            + 2000 * F.col("l_quantity")
+            + 500 * F.col("p_size")
+            + F.when(F.col("l_linestatus") == "O", 12000).otherwise(0)
+        ).alias("cost"),
+        learning.held_out(parts, LINE_KEY, 0.2, 42).alias("held"),
+    )
+    features = learning.FeatureSet((), ("l_quantity", "p_size"), ("is_open", "is_bulk"))
+    segments = {"all": "true", "returned": "l_returnflag = 'R'"}
+    target = "cost"
+    models = linear.fit_linear(rows.where("not held"), features, [target], segments=segments)
+    found = linear.displacement_importance(
+        rows.where("held"),
+        lambda df, keep: models.score(df, keep, segment="segment"),
+        features,
+        target,
+        LINE_KEY,
+        segments,
+    )
+    return found.withColumns(
+        {"importance": F.round("importance", 0), "error": F.round(F.sqrt("error"), 4)}
+    )
+
+
+@registry.add(
+    "SELECT o_orderkey, (row_number() OVER (ORDER BY " + NUMBER.format("o_orderkey || '|7'") + ", o_orderkey) - 1)::BIGINT AS position FROM orders"
+)
+def seeded_order(spark, folder):
+    """A dense position per order that follows from key and seed."""
+    return splits.seeded_positions(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"], 7)
