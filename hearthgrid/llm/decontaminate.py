@@ -73,15 +73,35 @@ def item_sketches(
     )
 
 
-def _bit_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
-    """One flag for each leading ``bits`` bits of a hash; at most 2 ** (bits - 6) rows are collected."""
+def _class_map(hashes: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """For each value of the leading ``bits`` bits of a hash, the size classes that have it.
+
+    Class c is bit c of a number; there are no more than 32 classes, as no item has 2 ** 32
+    shingles. At most 2 ** (bits - 6) rows for each class are collected.
+    """
     top = F.shiftrightunsigned("hash", 64 - bits)
-    words = hashes.groupBy(F.shiftright(top, 6).alias("word")).agg(
+    words = hashes.groupBy("size_class", F.shiftright(top, 6).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))")).alias("flags")
     ).toArrow()
-    flags = np.zeros(1 << (bits - 6), np.int64)
-    flags[words["word"].to_numpy()] = words["flags"].to_numpy()
-    return np.unpackbits(flags.view(np.uint8), bitorder="little").view(bool)
+    classes = words["size_class"].to_numpy()
+    found = np.zeros(1 << bits, np.uint32)
+    for c in np.unique(classes):
+        own = classes == c
+        flags = np.zeros(1 << (bits - 6), np.int64)
+        flags[words["word"].to_numpy()[own]] = words["flags"].to_numpy()[own]
+        has = np.unpackbits(flags.view(np.uint8), bitorder="little").view(bool)
+        found[has] |= np.uint32(1 << int(c))
+    return found
+
+
+def _open_classes(in_sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Largest sketch hash of each size class, ascending, and the classes (as bits) that reach
+    the first, second, ... of these limits; none beyond the last."""
+    order = F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    tops = in_sketch.groupBy("size_class").agg(F.max(order).alias("top")).orderBy("top", "size_class").collect()
+    limits = np.array([r["top"] + (1 << 63) for r in tops], np.uint64)
+    bits = [1 << r["size_class"] for r in tops]
+    return limits, np.array([sum(bits[i:]) for i in range(len(bits) + 1)], np.uint32)
 
 
 def contained_items(
@@ -96,17 +116,19 @@ def contained_items(
     """Pairs ``key``, ``item_id`` with ``n_shared`` and ``n_item``: the items of which a
     document has ``containment`` of the distinct shingles or more.
 
-    MinHash with sketches by size: an item's sketch are its smallest hashes, and how many
-    depends on its size, not on the document's, so an item of thirty words is found in a
-    text of any length. A document is a candidate for an item if it has a hash of the
-    item's sketch; it cannot contain the item otherwise. Only hashes up to the largest of
-    any sketch are looked at, in a bit map of a fixed size. Candidates send the shingles
-    that some item may have, and the join with the items' shingles counts the equal ones,
-    as texts: what is reported is exact.
-
-    Shingles are ``width`` words, lower-cased; shorter texts are one shingle, so an item of
-    fewer words is found where it is the whole text. Null and empty texts have none. Rows
-    that share a key are judged one by one; the pair comes once, with the largest share.
+    MinHash with items partitioned by size: an item's sketch are its smallest hashes, and how
+    many depends on its size, not on the document's, so an item of thirty words is found in
+    a text of any length. Items whose numbers of shingles have the same binary logarithm are
+    one partition, with a limit of its own: its sketches' largest hash. A document is a
+    candidate for a partition if one of its hashes is up to the partition's limit and in the
+    partition's bits of a map of a fixed size; it can contain none of its items otherwise.
+    Candidates send the shingles that an item of these partitions may have, and the join with the
+    items' shingles counts the equal ones, as texts: what is reported is exact.
+
+    Shingles are ``width`` words, lower-cased. An item of fewer words is one shingle of its
+    own length and is found wherever these words follow each other. Null and empty texts have
+    none. Rows that share a key are judged one by one; the pair comes once, with the largest
+    share.
     """
     found = _contained(docs, items, key, text, containment, width, map_bits)
     return found.groupBy(F.col("key").alias(key), "item_id").agg(
@@ -119,9 +141,10 @@ def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, containme
     shingles = stored(item_sketches(items, containment, width), "item-sketches")
     spark = docs.sparkSession
     in_sketch = shingles.where("in_sketch")
-    top = in_sketch.agg(F.max(F.col("hash").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))).first()[0]
-    limit = np.uint64((top if top is not None else -(1 << 63)) + (1 << 63))
-    maps = spark.sparkContext.broadcast((_bit_map(in_sketch, map_bits), _bit_map(shingles, map_bits)))
+    limits, reached = _open_classes(in_sketch)
+    # Lengths of the items' shingles: ``width``, and those of items of fewer words.
+    lengths = shingles.agg(F.array_sort(F.collect_set(F.size(F.split("shingle", " "))))).first()[0]
+    maps = spark.sparkContext.broadcast((_class_map(in_sketch, map_bits), _class_map(shingles, map_bits)))
     shift = np.uint64(64 - map_bits)
     keyed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
@@ -131,13 +154,16 @@ def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, containme
             texts = batch["text"].to_pylist()
             for a, b in slices(texts):
                 words = Words(texts[a:b])
-                hashes, first, last = words.shingles(width)
+                runs = [words.shingles(n) for n in lengths] or [words.shingles(width)]
+                hashes, first, last = (np.concatenate(parts) for parts in zip(*runs))
                 doc = words.doc[first] if len(first) else np.empty(0, np.int64)
                 # Few hashes are left at each step.
                 known = np.flatnonzero(full_map[hashes >> shift])
-                low = known[hashes[known] <= limit]
-                low = low[sketch_map[hashes[low] >> shift]]
-                known = known[np.isin(doc[known], doc[low])]
+                held = sketch_map[hashes[known] >> shift] & reached[np.searchsorted(limits, hashes[known])]
+                # Partitions that a text is a candidate for.
+                wanted = np.zeros(b - a, np.uint32)
+                np.bitwise_or.at(wanted, doc[known], held)
+                known = known[(full_map[hashes[known] >> shift] & wanted[doc[known]]) != 0]
                 rows = {(doc[i], words.phrase(first[i], last[i])): hashes[i] for i in known}
                 at = [d for d, _ in rows]
                 yield pa.RecordBatch.from_arrays(

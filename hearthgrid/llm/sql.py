@@ -101,18 +101,17 @@ FROM running r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _shingles(table: str, key: str) -> str:
-    return f"""
-  SELECT DISTINCT {key}, unnest(CASE
-    WHEN len(words) = 0 THEN []
-    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
-  FROM (SELECT {key}, regexp_extract_all({_LOWER}, '{WORD}') AS words FROM {table} WHERE text IS NOT NULL)"""
+def _words_of(table: str, key: str) -> str:
+    return f"SELECT {key}, regexp_extract_all({_LOWER}, '{WORD}') AS words FROM {table} WHERE text IS NOT NULL"
 
 
+_RUNS = "unnest(list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))) AS shingle"
+
+# An item of fewer than five words is one run of its own length.
 OP7 = f"""
-WITH item_shingles AS ({_shingles("benchmark", "item_id")}),
-doc_shingles AS ({_shingles("documents", "doc_id")}),
+WITH items AS (SELECT *, least(len(words), 5) AS n FROM ({_words_of("benchmark", "item_id")}) WHERE len(words) > 0),
+item_shingles AS (SELECT DISTINCT item_id, {_RUNS} FROM items),
+doc_shingles AS (SELECT DISTINCT doc_id, {_RUNS} FROM ({_words_of("documents", "doc_id")}), (SELECT DISTINCT n FROM items)),
 sizes AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id),
 shared AS (
   SELECT doc_id, item_id, count(*) AS n_shared

@@ -18,12 +18,13 @@ def plain_shingles(text, width=5):
 
 
 def plain_pairs(docs, items, containment=0.8):
+    """Items of fewer than five words are one run of their own length."""
     known = {}
     for key, text in items:
         known.setdefault(key, set()).update(plain_shingles(text))
     best = {}
     for row in docs:
-        own = plain_shingles(row[1])
+        own = {s for width in range(1, 6) for s in plain_shingles(row[1], width)}
         for key, shingles in known.items():
             shared = len(own & shingles)
             if shingles and shared >= max(1, math.ceil(containment * len(shingles) - 1e-9)):
@@ -109,6 +110,30 @@ def test_words_and_shingles():
     assert Words([]).hashes().tolist() == [] and len(Words([None]).shingles(5)[0]) == 0
 
 
+def test_short_items_are_found_inside_texts(spark):
+    items = [(1, "what is it"), (2, "Z"), (3, "one two three four"), (4, "five words make one run"), (4, "is it")]
+    texts = ["x y what is it z", "what  IS\tit", "it is what", "z", "say one two three four five", "zz", "", "is it"]
+    docs = as_rows(texts)
+    found = bag(decontaminate.contained_items(documents(spark, docs), benchmark(spark, items)))
+    assert found == plain_pairs(docs, items)
+    assert {(i, k) for i, k, *_ in found} == {(0, 1), (1, 1), (0, 2), (3, 2), (4, 3)}
+
+
+def test_sizes_apart(spark):
+    """Items from one word to thousands, each inside a longer text, whole and in part."""
+    draw = random.Random(9)
+    sizes = [1, 2, 4, 5, 6, 9, 17, 40, 130, 700, 3000]
+    items = [(n, " ".join(f"w{draw.randrange(4000)}" for _ in range(n))) for n in sizes]
+    docs = []
+    for n, text in items:
+        w, around = text.split(" "), [f"v{draw.randrange(9000)}" for _ in range(400)]
+        for share in (1.0, 0.9, 0.7):
+            docs.append(" ".join(around[:200] + w[: max(1, round(share * n))] + around[200:]))
+    docs = as_rows(docs)
+    found = bag(decontaminate.contained_items(documents(spark, docs), benchmark(spark, items)))
+    assert found == plain_pairs(docs, items) and {k for _, k, *_ in found} == set(sizes)
+
+
 def test_rows_of_one_key_are_judged_by_their_texts(spark):
     """Clean rows stay beside leaking ones that share their key, or have none either."""
     item = " ".join(f"word{i}" for i in range(20))
