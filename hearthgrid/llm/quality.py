@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 from hearthgrid.llm.words import Words, mix
 
-# Words of a passage, and passages of a text. Longer texts get longer passages, so that
-# the whole text is encoded.
+# Words of a passage, whatever the length of the text.
 PASSAGE_WORDS = 40
+# Passages of a text that the model is fitted to, evenly spread over it. Scoring takes all.
 PASSAGES = 48
+# Characters of a text that are encoded at once, and passages that are scored at once.
+SLICE = 1 << 20
+BLOCK = 1 << 14
 HASHED = 48
 SHAPES = 16
 FEATURES = SHAPES + HASHED
@@ -24,6 +28,7 @@ HIDDEN = 16
 SAMPLE_ROWS = 2500
 STEPS = 300
 RATE = 0.02
+_BLANK, _WORD = re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]")
 
 
 def encode_passages(text: str | None) -> np.ndarray:
@@ -36,7 +41,7 @@ def encode_passages(text: str | None) -> np.ndarray:
     n = len(words.start)
     if not n:
         return np.zeros((1, FEATURES), np.float32)
-    length = max(PASSAGE_WORDS, -(-n // PASSAGES))
+    length = PASSAGE_WORDS
     first = np.arange(0, n, length)
     # The last passage takes in a rest of less than half a passage.
     if len(first) > 1 and n - first[-1] < length // 2:
@@ -82,6 +87,28 @@ def encode_passages(text: str | None) -> np.ndarray:
     return out
 
 
+def passage_slices(text: str | None, characters: int = SLICE) -> Iterator[np.ndarray]:
+    """All passages of a text, one matrix for each slice of about so many characters.
+
+    Slices end at a blank, so words stay whole; only a longer single word makes a longer one.
+    """
+    text = text or ""
+    begin = 0
+    while True:
+        blank = _BLANK.search(text, begin + characters)
+        end = blank.start() if blank else len(text)
+        yield encode_passages(text[begin:end])
+        if not _WORD.search(text, end):
+            return
+        begin = end
+
+
+def fitted_passages(text: str | None, most: int = PASSAGES) -> np.ndarray:
+    """At most so many passages of a text, evenly spread from its start to its end."""
+    every = np.concatenate([*passage_slices(text)])
+    return every if len(every) <= most else every[np.arange(most) * len(every) // most]
+
+
 @dataclass
 class QualityModel:
     """Feature scaling, gated attention (V, U, w) and the output weights."""
@@ -152,7 +179,7 @@ def _encoded(df: DataFrame, text: str, *columns: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            passages = [encode_passages(t.as_py()).tobytes() for t in batch.column(len(columns))]
+            passages = [fitted_passages(t.as_py()).tobytes() for t in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(passages, pa.binary())],
                 names=[*columns, "passages"],
@@ -202,14 +229,46 @@ def fit_quality(
     return fit_bags(bags, y, weight)
 
 
-def score_passages(passages: list[np.ndarray], model: QualityModel) -> np.ndarray:
-    """Score of each text, from 0 to 1; 0.5 if nothing was learned."""
-    if not model.weights:
-        return np.full(len(passages), 0.5)
-    x = np.concatenate(passages).astype(float)
-    bag = np.repeat(np.arange(len(passages)), [len(b) for b in passages])
-    x = np.clip((x - model.mean) / model.scale, -6, 6)
-    return _forward(x, bag, len(passages), model.weights)[-1]
+def _attended(passages: list[np.ndarray], model: QualityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each slice the largest attention, the sum of attentions relative to it, and the
+    sum of passage representations weighted by these."""
+    p = model.weights
+    x = np.clip((np.concatenate(passages).astype(float) - model.mean) / model.scale, -6, 6)
+    e = (np.tanh(x @ p["V"]) / (1 + np.exp(-(x @ p["U"])))) @ p["w"]
+    sizes = np.array([len(part) for part in passages])
+    first = np.cumsum(sizes) - sizes
+    most = np.maximum.reduceat(e, first)
+    a = np.exp(e - np.repeat(most, sizes))
+    h = np.tanh(x @ p["H"] + p["hb"])
+    return most, np.add.reduceat(a, first), np.add.reduceat(a[:, None] * h, first, axis=0)
+
+
+def score_texts(texts: list[str | None], model: QualityModel, characters: int = SLICE, block: int = BLOCK) -> np.ndarray:
+    """Score of each whole text, from 0 to 1; 0.5 if nothing was learned.
+
+    Passages are encoded by slices and scored by blocks; of a text's slices only the sums
+    under the attention are kept and put together, so a text of any length takes the memory
+    of a slice and a block.
+    """
+    if not model.weights or not texts:
+        return np.full(len(texts), 0.5)
+    sums, owners, waiting, n_waiting = [], [], [], 0
+    for i, text in enumerate(texts):
+        for passages in passage_slices(text, characters):
+            owners.append(i)
+            waiting.append(passages)
+            n_waiting += len(passages)
+            if n_waiting >= block:
+                sums.append(_attended(waiting, model))
+                waiting, n_waiting = [], 0
+    if waiting:
+        sums.append(_attended(waiting, model))
+    most, total, weighted = (np.concatenate(parts) for parts in zip(*sums))
+    owner = np.array(owners)
+    first = np.searchsorted(owner, np.arange(len(texts)))
+    share = np.exp(most - np.maximum.reduceat(most, first)[owner])
+    z = np.add.reduceat(weighted * share[:, None], first, axis=0) / np.add.reduceat(total * share, first)[:, None]
+    return 1 / (1 + np.exp(-np.clip(z @ model.weights["c"] + model.weights["b"], -40, 40)))
 
 
 def with_quality(
@@ -217,7 +276,8 @@ def with_quality(
 ) -> DataFrame:
     """``key`` and ``score`` of every row; whole texts, one pass, no shuffle.
 
-    Null and empty texts have one passage of zeros. The model is a few kilobytes.
+    Every passage of a text takes part in its score. Null and empty texts have one passage
+    of zeros. The model is a few kilobytes.
     """
     shared = df.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.weights))
     chosen = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -225,8 +285,7 @@ def with_quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = QualityModel(*shared.value)
         for batch in batches:
-            passages = [encode_passages(t.as_py()) for t in batch["text"]]
-            scores = score_passages(passages, known) if passages else np.empty(0)
+            scores = score_texts(batch["text"].to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(scores)], names=["key", "score"])
 
     kind = chosen.schema["key"].dataType.simpleString()

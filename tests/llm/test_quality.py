@@ -10,8 +10,10 @@ from tests.llm.helpers import ODD_ROWS, documents, sentences
 
 def test_passages_cover_the_whole_text():
     for n in (1, 39, 40, 59, 60, 61, 400, 40_000):
-        passages = quality.encode_passages(" ".join(["word"] * n))
-        assert 1 <= len(passages) <= quality.PASSAGES and passages.shape[1] == quality.FEATURES
+        text = " ".join(["word"] * n)
+        passages = quality.encode_passages(text)
+        assert passages.shape == (max(1, (n + 20) // 40), quality.FEATURES)
+        assert len(quality.fitted_passages(text)) == min(len(passages), quality.PASSAGES)
     clean, dirty = " ".join(["plain words here"] * 3000), " ".join(["### $$$ %%%"] * 40)
     last = quality.encode_passages(f"{clean} {dirty}")[-1]
     assert not np.allclose(last, quality.encode_passages(clean)[-1])
@@ -34,15 +36,48 @@ def test_gradients_fit_the_label_of_one_passage():
         bags.append(passages)
         labels.append(1 - i % 2)
     model = quality.fit_bags(bags[:300], np.array(labels[:300], float), np.ones(300))
-    scores = quality.score_passages(bags[300:], model)
+    scores = np.array([plain_score(b, model) for b in bags[300:]])
     assert ((scores > 0.5) == np.array(labels[300:], bool)).mean() > 0.85
 
 
+def plain_score(passages, model):
+    """The score of one text by the formulas, passage by passage."""
+    p, rows = model.weights, []
+    for passage in passages:
+        x = np.clip((passage.astype(float) - model.mean) / model.scale, -6, 6)
+        gate = 1 / (1 + np.exp(-(x @ p["U"])))
+        rows.append((np.exp(np.sum(np.tanh(x @ p["V"]) * gate * p["w"])), np.tanh(x @ p["H"] + p["hb"])))
+    z = sum(a * h for a, h in rows) / sum(a for a, _ in rows)
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["b"][0])))
+
+
+def test_scores_against_plain_attention():
+    texts = [*sentences(12, 1, high=900), None, "", "x", "one two " * 5000 + "### $$$ " * 30]
+    bags = [quality.fitted_passages(t) for t in texts]
+    model = quality.fit_bags(bags, np.array([0.0, 1.0] * 8), np.ones(16))
+    wanted = [plain_score(quality.encode_passages(t), model) for t in texts]
+    assert quality.score_texts(texts, model) == pytest.approx(wanted)
+    assert quality.score_texts(texts, model, block=3) == pytest.approx(wanted)
+    cut = [np.concatenate([*quality.passage_slices(t, 500)]) for t in texts]
+    wanted = [plain_score(c, model) for c in cut]
+    assert quality.score_texts(texts, model, characters=500, block=7) == pytest.approx(wanted)
+
+
+def test_slices_hold_all_words_once():
+    text = " ".join(f"w{i}" for i in range(3000)) + " "
+    parts = [*quality.passage_slices(text, 1000)]
+    assert len(parts) > 10
+    # The share of a full passage that each one has, summed, is the number of words.
+    full = quality.SHAPES - 1
+    assert 3000 * 0.9 <= sum(p[:, full].sum() for p in parts) * 40 <= 3000
+    assert len([*quality.passage_slices("x" * 5000, 1000)]) == 1
+
+
 def test_scores_do_not_depend_on_neighbours():
-    texts = [quality.encode_passages(t) for t in [*sentences(10, 1), "", "x"]]
-    model = quality.fit_bags(texts, np.array([0.0, 1.0] * 6), np.ones(12))
-    together = quality.score_passages(texts, model)
-    assert together == pytest.approx([quality.score_passages([t], model)[0] for t in texts])
+    texts = [*sentences(10, 1), "", "x"]
+    model = quality.fit_bags([quality.fitted_passages(t) for t in texts], np.array([0.0, 1.0] * 6), np.ones(12))
+    together = quality.score_texts(texts, model)
+    assert together == pytest.approx([quality.score_texts([t], model)[0] for t in texts])
 
 
 def test_odd_rows(spark):
