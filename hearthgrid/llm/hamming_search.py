@@ -194,7 +194,8 @@ def nearest_rows(
 
     Rows with equal codes are searched once, as one code with its smallest ids (``k`` + 1
     are enough, as a row is not its own neighbour). Rows with a null vector or key are left
-    out; an empty vector has the code 0. Rows that share a key count as one if their codes
+    out; an empty vector has the code 0. Codes are those of the first 64 elements: vectors
+    of more are compared by these alone, not refused, so that one odd row ends no job. Rows that share a key count as one if their codes
     are equal, else each. Fewer than ``k`` other rows give fewer neighbours.
     """
     coded = stored(
