@@ -19,7 +19,9 @@ EVERYTHING = {"all": "true"}
 def in_segments(rows: DataFrame, segments: Mapping[str, str]) -> DataFrame:
     """Rows once for each segment they belong to, named in ``segment``.
 
-    ``segments`` maps a name to the SQL condition of its rows. Nothing is shuffled.
+    ``segments`` maps a name to the SQL condition of its rows; a column named ``segment`` is
+    replaced after the conditions are read. Rows of no segment are left out. Nothing is
+    shuffled.
     """
     names = [F.when(F.expr(condition), F.lit(name)) for name, condition in segments.items()]
     return rows.withColumn("segment", F.explode(F.array_compact(F.array(*names))))

@@ -52,7 +52,7 @@ def test_all_targets_and_segments_as_numpy_has_them(spark):
                     assert r[f"{name}-pred"] == pytest.approx(wanted[r["id"]], abs=1e-6)
 
 
-def test_one_exchange_whatever_the_targets(spark, capsys):
+def test_scoring_shuffles_nothing(spark, capsys):
     df = spark.createDataFrame(homes(50), SCHEMA)
     models = linear.fit_linear(df, FEATURES, ["electricity"])
     models.score(df, ["id"]).explain()
