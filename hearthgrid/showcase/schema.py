@@ -98,6 +98,27 @@ def simulation_outputs(spark, folder):
     )
 
 
+@registry.add(
+    "SELECT l_orderkey AS building_id, (l_linenumber % 2 + 1)::DOUBLE AS upgrade_id, "
+    "CASE WHEN l_linestatus = 'O' THEN round(l_quantity) ELSE l_quantity / 2 END AS load, "
+    "CASE WHEN l_linestatus <> 'O' THEN l_tax END AS share FROM lineitem"
+)
+def mixed_directories(spark, folder):
+    """Runs of two directories; the files of each differ in the type of one column and lack another."""
+    lines = table(spark, folder, "lineitem")
+    path = fresh_path(spark, "mixed")
+    names = {f"{path}/{n}": n + 1.0 for n in (0, 1)}
+    for n, place in enumerate(names):
+        own = lines.where(F.col("l_linenumber") % 2 == n).withColumnRenamed("l_orderkey", "building_id")
+        whole = own.where("l_linestatus = 'O'").select("building_id", F.round("l_quantity").cast("long").alias("load"))
+        real = own.where("l_linestatus <> 'O'").select(
+            "building_id", (F.col("l_quantity") / 2).alias("load"), F.col("l_tax").alias("share")
+        )
+        whole.write.parquet(place)
+        real.write.mode("append").parquet(place)
+    return readers.simulation_runs(spark, names, mixed_schemas=True).select("building_id", "upgrade_id", "load", "share")
+
+
 @registry.add(
     "SELECT s_suppkey AS supplier_key, s_name AS supplier_name__m, s_acctbal AS account_cop_value__m FROM supplier"
 )

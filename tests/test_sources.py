@@ -102,6 +102,50 @@ def test_files_of_one_directory_may_differ(spark, tmp_path):
     assert found.agg(F.max("x_kg")).first()[0] == pytest.approx(1.5 * 0.45359237)
 
 
+@pytest.fixture
+def mixed(spark, tmp_path):
+    """A directory with a blank in its name: two folders of one schema, one of two, and files beside folders."""
+    path = f"{tmp_path}/all [1] files"
+    whole = spark.range(4).select(F.col("id").alias("building_id"), F.lit(1).cast("long").alias("x"))
+    real = spark.range(4, 6).select(F.col("id").alias("building_id"), F.lit(0.5).alias("x"))
+    whole.repartition(2).write.parquet(f"{path}/a")
+    real.write.parquet(f"{path}/b")
+    whole.write.parquet(f"{path}/c")
+    real.write.mode("append").parquet(f"{path}/c")
+    whole.write.mode("append").parquet(path)
+    (tmp_path / "all [1] files" / "a" / "notes.txt").write_text("no table")
+    return path
+
+
+def test_directories_of_one_schema_stand_for_their_files(spark, mixed):
+    escaped = readers._as_named(mixed)
+    layouts = readers.file_layouts(spark, escaped)
+    assert layouts.select("layout").distinct().count() == 2
+    paths = [r["path"] for r in readers.layout_paths(layouts).collect()]
+    names = {p.split("all [1] files")[1] for p in paths}
+    assert {"/a", "/b"} <= names and "/c" not in names and "" not in names
+    assert all(n in ("/a", "/b") or n.endswith(".parquet") for n in names)
+
+
+def test_files_of_nested_directories_are_read_once(spark, mixed):
+    tables_found = readers.tables_by_schema(spark, readers._as_named(mixed))
+    assert sorted(dict(t.dtypes)["x"] for t in tables_found) == ["bigint", "double"]
+    ids = sorted(r["building_id"] for t in tables_found for r in t.collect())
+    assert ids == sorted([0, 1, 2, 3] * 3 + [4, 5] * 2)
+
+
+def test_paths_that_arrow_cannot_open(spark, mixed, monkeypatch):
+    real = readers.file_layouts(spark, readers._as_named(mixed))
+    monkeypatch.setattr(readers, "file_layouts", lambda *_: real.withColumn("layout", F.lit(None).cast("string")))
+    found = readers.tables_by_schema(spark, readers._as_named(mixed))
+    assert sorted(t.count() for t in found) == [4, 12]
+
+
+def test_a_directory_without_tables(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("no table")
+    assert readers.tables_by_schema(spark, str(tmp_path)) == []
+
+
 def test_tables_bucketed_alike_join_without_a_shuffle(spark, database):
     keys = ["building_id", "building_set"]
     df = spark.range(1000).select(F.col("id").alias("building_id"), (F.col("id") % 3).cast("string").alias("building_set"), F.lit(1).alias("x"))
