@@ -249,6 +249,26 @@ def zone_export(spark, folder):
     )
 
 
+@registry.add(
+    "SELECT l_linenumber::INTEGER AS zone, count(*) AS n_rows, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents, "
+    "count(*) FILTER (l_linestatus = 'O') AS n_open, count(*) FILTER (l_returnflag = 'N') AS n_flag, "
+    "count(*) FILTER (l_quantity >= 40) AS n_large, count(*) FILTER (l_discount < 0.02) AS n_plain FROM lineitem GROUP BY ALL"
+)
+def clustered_export(spark, folder):
+    """Written by zone, clustered by four columns alike, and read back."""
+    lines = table(spark, folder, "lineitem").withColumn("zone", F.col("l_linenumber").cast("int"))
+    path = fresh_path(spark, "clustered-export")
+    tables.write_clustered(lines, path, "zone", ["l_linestatus", "l_returnflag", "l_quantity", "l_discount"])
+    return readers.parquet(spark, path).groupBy("zone").agg(
+        F.count("*").alias("n_rows"),
+        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"),
+        F.count_if(F.col("l_linestatus") == "O").alias("n_open"),
+        F.count_if(F.col("l_returnflag") == "N").alias("n_flag"),
+        F.count_if(F.col("l_quantity") >= 40).alias("n_large"),
+        F.count_if(F.col("l_discount") < 0.02).alias("n_plain"),
+    )
+
+
 @registry.add(
     "SELECT n_regionkey AS region, count(*) AS n_rows, sum(c_custkey)::BIGINT AS keys FROM customer "
     "JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL"

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,68 @@ def test_export(spark, tmp_path):
     assert back == sorted(back) and len(back) == 25
 
 
+def _spans(folder, column):
+    """Least and greatest value of a column in each file, from the footers."""
+    for file in folder.rglob("*.parquet"):
+        footer = pq.read_metadata(file)
+        at = footer.schema.names.index(column)
+        parts = [footer.row_group(g).column(at).statistics for g in range(footer.num_row_groups)]
+        yield min(p.min for p in parts), max(p.max for p in parts)
+
+
+def test_a_filter_on_any_cluster_column_skips_files(spark, tmp_path):
+    rows = spark.range(40_000).select(
+        (F.col("id") % 2 + 1).cast("int").alias("zone"),
+        F.concat(F.lit("fuel "), F.pmod(F.xxhash64("id", F.lit(1)), 5)).alias("a"),
+        F.pmod(F.xxhash64("id", F.lit(2)), 9).alias("b"),
+        F.pmod(F.xxhash64("id", F.lit(3)), 5000).cast("double").alias("c"),
+        F.pmod(F.xxhash64("id", F.lit(4)), 100).cast("int").alias("d"),
+    )
+    rows = session.settle(rows, "cluster-test")
+    # 256 ranges of a zone: two digits of each column tell them apart.
+    tables.write_clustered(rows, f"{tmp_path}/z", "zone", ["a", "b", "c", "d"], files=512)
+    back = readers.parquet(spark, f"{tmp_path}/z").select(*rows.columns)
+    assert back.exceptAll(rows).isEmpty() and rows.exceptAll(back).isEmpty()
+    for column, value in (("a", "fuel 2"), ("b", 4), ("c", 2500.0), ("d", 50)):
+        spans = list(_spans(tmp_path / "z", column))
+        met = sum(low <= value <= high for low, high in spans)
+        assert len(spans) >= 400 and met < 0.6 * len(spans), column
+
+
+def test_rows_of_one_value_are_dealt_to_many_files(spark, tmp_path):
+    rows = spark.range(9000).select(
+        F.lit(1).alias("zone"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("a"), F.lit(None).cast("string").alias("b"),
+        F.create_map(F.lit("k"), F.col("id")).alias("__rank"), F.array("id").alias("c"),
+    )
+    tables.write_clustered(session.settle(rows, "cluster-test"), f"{tmp_path}/z", "zone", ["a", "b"], files=9)
+    back = readers.parquet(spark, f"{tmp_path}/z")
+    assert back.count() == 9000 and back.where("a is null").select("_metadata.file_path").distinct().count() >= 3
+
+
+def test_empty_table_is_clustered(spark, tmp_path):
+    rows = spark.createDataFrame([], "zone int, a string, b double")
+    tables.write_clustered(rows, f"{tmp_path}/z", "zone", ["a", "b"])
+    assert spark.read.schema(rows.schema).parquet(f"{tmp_path}/z").count() == 0
+
+
+def test_range_numbers_and_digits(spark):
+    rows = spark.createDataFrame([(v,) for v in (None, -1.0, 2.0, 2.5, 7.0, float("nan"))], "v double")
+    found = rows.select(tables.range_number("v", [2.0, 3.0, 7.0]).alias("n")).collect()
+    assert [r["n"] for r in found] == [0, 0, 1, 1, 3, 3]
+    digits = spark.range(1).select(tables.interleaved([F.lit(5), F.lit(3)], 3).alias("k"))
+    assert digits.first()["k"] == 0b100111
+    with pytest.raises(ValueError, match="63"):
+        tables.interleaved([F.lit(1)] * 4, 16)
+
+
+def test_bounds_follow_the_rows(spark):
+    rows = spark.range(6400).select(F.col("id").alias("a"), F.lit("x").alias("b"), F.lit(None).cast("int").alias("c"))
+    bounds = tables.cluster_bounds(rows, ["a", "b", "c"], bits=3)
+    assert bounds == {"a": [800 * i for i in range(1, 8)], "b": [], "c": []}
+    near = tables.cluster_bounds(rows, ["a"], bits=3, rows=1000)["a"]
+    assert len(near) == 7 and all(abs(v - w) < 640 for v, w in zip(near, bounds["a"], strict=True))
+
+
 def test_wide_export_suffixes_metadata(spark):
     metadata = spark.createDataFrame([(1, "x")], "building_id int, fuel string")
     features = spark.createDataFrame([(1, "y")], "building_id int, fuel string")
