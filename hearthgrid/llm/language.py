@@ -17,6 +17,8 @@ from hearthgrid.llm.words import mix, slices
 BUCKETS = 1 << 15
 LONGEST = 3
 SMOOTHING = 0.1
+# The most languages that are learned: those of most rows.
+LANGUAGES = 200
 UNDECIDED = "und"
 
 
@@ -76,14 +78,22 @@ def fit_languages(
     longest: int = LONGEST,
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
+    most: int = LANGUAGES,
 ) -> LanguageModel:
     """Counts n-grams of all rows with a language and a text.
 
     Every task sums its rows into one line of counts per language; lines are added up by
     language and bucket. What reaches the driver is one number for each of ``buckets`` and
-    language, whatever the number of rows.
+    language, whatever the number of rows. Of a column with more than ``most`` values, the
+    ones of most rows (of null texts too) are learned, the first names of those alike: this
+    bounds the matrix.
     """
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+    labelled = df.where(F.col(lang).isNotNull())
+    names = labelled.groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    names = [r["lang"] for r in names.orderBy(F.desc("n"), "lang").limit(most + 1).collect()]
+    if len(names) > most:
+        labelled = labelled.where(F.col(lang).cast("string").isin(names[:most]))
+    rows = labelled.where(F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, DataType, LongType, MapType, StructType, VariantType
 
 from hearthgrid.llm.common import stored
 from hearthgrid.llm.components import component_labels
@@ -246,6 +246,15 @@ def without_near_duplicates(
     return one_row_of_each_group(df, stored(found, "simhash-found"), fingerprint_column, key, text)
 
 
+def unordered(kind: DataType) -> bool:
+    """Whether values of a type cannot be compared."""
+    if isinstance(kind, ArrayType):
+        return unordered(kind.elementType)
+    if isinstance(kind, StructType):
+        return any(unordered(field.dataType) for field in kind.fields)
+    return isinstance(kind, (MapType, VariantType))
+
+
 def one_row_of_each_group(
     df: DataFrame, found: DataFrame, print_of: Callable[[Column], Column], key: str, text: str
 ) -> DataFrame:
@@ -254,7 +263,8 @@ def one_row_of_each_group(
 
     Most rows stay and are not shuffled: a bit map of a fixed size has the hashes of all
     keys that are dropped or that several rows have. Only rows that meet a bit are joined
-    with these keys, which tells the few that only share a hash.
+    with these keys, which tells the few that only share a hash. Columns that have no order,
+    those with maps, count as their JSON text where rows are compared.
     """
     keys = found.groupBy(F.col(key).alias("__key")).agg(
         F.count("*").alias("n"), F.first(F.col(key) == F.col("component_id")).alias("least")
@@ -270,6 +280,10 @@ def one_row_of_each_group(
     bit_map = marks.select(word, place).groupBy("__word").agg(F.bit_or(flag).alias("__bits"))
     bit_map = stored(bit_map, "simhash-map")
     packed = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    compared = [
+        F.to_json(F.struct(F.col("row")[field.name])) if unordered(field.dataType) else F.col("row")[field.name]
+        for field in df.schema.fields
+    ]
     rows = df.select(packed, F.col(key).alias("__key"), F.col(text).alias("__text"))
     rows = rows.select("*", word, place).join(F.broadcast(bit_map), "__word", "left")
     met = F.coalesce(F.col("__bits").bitwiseAND(flag) != 0, F.lit(False)) | F.col("__key").isNull()
@@ -284,7 +298,7 @@ def one_row_of_each_group(
         .join(groups, "__print")
         .where(F.col("__key").eqNullSafe(F.col("component_id")))
         .groupBy("group")
-        .agg(F.min("row").alias("row"))
+        .agg(F.min_by("row", F.struct(*compared)).alias("row"))
         .select("row")
     )
     return single.unionByName(unmarked).unionByName(several).select("row.*")

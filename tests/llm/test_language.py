@@ -78,6 +78,17 @@ def test_nothing_learned(spark):
     assert language.with_language(df.limit(0), language.fit_languages(df)).collect() == []
 
 
+def test_the_languages_of_most_rows_are_learned(spark):
+    """A dirty column of languages does not make the matrix grow."""
+    texts = sentences(60, 6)
+    rows = [(i, t, f"odd {i}" if i % 3 == 0 else "en" if i % 3 == 1 else "de", "s", 1) for i, t in enumerate(texts)]
+    df = documents(spark, rows + [(99, None, "fr", "s", 1), (98, "du texte", "fr", "s", 1)])
+    assert language.fit_languages(df, most=3).languages == ["de", "en", "fr"]
+    assert language.fit_languages(df, most=2).languages == ["de", "en"]
+    assert len(language.fit_languages(df).languages) == 23
+    assert set(language.predict_languages(texts, language.fit_languages(df, most=2))[0]) <= {"de", "en"}
+
+
 def test_batches_do_not_matter():
     texts = sentences(40, 5) + ["", None, "q"]
     model = language.LanguageModel(

@@ -6,6 +6,7 @@ import importlib.util
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hearthgrid.llm import sharding
@@ -45,6 +46,16 @@ def test_all_but_the_last_keep_the_columns(after):
         assert columns == (COLUMNS if name != "sharding" else [*COLUMNS, "slot", "shard"])
 
 
+def test_columns_without_an_order(spark, folder):
+    """A column of maps goes through every stage; rows that share a key are among those."""
+    rows = [*ODD_ROWS, *[(i, t, "en", "s", 1) for i, t in enumerate(sentences(20, 4))]]
+    docs = documents(spark, rows).withColumn("marks", F.create_map(F.lit("k"), F.col("n_chars")))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, folder), f"test-maps-{name}")
+    assert docs.columns == [*COLUMNS, "marks", "slot", "shard"]
+    assert all(r["marks"] == {"k": r["n_chars"]} for r in docs.collect()) and not docs.isEmpty()
+
+
 def test_language_id_drops_only_what_has_no_language(after):
     given, _, kept = after["language_id"]
     gone = Counter(given) - Counter(kept)

@@ -158,6 +158,17 @@ def test_one_row_of_each_group_stays(spark, monkeypatch, bits):
     assert sorted(r["text"] for r in kept if r["doc_id"] == 50) == ["aa aa", "zz zz"]
 
 
+def test_columns_without_an_order(spark):
+    """Of rows that share a key, the one with the smallest columns stays; maps count as JSON."""
+    rows = [(1, "same words here", "en", "s", n) for n in (None, 2, 1)] + [(None, "no key", "en", "s", 3)] * 2
+    df = documents(spark, rows).where("n_chars is not null").selectExpr(
+        "doc_id", "map('k', n_chars) AS marks", "array(struct(map(n_chars, 'x') AS m)) AS deep", "text"
+    )
+    kept = simhash.without_near_duplicates(df)
+    assert kept.dtypes == df.dtypes
+    assert sorted((r["doc_id"] or 0, r["marks"]["k"]) for r in kept.collect()) == [(0, 3), (1, 1)]
+
+
 def test_query(spark, folder):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     result = queries.op10_simhash(spark, folder).select("doc_id", "fingerprint", "component_id")
