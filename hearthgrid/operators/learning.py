@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -233,6 +234,107 @@ def search(
     return Search([{p.name: v for p, v in s.items()} for s in settings], errors, models[best])
 
 
+@dataclass(frozen=True)
+class Uniform:
+    """Any value from ``low`` to ``high``."""
+
+    low: float
+    high: float
+
+    def at(self, share: float) -> float:
+        return self.low + share * (self.high - self.low)
+
+
+@dataclass(frozen=True)
+class LogUniform:
+    """Any value from ``low`` to ``high``, every order of magnitude as likely as the others."""
+
+    low: float
+    high: float
+
+    def at(self, share: float) -> float:
+        return self.low * (self.high / self.low) ** share
+
+
+@dataclass(frozen=True)
+class Choice:
+    """One of some values."""
+
+    values: Sequence
+
+    def at(self, share: float):
+        return self.values[int(share * len(self.values))]
+
+
+def sampled_settings(space: Mapping[str, Uniform | LogUniform | Choice], n: int, seed: int = 42) -> list[dict]:
+    """``n`` settings of a described space. Each value follows from a hash of the parameter's
+    name, the setting's number and the seed, so more settings do not change the first ones."""
+
+    def share(name: str, number: int) -> float:
+        return int(hashlib.md5(f"{name}|{number}|{seed}".encode()).hexdigest()[:8], 16) / 2**32
+
+    return [{name: part.at(share(name, i)) for name, part in space.items()} for i in range(n)]
+
+
+@dataclass
+class Halving:
+    """All settings, (rung, setting, error) of those tried, the winner's number and model."""
+
+    settings: list[dict]
+    errors: list[tuple[int, int, float]]
+    winner: int
+    best: object
+
+
+def halving_search(
+    rows: DataFrame,
+    feature_set: FeatureSet,
+    target: str,
+    settings: Sequence[Mapping],
+    regressor=None,
+    key: Sequence[str] | None = None,
+    rungs: int = 3,
+    factor: int = 2,
+    share: float = 0.2,
+    seed: int = 42,
+) -> Halving:
+    """Best of many settings by successive halving.
+
+    The first rung trains all settings on a small part of the rows, and each next one the best
+    of ``factor`` on ``factor`` times as many; the last one has all trained rows. Parts are
+    nested ranges of the hash of a row's key, so every rung adds rows to the last one's, alike
+    on any partitioning. All rungs are judged on the same held-out rows, all models of a
+    rung in one pass over them. Settings of equal errors stay in their order. Labels and
+    scales come from trained rows alone, and rows whose target is zero or null take no part.
+    """
+    if not settings or rungs < 1 or factor < 2:
+        raise ValueError("a search needs settings, a rung and a factor of 2 or more")
+    test_end = round(share * BUCKETS)
+    rows = rows.where(F.col(target) != 0).withColumn("__place", hash_bucket(list(key or rows.columns), seed))
+    rows = feature_set.as_numbers(rows)
+    preparation = Pipeline(stages=feature_set.stages()).fit(rows.where(F.col("__place") >= test_end))
+    prepared = settle(preparation.transform(rows).select("features", target, "__place"), "prepared")
+    held = prepared.where(F.col("__place") < test_end)
+    learner = (regressor or GBTRegressor(maxIter=10, seed=42)).copy()
+    learner.setLabelCol(target).setFeaturesCol("features")
+    alive, found, models = list(range(len(settings))), [], {}
+    for rung in range(rungs):
+        end = test_end + -((test_end - BUCKETS) // factor ** (rungs - 1 - rung))
+        part = prepared.where((F.col("__place") >= test_end) & (F.col("__place") < end))
+        maps = [{learner.getParam(name): v for name, v in settings[i].items()} for i in alive]
+        models = dict(zip(alive, learner.fit(part, maps)))
+        scored = held
+        for i, model in models.items():
+            scored = model.copy({model.predictionCol: f"__p{i}"}).transform(scored)
+        errors = scored.agg(*[F.avg(F.abs(F.col(f"__p{i}") - F.col(target))).alias(str(i)) for i in alive]).first()
+        if errors[0] is None:
+            raise ValueError("no row is held out")
+        found += [(rung, i, errors[str(i)]) for i in alive]
+        ranked = sorted(alive, key=lambda i: (errors[str(i)], i))
+        alive = sorted(ranked[: max(1, -(-len(alive) // factor))]) if rung < rungs - 1 else ranked[:1]
+    return Halving([dict(s) for s in settings], found, alive[0], models[alive[0]])
+
+
 def feature_importance(
     rows: DataFrame,
     feature_set: FeatureSet,

@@ -163,3 +163,71 @@ def test_search(spark):
         regressor=LinearRegression(),
     )
     assert found.errors[0] < found.errors[1] and found.settings[0] == {"regParam": 0.0}
+
+
+def test_settings_of_a_space():
+    space = {"a": learning.Uniform(2, 4), "b": learning.LogUniform(1e-3, 10), "c": learning.Choice(["x", "y"])}
+    many = learning.sampled_settings(space, 400)
+    assert many[:5] == learning.sampled_settings(space, 5) != learning.sampled_settings(space, 5, seed=1)
+    assert all(2 <= s["a"] < 4 and 1e-3 <= s["b"] < 10 and s["c"] in "xy" for s in many)
+    # Half of the draws lie below the middle of each part; that of the second one is 0.1.
+    for below in (sum(s["a"] < 3 for s in many), sum(s["b"] < 0.1 for s in many), sum(s["c"] == "x" for s in many)):
+        assert 150 < below < 250
+
+
+def _line(spark):
+    noise = F.pmod(F.xxhash64("id"), 11)
+    return spark.range(600).select("id", (F.col("id") % 30).alias("size"), (3.0 * (F.col("id") % 30) + noise + 1).alias("cost"))
+
+
+def _halved(df, settings, **given):
+    features = learning.FeatureSet(numeric=("size",))
+    return learning.halving_search(df, features, "cost", settings, LinearRegression(), key=["id"], **given)
+
+
+def test_halving(spark):
+    settings = [{"regParam": v} for v in (500.0, 1.0, 0.0, 50.0, 1.0)]
+    found = _halved(_line(spark), settings)
+    tried = [[i for rung, i, _ in found.errors if rung == n] for n in range(3)]
+    assert tried[0] == [0, 1, 2, 3, 4] and len(tried[1]) == 3 and len(tried[2]) == 2
+    assert set(tried[2]) <= set(tried[1]) and 0 not in tried[1]
+    last = {i: e for rung, i, e in found.errors if rung == 2}
+    assert found.winner == min(last, key=lambda i: (last[i], i))
+    assert found.best.getOrDefault("regParam") == settings[found.winner]["regParam"]
+    # Equal settings have equal errors, and the first one stays.
+    first = {i: e for rung, i, e in found.errors if rung == 0}
+    assert first[1] == first[4]
+
+
+def test_halving_is_alike_on_any_partitioning(spark):
+    settings = learning.sampled_settings({"regParam": learning.LogUniform(0.1, 1000)}, 6)
+    one, many = (_halved(_line(spark).repartition(n), settings, rungs=2, factor=3) for n in (1, 7))
+    assert one.winner == many.winner
+    for (a, i, e), (b, j, f) in zip(one.errors, many.errors, strict=True):
+        assert (a, i) == (b, j) and e == pytest.approx(f)
+
+
+def test_halving_keeps_rungs_nested_and_held_rows_apart(spark):
+    """The parts rungs train on grow, and none has a held-out row."""
+    parts = []
+
+    class Spy(LinearRegression):
+        def copy(self, extra=None):
+            return self
+
+        def fit(self, dataset, params=None):
+            # A rung's settings come as a list; each of them is fitted by a call of its own.
+            if isinstance(params, list):
+                parts.append({r["__place"] for r in dataset.select("__place").distinct().collect()})
+            return super().fit(dataset, params)
+
+    features = learning.FeatureSet(numeric=("size",))
+    learning.halving_search(_line(spark), features, "cost", [{"regParam": 0.0}, {"regParam": 1.0}], Spy(), key=["id"])
+    assert len(parts) == 3 and parts[0] < parts[1] < parts[2] and min(parts[2]) >= 2000
+
+
+def test_halving_without_rows_or_settings(spark):
+    with pytest.raises(ValueError, match="settings"):
+        _halved(_line(spark), [])
+    with pytest.raises(ValueError, match="held out"):
+        _halved(_line(spark), [{"regParam": 0.0}], share=0.0)
