@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import decontaminate, language, mixing, sharding, similar
+from hearthgrid.llm import decontaminate, language, mixing, near_copies, sharding
 from hearthgrid.llm.common import prepared, split_number, stored
 from hearthgrid.session import configure
 
@@ -30,9 +30,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of texts that share 0.8 of their
-    runs of five words."""
+    runs of five words: pairs are those whose SimHash codes are near, the share decides."""
     prepared(configure(spark))
-    return similar.without_similar(docs)
+    return near_copies.without_near_copies(docs)
 
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,6 +166,21 @@ def _sets(df: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("shingles").alias("shingles"))
 
 
+def verified(
+    df: DataFrame, met: DataFrame, wanted: DataFrame, text: str, similarity: float, width: int
+) -> DataFrame:
+    """Those pairs ``a``, ``b`` of ``met`` whose sets of shingles are as similar as asked;
+    ``wanted`` has the prints of all pairs."""
+    # Not stored: both joins take the sets as they were dealt by print.
+    sets = _sets(df, text, width, wanted)
+    met = met.join(sets.select(F.col("print").alias("b"), F.col("shingles").alias("others")), "b")
+    met = met.join(sets.select(F.col("print").alias("a"), F.col("shingles").alias("own")), "a")
+    common = F.size(F.array_intersect("own", "others"))
+    both = F.size("own") + F.size("others") - F.col("common")
+    found = met.select("a", "b", "own", "others", common.alias("common"))
+    return found.where(F.col("common") >= similarity * both - 1e-9).select("a", "b")
+
+
 def similar_links(
     df: DataFrame, prefixes: DataFrame, text: str, similarity: float, width: int
 ) -> DataFrame:
@@ -195,7 +210,6 @@ def similar_links(
     differing = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(MAP_LONGS)), F.lit(0))
     # Sets this similar differ in no more shingles than that.
     allowed = (F.col("n") + F.col("m")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    common = F.size(F.array_intersect("own", "others"))
     links = None
     labelled = rows.withColumn("label", F.col("print"))
     turn = 0
@@ -232,14 +246,8 @@ def similar_links(
             met = met.where(differing <= allowed).select("a", "b")
         met = stored(met, "similar-pairs")
         wanted = stored(met.select(F.col("a").alias("print")).union(met.select("b")).distinct(), "similar-wanted")
-        sets = stored(_sets(df, text, width, wanted), "similar-sets")
-        met = met.join(sets.select(F.col("print").alias("b"), F.col("shingles").alias("others")), "b")
-        met = met.join(sets.select(F.col("print").alias("a"), F.col("shingles").alias("own")), "a")
-        both = F.size("own") + F.size("others") - F.col("common")
-        found = met.select("a", "b", "own", "others", common.alias("common")).where(
-            F.col("common") >= similarity * both - 1e-9
-        )
-        found = stored(found.select("a", "b"), "similar-links")
+        found = verified(df, met, wanted, text, similarity, width)
+        found = stored(found, "similar-links")
         links = found if links is None else links.unionByName(found)
         if turn < ROUNDS and found.isEmpty():
             turn = ROUNDS
