@@ -57,16 +57,13 @@ def unpivot_pairs(
     wide: DataFrame, ids: Sequence[str], values: Sequence[str], suffix: str = "-pred"
 ) -> DataFrame:
     """(ids, fuel, target_type, value) rows of actual and predicted columns."""
-    long = wide.unpivot(
-        list(ids), [v + s for s in ("", suffix) for v in values], "__name", "value"
-    )
-    predicted = F.col("__name").endswith(suffix)
-    return long.select(
-        *ids,
-        F.substring_index("__name", suffix, 1).alias("fuel"),
-        F.when(predicted, "prediction").otherwise("actual").alias("target_type"),
-        "value",
-    )
+    # Inside the row, which keeps how the rows are dealt, as ``unpivot`` does not.
+    rows = [
+        F.struct(F.lit(v).alias("fuel"), F.lit(kind).alias("target_type"), F.col(f"`{v}{s}`").alias("value"))
+        for kind, s in (("actual", ""), ("prediction", suffix))
+        for v in values
+    ]
+    return wide.select(*ids, F.inline(F.array(*rows)))
 
 
 def pivot_fixed(

@@ -68,6 +68,20 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of a wide or many-column aggregation that one task takes, about.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of about ``rows`` rows, dealt by ``keys`` in tasks of a bounded number of them.
+
+    For aggregations by these keys and more, whose buffers are large: what a task holds does
+    not grow with the table. Meant for keys of few rows each.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-rows // TASK_ROWS)), *keys)
+
+
 def join_settled(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner"
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from hearthgrid.operators.learning import FUELS
 from hearthgrid.operators.quantiles import percentile_band as band
 from hearthgrid.operators.rollup import bucket_predictions, split_bucket_benchmark
 from hearthgrid.operators.scenarios import catalogue
-from hearthgrid.session import settle
+from hearthgrid.session import dealt, settle
 from hearthgrid.showcase.base import Registry, table
 
 registry = Registry()
@@ -237,7 +237,9 @@ def baseline_attributes(spark, folder):
 )
 def unpivot_pivot_long(spark, folder):
     ids = list(evaluation.KEYS)
-    long = evaluation.unpivot_pairs(simulated(spark, folder), ids, FUELS)
+    # Every row becomes as many groups as there are fuels, none of which fold.
+    wide = dealt(simulated(spark, folder), table(spark, folder, "lineitem").count(), "building_id")
+    long = evaluation.unpivot_pairs(wide, ids, FUELS)
     pairs = evaluation.pivot_fixed(long, [*ids, "fuel"], "target_type", ["actual", "prediction"])
     return pairs.groupBy("upgrade_id", "fuel").agg(
         F.count(F.lit(1)).alias("n_rows"),
