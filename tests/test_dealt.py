@@ -42,7 +42,7 @@ def test_scenarios_side_by_side_need_no_other_shuffle(spark):
     assert {(r["n_wrong"], r["n_compared"]) for r in found.collect()} == {(2, 2)}
 
 
-@pytest.mark.parametrize("name", ["unpivot_pivot_long"])
+@pytest.mark.parametrize("name", ["unpivot_pivot_long", "ordering_error", "ordering_error_global"])
 def test_queries_bound_the_rows_of_a_task(spark, folder, monkeypatch, name):
     monkeypatch.setattr(session, "TASK_ROWS", 100)
     plan = all_queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
