@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.llm.common import stored
-from hearthgrid.llm.words import Words, signed, slices
+from hearthgrid.llm.words import SMALL_SLICE, Words, signed, slices
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -40,7 +40,7 @@ def item_sketches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SMALL_SLICE):
                 words = Words(texts[a:b])
                 hashes, first, last = words.shingles(width)
                 at = words.doc[first] + a if len(first) else np.empty(0, np.int64)
@@ -152,7 +152,7 @@ def _contained(docs: DataFrame, items: DataFrame, key: str, text: str, containme
         sketch_map, full_map = maps.value
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SMALL_SLICE):
                 words = Words(texts[a:b])
                 runs = [words.shingles(n) for n in lengths] or [words.shingles(width)]
                 hashes, first, last = (np.concatenate(parts) for parts in zip(*runs))

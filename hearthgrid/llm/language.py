@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from hearthgrid.llm.words import mix, slices
+from hearthgrid.llm.words import SMALL_SLICE, mix, slices
 
 # Buckets of hashed n-grams, and the longest n-gram.
 BUCKETS = 1 << 15
@@ -61,6 +61,22 @@ def ngram_buckets(texts: list[str | None], longest: int = LONGEST, buckets: int
     return np.concatenate([none, *found]), np.concatenate([none, *where]), has
 
 
+def ngram_counts(batches: Iterable[pa.RecordBatch], longest: int = LONGEST, buckets: int = BUCKETS) -> dict[str, np.ndarray]:
+    """For each ``lang`` the counts of its texts' n-grams by bucket and, last, of its texts with letters."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        texts, langs = batch["text"].to_pylist(), np.array(batch["lang"].to_pylist(), object)
+        for a, b in slices(texts, SMALL_SLICE):
+            found, where, has = ngram_buckets(texts[a:b], longest, buckets)
+            own = langs[a:b]
+            for name in set(own):
+                mine = own == name
+                total = sums.setdefault(name, np.zeros(buckets + 1, np.int64))
+                total[:buckets] += np.bincount(found[mine[where]], minlength=buckets)
+                total[buckets] += int((mine & has).sum())
+    return sums
+
+
 @dataclass
 class LanguageModel:
     """Languages, and for each bucket (row) and language (column) the log probability."""
@@ -98,18 +114,7 @@ def fit_languages(
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            texts, langs = batch["text"].to_pylist(), np.array(batch["lang"].to_pylist(), object)
-            for a, b in slices(texts):
-                found, where, has = ngram_buckets(texts[a:b], longest, buckets)
-                own = langs[a:b]
-                for name in set(own):
-                    mine = own == name
-                    total = sums.setdefault(name, np.zeros(buckets + 1, np.int64))
-                    total[:buckets] += np.bincount(found[mine[where]], minlength=buckets)
-                    total[buckets] += int((mine & has).sum())
-        for name, total in sums.items():
+        for name, total in ngram_counts(batches, longest, buckets).items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(total[at])],
@@ -141,7 +146,7 @@ def predict_languages(texts: list[str | None], model: LanguageModel) -> tuple[li
     """Most likely language and its probability of each text; the first name of those alike."""
     names, scores = [], np.zeros(len(texts))
     buckets = len(model.table)
-    for a, b in slices(texts, 1 << 18):
+    for a, b in slices(texts, SMALL_SLICE):
         found, where, has = ngram_buckets(texts[a:b], model.longest, buckets)
         # Only the buckets a text has, with their counts.
         cells, times = np.unique(where * buckets + found, return_counts=True)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from hearthgrid.llm.common import stored
 from hearthgrid.llm.components import component_labels
-from hearthgrid.llm.similar import SHINGLE, SIMILARITY, body_column, shingle_sets, verified
+from hearthgrid.llm.similar import SHINGLE, SIMILARITY, bodies, body_column, shingle_sets, verified
 from hearthgrid.llm.simhash import one_row_of_each_group
-from hearthgrid.llm.words import mix, slices
+from hearthgrid.llm.words import SMALL_SLICE, mix, slices
 
 # Longs of a fingerprint, and the bits in which fingerprints of a pair may differ. Each bit of
 # two sets of similarity 0.8 differs with a probability of about 0.15: 19 of 128, with a
@@ -71,12 +71,12 @@ def text_prints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SMALL_SLICE):
                 doc, hashes = shingle_sets(texts[a:b], width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["key"].slice(a, b - a),
-                        batch["print"].slice(a, b - a),
+                        pa.array(bodies(texts[a:b]), pa.binary()),
                         pa.array(np.bincount(doc, minlength=b - a)),
                         _joined(set_fingerprints(doc, hashes, b - a)),
                         _joined(parity_maps(doc, hashes, b - a)),
@@ -85,7 +85,7 @@ def text_prints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 )
 
     kind = df.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), body_column(F.col(text)).alias("print"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {kind}, print binary, n long, code binary, bits binary")
 
 
@@ -152,10 +152,12 @@ def near_pairs(
     rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
     # One row for each factor of size.
     sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
-    cuts = [
-        (c, -(-n // tile_rows), -(-(n + sizes.get(c + 1, 0)) // other_rows)) for c, n in sizes.items()
-    ]
-    cuts = spark.createDataFrame(cuts, "home int, cuts int, other_cuts int")
+    # As Arrow: rows of Python objects would start further workers beside those that compare.
+    cuts = spark.createDataFrame(pa.table({
+        "home": pa.array(sizes, pa.int32()),
+        "cuts": pa.array([-(-n // tile_rows) for n in sizes.values()], pa.int32()),
+        "other_cuts": pa.array([-(-(n + sizes.get(c + 1, 0)) // other_rows) for c, n in sizes.items()], pa.int32()),
+    }))
     cut = F.xxhash64("print")
     values = ["print", "label", "n", "code", "bits"]
     own = rows.join(F.broadcast(cuts), F.col("class") == F.col("home")).select(

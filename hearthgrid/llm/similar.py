@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql.types import BinaryType
 from hearthgrid.llm.common import stored
 from hearthgrid.llm.components import component_labels
 from hearthgrid.llm.simhash import MAP_BITS, one_row_of_each_group
-from hearthgrid.llm.words import Words, signed, slices
+from hearthgrid.llm.words import SMALL_SLICE, Words, signed, slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -32,13 +32,18 @@ MAP_LONGS = 8
 KNOWN_PRINTS = 200_000
 
 
-@F.pandas_udf(BinaryType())
-def body_column(text: pd.Series) -> pd.Series:
+def bodies(texts: Iterable[str | None]) -> list[bytes]:
     """16 bytes that stand for the words of each text; texts of the same words are equal."""
-    return pd.Series(
-        [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in text],
-        dtype=object,
-    )
+    return [xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())) for t in texts]
+
+
+def _body_series(text: pd.Series) -> pd.Series:
+    return pd.Series(bodies(text), dtype=object)
+
+
+# Not deterministic for the planner, or a join on it has a worker more for each task, which
+# evaluates it again to drop nulls.
+body_column = F.pandas_udf(_body_series, BinaryType()).asNondeterministic()
 
 
 def shingle_sets(texts: list[str | None], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -136,33 +141,54 @@ def meeting(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return met.where(F.col("__map").bitwiseAND(flag) != 0).select(*rows.columns)
 
 
+def _print_bits(prints: list[bytes]) -> np.ndarray:
+    """The bit of each print in a map of 2 ** MAP_BITS: its last digits."""
+    ends = np.frombuffer(b"".join(p[-4:] for p in prints), ">u4")
+    return ends.astype(np.int64) % (1 << MAP_BITS)
+
+
+def _print_map(wanted: DataFrame) -> np.ndarray:
+    """A bit map of the column ``print``. At most 2 ** (MAP_BITS - 6) rows are collected,
+    whatever the number of prints."""
+    bit = F.pmod(F.conv(F.hex(F.expr("substring(print, -4, 4)")), 16, 10).cast("long"), F.lit(1 << MAP_BITS))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(flag).alias("flags")).toArrow()
+    found = np.zeros(1 << (MAP_BITS - 6), "<i8")
+    found[words["word"].to_numpy()] = words["flags"].to_numpy()
+    return found.view(np.uint8)
+
+
 def _sets(df: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """``print`` and its ``shingles`` for the prints of ``wanted``, once each.
 
     Texts are held against a bit map of fixed size; only those that meet a bit become sets
-    and are shuffled, copies within a task once.
+    and are shuffled, copies within a task once. One Python worker for each task does it all.
     """
-    rows = df.select(body_column(F.col(text)).alias("print"), F.col(text).alias("text"))
-    rows = meeting(rows, "print", wanted)
+    shared = df.sparkSession.sparkContext.broadcast(_print_map(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         sent: set[bytes] = set()
         for batch in batches:
             if len(sent) > KNOWN_PRINTS:
                 sent.clear()
             texts, prints = [], []
-            for body, value in zip(batch["print"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if body not in sent:
-                    sent.add(body)
-                    texts.append(value)
-                    prints.append(body)
-            for a, b in slices(texts):
+            every = batch["text"].to_pylist()
+            made = bodies(every)
+            bit = _print_bits(made)
+            met = known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+            for i in np.flatnonzero(met):
+                if made[i] not in sent:
+                    sent.add(made[i])
+                    texts.append(every[i])
+                    prints.append(made[i])
+            for a, b in slices(texts, SMALL_SLICE):
                 doc, hashes = shingle_sets(texts[a:b], width)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(prints[a:b], pa.binary()), _lists(doc, hashes, b - a)], names=["print", "shingles"]
                 )
 
-    sets = rows.mapInArrow(run, "print binary, shingles array<long>")
+    sets = df.select(F.col(text).alias("text")).mapInArrow(run, "print binary, shingles array<long>")
     return sets.join(wanted, "print", "left_semi").groupBy("print").agg(F.first("shingles").alias("shingles"))
 
 

@@ -104,6 +104,10 @@ class Words:
         return b" ".join(span.split()).decode("utf-8", "replace")
 
 
+# Characters of a slice where a step holds a hundred bytes or more for each.
+SMALL_SLICE = 1 << 18
+
+
 def slices(texts: list[str | None], characters: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts that together have about so many characters; one text at least."""
     begin = size = 0

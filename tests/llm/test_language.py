@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearthgrid.llm import language, queries
@@ -27,6 +29,22 @@ def test_buckets_are_those_of_the_grams():
     assert has.tolist() == [True, False, False, True, False, True, True]
 
 
+def test_counting_holds_a_small_slice():
+    """What a task holds does not follow the size of its batches."""
+    texts = sentences(400, 9, 400, 2000, 2100)
+    batch = pa.RecordBatch.from_pydict({"lang": ["aa", "bb"] * 200, "text": texts})
+    assert sum(map(len, texts)) > 4 << 20
+    tracemalloc.start()
+    counts = language.ngram_counts([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert {name: int(total[-1]) for name, total in counts.items()} == {"aa": 200, "bb": 200}
+    alone = [language.ngram_counts([batch.slice(i, 1)]) for i in range(400)]
+    for name, total in counts.items():
+        assert (total == sum(one[name] for one in alone if name in one)).all()
+
+
 def plain_prediction(train, text):
     """Naive Bayes over exact n-grams."""
     counts, texts = defaultdict(Counter), Counter()

@@ -4,10 +4,10 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from hearthgrid.llm import near_copies
+from hearthgrid.llm import near_copies, similar
 from hearthgrid.llm.similar import shingle_sets
 from hearthgrid.llm.words import mix
-from tests.llm.helpers import ODD_ROWS, documents, words
+from tests.llm.helpers import ODD_ROWS, as_rows, documents, sentences, words
 from tests.llm.test_simhash import plain_components
 from tests.llm.test_similar import copies, plain_groups
 
@@ -69,3 +69,22 @@ def test_stage_takes_its_pairs_from_simhash(spark, folder, monkeypatch):
     monkeypatch.setattr(near_copies.without_near_copies, "__defaults__", (*defaults[:-1], -1))
     kept = corpus_pipeline.keep_one_of_each_group(spark, documents(spark, rows), folder)
     assert kept.count() == len(bodies)
+
+
+def test_one_python_worker_for_each_task(spark):
+    """Steps that follow each other inside a task would each hold a worker of its own."""
+    df = documents(spark, as_rows(sentences(20, 4)))
+    prints = near_copies.text_prints(df, "doc_id", "text", 5)
+    wanted = prints.select("print").distinct()
+    for found in (prints, similar._sets(df, "text", 5, wanted.localCheckpoint())):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("EvalPython") == 1, plan
+
+
+def test_the_map_has_the_bits_of_its_prints(spark):
+    made = similar.bodies([*sentences(50, 7), "", None, "A b", "a B"])
+    assert made[-4] == made[-3] and made[-2] == made[-1]
+    known = similar._print_map(spark.createDataFrame([(p,) for p in made], "print binary"))
+    bit = similar._print_bits(made)
+    assert (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).all()
+    assert np.unpackbits(known).sum() == len(set(bit.tolist()))
