@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthgrid.functions import metrics
@@ -149,17 +149,23 @@ def with_baselines(
     attribute_of = {6.0: "water_heater_fuel"} | dict(extra_appliance or {})
     attributes = dict.fromkeys(["heating_fuel", *attribute_of.values()])
     every = [*fuels, TOTAL]
-    based = with_baseline_values(
-        wide,
-        ["building_id", "building_set"],
-        "upgrade_id",
-        {
-            **{f"{f}-base": F.col(f"`{f}`") for f in every},
-            **{f"{f}{suffix}-base": F.col(f"`{f}{suffix}`") for f in every},
-            **{f"base_{a}": a for a in attributes},
-            "baseline_ac_type": "ac_type",
-        },
-    )
+    values = {
+        **{f"{f}-base": F.col(f"`{f}`") for f in every},
+        **{f"{f}{suffix}-base": F.col(f"`{f}{suffix}`") for f in every},
+        **{f"base_{a}": F.col(a) for a in attributes},
+        "baseline_ac_type": F.col("ac_type"),
+    }
+    # A building has a row for each scenario, so one sort brings them together, and none of
+    # them is shuffled that is dealt by building already. An aggregate of a struct sorts
+    # before and after its shuffle, and the rows once more to join it.
+    first = Window.partitionBy("building_id", "building_set").orderBy(F.asc_nulls_last("upgrade_id"))
+    found = F.struct(*[c.alias(name) for name, c in values.items()])
+    based = wide.withColumn(
+        "__first",
+        F.first(F.when(F.col("upgrade_id").isNotNull(), found)).over(
+            first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ),
+    ).select(*wide.columns, *[F.col("__first")[name].alias(name) for name in values])
     appliance = F.col("base_heating_fuel")
     for scenario, attribute in attribute_of.items():
         appliance = F.when(
@@ -172,7 +178,7 @@ def with_baselines(
 
 
 def errors_by_fuel(
-    based: DataFrame, fuels: Sequence[str], suffix: str = "-pred"
+    based: DataFrame, fuels: Sequence[str], suffix: str = "-pred", extra: Sequence[str] = ()
 ) -> DataFrame:
     """Errors of consumption and savings, one row per building, scenario and fuel.
 
@@ -181,7 +187,7 @@ def errors_by_fuel(
     """
     rows = by_fuel(
         based,
-        [*KEYS, "baseline_appliance", "baseline_ac_type"],
+        [*KEYS, "baseline_appliance", "baseline_ac_type", *extra],
         [*fuels, TOTAL],
         {
             "actual": "",
@@ -339,14 +345,38 @@ def benchmark_errors(errors: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``absolute_error`` per building and scenario, for the total only. Its
     consumption error exists for the first baseline alone.
     """
-    theirs = benchmark.select(
+    theirs = _benchmark_columns(benchmark).withColumn("fuel", F.lit(TOTAL))
+    return _compared(errors.join(theirs, ["building_id", "upgrade_id", "fuel"], "left"))
+
+
+def with_benchmark(based: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of :func:`with_baselines` with the benchmark's row of their building and scenario.
+
+    Settle these for :func:`model_errors`: the join meets a row once, not once per fuel.
+    """
+    return based.join(_benchmark_columns(benchmark), ["building_id", "upgrade_id"], "left")
+
+
+def model_errors(rows: DataFrame, fuels: Sequence[str], suffix: str = "-pred") -> DataFrame:
+    """:func:`benchmark_errors` as a projection of the rows of :func:`with_benchmark`."""
+    theirs = ("b_prediction", "b_savings", "b_error")
+    long = errors_by_fuel(rows, fuels, suffix, theirs)
+    return _compared(
+        long.withColumns({c: F.when(F.col("fuel") == TOTAL, F.col(c)) for c in theirs})
+    )
+
+
+def _benchmark_columns(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(
         "building_id",
         "upgrade_id",
-        F.lit(TOTAL).alias("fuel"),
         F.col("kwh_upgrade_median").alias("b_prediction"),
         F.col("kwh_delta_median").alias("b_savings"),
         F.col("absolute_error").alias("b_error"),
     )
+
+
+def _compared(joined: DataFrame) -> DataFrame:
     ids = [
         *KEYS,
         "fuel",
@@ -355,7 +385,6 @@ def benchmark_errors(errors: DataFrame, benchmark: DataFrame) -> DataFrame:
         "baseline_appliance",
         "baseline_ac_type",
     ]
-    joined = errors.join(theirs, ["building_id", "upgrade_id", "fuel"], "left")
     long = by_model(
         joined,
         ids,

@@ -12,6 +12,7 @@ their counts, so no data make a job fail or give another value.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,13 +123,16 @@ def _inside(df: DataFrame, brackets: DataFrame, keys, quantiles) -> DataFrame:
             for i in range(2 * len(quantiles))
         ]
     )
-    items = []
+    items, held = [], []
     for i, (value, _) in enumerate(v for v in quantiles.values() for _ in (0, 1)):
         v, edge = F.col(f"__v_{value}"), F.col(f"__edge_{i}")
         inside = (v >= edge["__low"]) & (v <= edge["__high"])
         items.append(F.struct(F.lit(i).alias("__item"), F.when(inside, v).alias("__value")))
+        held.append(F.coalesce(inside, F.lit(False)))
+    # Few rows have a value inside a bracket; only those are multiplied out.
     return (
         join_settled(df, edges, keys)
+        .where(reduce(lambda a, b: a | b, held))
         .select(*keys, F.inline(F.array(*items)))
         .where("__value is not null")
         .groupBy(*keys, "__item", "__value")

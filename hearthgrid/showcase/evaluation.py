@@ -86,15 +86,13 @@ def simulated(spark, folder) -> DataFrame:
 
 
 def errors(spark, folder) -> DataFrame:
-    """Errors of every fuel. Baselines are a second reading of the rows, so these are settled."""
-    wide = settle(simulated(spark, folder), "simulated")
-    return evaluation.errors_by_fuel(evaluation.with_baselines(wide, FUELS), FUELS)
+    """Errors of every fuel."""
+    return evaluation.errors_by_fuel(evaluation.with_baselines(simulated(spark, folder), FUELS), FUELS)
 
 
 def settled_errors(spark, folder) -> DataFrame:
     """The same for reports, which pass over the rows more than once."""
-    wide = settle(simulated(spark, folder), "simulated")
-    based = settle(evaluation.with_baselines(wide, FUELS), "based")
+    based = settle(evaluation.with_baselines(simulated(spark, folder), FUELS), "based")
     return evaluation.errors_by_fuel(based, FUELS)
 
 
@@ -638,7 +636,8 @@ def _models(spark, folder) -> DataFrame:
     benchmark = _buckets(spark, folder)
     doubles = [c for c in benchmark.columns if c not in ("building_id", "upgrade_id")]
     benchmark = benchmark.withColumns({c: F.col(c).cast("double") for c in doubles})
-    return evaluation.benchmark_errors(errors(spark, folder), benchmark)
+    based = evaluation.with_baselines(simulated(spark, folder), FUELS)
+    return evaluation.with_benchmark(based, benchmark)
 
 
 @registry.add(
@@ -648,7 +647,7 @@ def _models(spark, folder) -> DataFrame:
     "FROM compared WHERE fuel = 'total' GROUP BY model, upgrade_id"
 )
 def model_long_compare(spark, folder):
-    rows = _models(spark, folder).where("fuel = 'total'")
+    rows = evaluation.model_errors(_models(spark, folder), FUELS).where("fuel = 'total'")
     return rows.groupBy("model", "upgrade_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("prediction").alias("n_predictions"),
@@ -668,7 +667,7 @@ def model_long_compare(spark, folder):
     "FROM report GROUP BY type, upgrade_id"
 )
 def report_by_model(spark, folder):
-    rows = settle(_models(spark, folder), "model-errors")
+    rows = evaluation.model_errors(settle(_models(spark, folder), "models"), FUELS)
     report = evaluation.metric_report(rows, by=["model"])
     wide = evaluation.report_by_model(report, ["Surrogate", "Bucketed"])
     return wide.select(

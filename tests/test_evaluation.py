@@ -121,6 +121,35 @@ def test_benchmark(spark):
     assert rows["Bucketed", 2, 3.0]["prediction"] is None
 
 
+def test_benchmark_joined_before_fuels_are_multiplied_out(spark):
+    benchmark = spark.createDataFrame(
+        [(1, 0.0, 120.0, None, 30.0), (1, 1.0, 10.0, 60.0, 5.0)],
+        "building_id int, upgrade_id double, kwh_upgrade_median double, kwh_delta_median double, absolute_error double",
+    )
+    based = evaluation.with_baselines(wide(spark), FUELS)
+    found = evaluation.model_errors(evaluation.with_benchmark(based, benchmark), FUELS)
+    expected = evaluation.benchmark_errors(errors(spark), benchmark)
+    assert values(found.select(*expected.columns)) == values(expected)
+
+
+def test_baselines_shuffle_a_building_once(spark):
+    """Rows dealt by building are not shuffled again for their baselines."""
+    rows = wide(spark).repartition(3, "building_id")
+    plan = evaluation.with_baselines(rows, FUELS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan, plan
+
+
+def test_baselines_of_rows_without_a_scenario_or_building(spark):
+    rows = wide(spark).where("building_id = 1")
+    odd = rows.withColumn("building_id", F.lit(None).cast("int")).unionByName(
+        rows.withColumn("upgrade_id", F.lit(None).cast("double"))
+    )
+    found = evaluation.with_baselines(odd, FUELS).collect()
+    assert len(found) == 2 * rows.count()
+    for r in found:
+        assert (r["total-base"] is None) == (r["upgrade_id"] is None)
+
+
 def test_difference_of_reports(spark):
     old = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, m double")
     new = spark.createDataFrame([("b", 5.0), ("c", 1.0)], "k string, m double")
