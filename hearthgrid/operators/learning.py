@@ -394,5 +394,6 @@ def what_if(
     scored = models.score(varied.withColumn("feature_value", F.col(feature)), ["feature_value"])
     predicted = [c for c in scored.columns if c != "feature_value"]
     total = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in predicted), F.lit(0.0))
-    return value_spread(scored.select("feature_value", total.alias("prediction")),
-                        ["feature_value"], "prediction")
+    # Stored: the spread passes over the predictions several times, the models score once.
+    found = settle(scored.select("feature_value", total.alias("prediction")), "swept")
+    return value_spread(found, ["feature_value"], "prediction")

@@ -144,6 +144,15 @@ def test_what_if(spark):
     assert found[1.0]["median_prediction"] == pytest.approx(3.0, abs=1e-6)
 
 
+def test_what_if_scores_each_row_once(spark):
+    models = learning.train(
+        homes(spark), learning.FeatureSet(numeric=("size",)), ["propane"], regressor=LinearRegression()
+    )
+    swept = learning.what_if(models, homes(spark), "size", grid=[1.0, 2.0])
+    # The passes of the spread read stored predictions; no model is left in its plan.
+    assert "UDF" not in swept._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_importance_names_the_feature_that_matters(spark):
     features = learning.FeatureSet(("kind",), ("size",), ())
     df = homes(spark).withColumns({"cost": 5.0 * F.col("size") + 1, "id": F.monotonically_increasing_id()})
