@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.llm.common import stored
 from hearthgrid.llm.components import component_labels
-from hearthgrid.llm.similar import SHINGLE, SIMILARITY, bodies, body_column, shingle_sets, verified
+from hearthgrid.llm.similar import SHINGLE, SIMILARITY, _sets, bodies, body_column, shingle_sets, verified
 from hearthgrid.llm.simhash import one_row_of_each_group
 from hearthgrid.llm.words import SMALL_SLICE, mix, slices
 
@@ -21,16 +21,22 @@ from hearthgrid.llm.words import SMALL_SLICE, mix, slices
 # deviation of 4. Those of unrelated sets differ in 64, with a deviation of 5.7.
 PRINT_LONGS = 2
 RADIUS = 44
-# Longs of a text's parity map.
-MAP_LONGS = 8
+# Bits of a text's parity map at least; larger sets have a bit for each shingle or more.
+MAP_BITS_LEAST = 512
 # Rounds in which a text meets one other of each block at most, before all pairs that are left.
 ROUNDS = 2
-# Fingerprints of a size that are compared as one side, and rows of the other side.
+# Rows of a block of one side, and of the other; a block ends at so many bytes of maps and
+# shingles as well.
 TILE_ROWS = 32_768
 OTHER_ROWS = 65_536
+BLOCK_BYTES = 1 << 24
+# Rows of a file of blocks, about.
+FILE_ROWS = 1 << 17
 # Rows and columns of one step of a comparison.
 STEP_ROWS = 32
 STEP_COLUMNS = 8192
+# Sets that are held against another at once.
+SETS_AT_ONCE = 64
 # Shingles whose bits are laid out at once.
 VOTE_ROWS = 1 << 13
 
@@ -51,13 +57,44 @@ def set_fingerprints(doc: np.ndarray, hashes: np.ndarray, n: int, longs: int = P
     return np.packbits(votes * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
-def parity_maps(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+def map_bits(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the parity map of sets of these sizes: a power of two."""
+    larger = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
+    return np.maximum(larger, MAP_BITS_LEAST)
+
+
+def parity_maps(doc: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
     """A bit tells whether an odd number of the set's hashes have it as their last digits: two
-    maps differ in no more bits than the sets in hashes."""
-    width = MAP_LONGS * 64
-    bit = (hashes % np.uint64(width)).astype(np.int64)
-    odd = np.bincount(doc * width + bit, minlength=n * width) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(n, MAP_LONGS)
+    maps of one length differ in no more bits than the sets in hashes.
+
+    The length follows the size, as a map of fewer bits than shingles rules nothing out. A map
+    whose halves are joined by exclusive-or is the map of half the length.
+    """
+    width = map_bits(np.bincount(doc, minlength=n))
+    ends = np.cumsum(width)
+    bit = (hashes % width.astype(np.uint64)[doc]).astype(np.int64)
+    odd = np.bincount((ends - width)[doc] + bit, minlength=int(ends[-1]) if n else 0) & 1
+    octets = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [octets[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
+
+
+def _folded(maps: np.ndarray, longs: int) -> np.ndarray:
+    """Maps, a row each, at a length of ``longs``."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, longs), axis=1)
+
+
+def differing_bits(own: dict, i: int, other: dict, j: np.ndarray) -> np.ndarray:
+    """Bits in which the map of row ``i`` and those of the rows ``j`` differ, at the length of
+    the shorter one."""
+    mine = own["bits"][own["at"][i] : own["at"][i + 1]][None, :]
+    sizes = other["at"][j + 1] - other["at"][j]
+    found = np.zeros(len(j), np.int64)
+    for longs in np.unique(sizes).tolist():
+        some = np.flatnonzero(sizes == longs)
+        maps = other["bits"][other["at"][j[some]][:, None] + np.arange(longs)]
+        short = min(longs, mine.shape[1])
+        found[some] = np.bitwise_count(_folded(mine, short) ^ _folded(maps, short)).sum(axis=1, dtype=np.int64)
+    return found
 
 
 def _joined(values: np.ndarray) -> pa.Array:
@@ -79,7 +116,7 @@ def text_prints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                         pa.array(bodies(texts[a:b]), pa.binary()),
                         pa.array(np.bincount(doc, minlength=b - a)),
                         _joined(set_fingerprints(doc, hashes, b - a)),
-                        _joined(parity_maps(doc, hashes, b - a)),
+                        pa.array(parity_maps(doc, hashes, b - a), pa.binary()),
                     ],
                     names=["key", "print", "n", "code", "bits"],
                 )
@@ -89,8 +126,13 @@ def text_prints(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, print binary, n long, code binary, bits binary")
 
 
-def _counts(own: np.ndarray, other: np.ndarray) -> np.ndarray:
-    return sum(np.bitwise_count(own[:, None, i] ^ other[None, :, i]) for i in range(own.shape[1]))
+def _counts(own: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Differing bits of each row and each code, whose longs are a column each."""
+    differing = np.empty((len(own), len(columns[0])), np.uint64)
+    counts = np.zeros(differing.shape, np.uint8)
+    for i, column in enumerate(columns):
+        counts += np.bitwise_count(np.bitwise_xor(own[:, i, None], column, out=differing))
+    return counts
 
 
 def block_pairs(own: dict, other: dict, radius: int, similarity: float, all_pairs: bool, turn: int) -> Iterator[tuple]:
@@ -102,7 +144,7 @@ def block_pairs(own: dict, other: dict, radius: int, similarity: float, all_pair
     of a side that has a pair gets the one whose hash is the least.
     """
     by_size = np.argsort(other["n"], kind="stable")
-    sizes, codes = other["n"][by_size], other["code"][by_size]
+    sizes, codes = other["n"][by_size], [c[by_size] for c in other["code"].T]
     share = (1 - similarity) / (1 + similarity)
     place, hashes = [mix(s["print"][:, 0] + np.uint64(turn)) for s in (own, other)]
     least = np.full(len(hashes), np.iinfo(np.uint64).max)
@@ -114,7 +156,8 @@ def block_pairs(own: dict, other: dict, radius: int, similarity: float, all_pair
         last = int(np.searchsorted(sizes, own["n"][some[-1]] / similarity + 1e-6, "right"))
         found: dict[int, list] = {}
         for column in range(first, last, STEP_COLUMNS):
-            near = _counts(own["code"][some], codes[column : min(column + STEP_COLUMNS, last)]) <= radius
+            part = [c[column : min(column + STEP_COLUMNS, last)] for c in codes]
+            near = _counts(own["code"][some], part) <= radius
             for r in np.flatnonzero(near.any(axis=1)):
                 found.setdefault(int(r), []).append(by_size[column + np.flatnonzero(near[r])])
         for r, parts in found.items():
@@ -124,8 +167,7 @@ def block_pairs(own: dict, other: dict, radius: int, similarity: float, all_pair
             later = (b[:, 0] > a[0]) | ((b[:, 0] == a[0]) & (b[:, 1] > a[1]))
             kept = (other["label"][j] != own["label"][i]) & ((m > n) | ((m == n) & later)) & (n >= similarity * m - 1e-9)
             j = j[kept]
-            differing = np.bitwise_count(own["bits"][i] ^ other["bits"][j]).sum(axis=1, dtype=np.int64)
-            j = j[differing <= (n + other["n"][j]) * share + 1e-6]
+            j = j[differing_bits(own, i, other, j) <= (n + other["n"][j]) * share + 1e-6]
             if all_pairs:
                 yield np.full(len(j), i), j
             elif len(j):
@@ -136,71 +178,148 @@ def block_pairs(own: dict, other: dict, radius: int, similarity: float, all_pair
     yield best[chosen], chosen
 
 
+def similar_pairs(found: Iterator[tuple], own: dict, other: dict, similarity: float) -> Iterator[tuple]:
+    """Those of the pairs found whose sets are as similar as asked, one row and another.
+
+    Labels that a pair has linked are one from then on, and pairs of one label are left out:
+    there are fewer pairs than labels, and they connect what all of them would.
+    """
+    above: dict[int, int] = {}
+
+    def top(label: int) -> int:
+        passed = []
+        while label in above:
+            passed.append(label)
+            label = above[label]
+        above.update(dict.fromkeys(passed, label))
+        return label
+
+    def sets(side: dict, rows: np.ndarray) -> np.ndarray:
+        places = [np.arange(side["set"][r], side["set"][r + 1]) for r in rows.tolist()]
+        return side["shingles"][np.concatenate(places)]
+
+    for i, j in found:
+        for begin in range(0, len(j), SETS_AT_ONCE):
+            label = top(int(own["label"][i[0]]))
+            some = j[begin : begin + SETS_AT_ONCE]
+            some = some[[top(x) != label for x in other["label"][some].tolist()]]
+            if not len(some):
+                continue
+            mine, theirs, sizes = sets(own, i[:1]), sets(other, some), other["n"][some]
+            at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = np.add.reduceat(mine[at] == theirs, np.cumsum(sizes) - sizes, dtype=np.int64)
+            near = common >= similarity * (len(mine) + sizes - common) - 1e-9
+            for k in some[near].tolist():
+                one = top(int(other["label"][k]))
+                if one != label:
+                    above[one] = label
+                    yield i[:1], np.array([k])
+
+
+def side_of(columns: dict[str, object]) -> dict:
+    """The rows of a block, from its columns of joined values."""
+    side = {name: np.frombuffer(columns[name], np.uint64) for name in columns if name not in ("label", "n")}
+    side |= {name: np.frombuffer(columns[name], np.int64) for name in ("label", "n")}
+    side["print"] = side["print"].reshape(-1, 2)
+    side["code"] = side["code"].reshape(len(side["n"]), -1)
+    side["at"] = np.concatenate([[0], np.cumsum(map_bits(side["n"]) // 64)])
+    side["set"] = np.concatenate([[0], np.cumsum(side["n"])])
+    return side
+
+
+def size_blocks(rows: DataFrame, tile_rows: int, other_rows: int) -> DataFrame:
+    """Rows in blocks of like size ``n``: a row each, with joined columns, the least and the
+    largest size. All rows are in blocks of both sides, told by ``own``."""
+    names = [c for c in ("print", "label", "n", "code", "bits", "shingles") if c in rows.columns]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(parts: list[pa.RecordBatch], own: bool) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts)
+            n = table["n"].to_numpy()
+            values = {"low": n.min(), "high": n.max(), "own": own}
+            values |= {name: table[name].to_numpy().tobytes() for name in ("label", "n")}
+            values |= {name: b"".join(table[name].to_pylist()) for name in ("print", "code", "bits")}
+            if "shingles" in names:
+                values["shingles"] = table["shingles"].combine_chunks().flatten().to_numpy().tobytes()
+            return pa.RecordBatch.from_pylist([values], schema)
+
+        kinds = {"low": pa.int64(), "high": pa.int64(), **dict.fromkeys(names, pa.binary()), "own": pa.bool_()}
+        schema = pa.schema(list(kinds.items()))
+        held: dict[bool, list] = {True: [], False: []}
+        for batch in batches:
+            for own, limit in ((True, tile_rows), (False, other_rows)):
+                begin = 0
+                while begin < batch.num_rows:
+                    part = batch.slice(begin, limit - sum(p.num_rows for p in held[own]))
+                    held[own].append(part)
+                    begin += part.num_rows
+                    full = sum(p.num_rows for p in held[own]) == limit
+                    if full or sum(p[c].nbytes for p in held[own] for c in names[4:]) >= BLOCK_BYTES:
+                        yield block(held[own], own)
+                        held[own] = []
+        for own, parts in held.items():
+            if parts:
+                yield block(parts, own)
+
+    files = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // FILE_ROWS))
+    sorted_ = rows.select(*names).repartitionByRange(files, "n", "print").coalesce(files).sortWithinPartitions("n")
+    joined = ", ".join(f"{name} binary" for name in names)
+    return sorted_.mapInArrow(pack, f"low long, high long, {joined}, own boolean")
+
+
+@contextmanager
+def _batches(spark: SparkSession, **limits: int) -> Iterator[None]:
+    """What a Python worker gets at once, for tables that are stored meanwhile."""
+    limits = {f"spark.sql.execution.arrow.{name}": value for name, value in limits.items()}
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def _stored_pairs(pairs: DataFrame, label: str) -> DataFrame:
+    """Stored; a Python worker gets one pair of blocks at once."""
+    with _batches(pairs.sparkSession, maxRecordsPerBatch=1):
+        return stored(pairs, label)
+
+
 def near_pairs(
     rows: DataFrame, radius: int, similarity: float, all_pairs: bool, turn: int,
     tile_rows: int = TILE_ROWS, other_rows: int = OTHER_ROWS,
 ) -> DataFrame:
-    """Pairs ``a``, ``b`` of prints by :func:`block_pairs`, from rows of one print each.
+    """Pairs ``a``, ``b`` of prints by :func:`block_pairs`, from rows of one print each. Rows
+    that have their ``shingles`` decide on their pairs at once (:func:`similar_pairs`).
 
-    Sets as similar as asked have sizes of one class or of the next. Each class meets itself
-    and the next; both sides are cut by hash, so a task holds blocks of a bounded size and
-    every block of one side meets every block of the other.
+    Blocks of like sizes are stored once for either side. Tasks read pairs of files of blocks,
+    a Cartesian product, and compare each block with those whose sizes allow the similarity:
+    however many blocks a block meets, it is neither copied nor shuffled for that.
     """
-    spark = rows.sparkSession
-    # A little wider than the similarity, so that rounding leaves no class between two sizes.
-    step = -math.log(similarity) + 1e-4
-    rows = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    # One row for each factor of size.
-    sizes = {r["class"]: r["count"] for r in rows.groupBy("class").count().collect()}
-    # As Arrow: rows of Python objects would start further workers beside those that compare.
-    cuts = spark.createDataFrame(pa.table({
-        "home": pa.array(sizes, pa.int32()),
-        "cuts": pa.array([-(-n // tile_rows) for n in sizes.values()], pa.int32()),
-        "other_cuts": pa.array([-(-(n + sizes.get(c + 1, 0)) // other_rows) for c, n in sizes.items()], pa.int32()),
-    }))
-    cut = F.xxhash64("print")
-    values = ["print", "label", "n", "code", "bits"]
-    own = rows.join(F.broadcast(cuts), F.col("class") == F.col("home")).select(
-        "home",
-        F.pmod(cut, F.col("cuts")).cast("int").alias("cut"),
-        F.explode(F.sequence(F.lit(0), F.col("other_cuts") - 1)).alias("other_cut"),
-        *values,
-        F.lit(True).alias("own"),
-    )
-    homes = rows.select("*", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("home"))
-    other = homes.join(F.broadcast(cuts), "home").select(
-        "home",
-        F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"),
-        F.pmod(cut, F.col("other_cuts")).cast("int").alias("other_cut"),
-        *values,
-        F.lit(False).alias("own"),
-    )
-    blocks = own.unionByName(other).select(F.xxhash64("home", "cut", "other_cut").alias("block"), *values, "own")
+    with _batches(rows.sparkSession, maxBytesPerBatch=BLOCK_BYTES):
+        blocks = stored(size_blocks(rows, tile_rows, other_rows), "near-blocks", "own")
+    own = blocks.where("own").drop("own")
+    other = blocks.where("not own").select(*[F.col(c).alias(f"other_{c}") for c in own.columns])
+    meets = (F.col("other_high") >= F.col("low")) & (F.col("other_low") <= F.col("high") / similarity + 1e-6)
+    met = own.join(other.hint("shuffle_replicate_nl"), meets)
+    names = [c for c in own.columns if c not in ("low", "high")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(table: pa.Table, mine: bool) -> dict:
-            part = table.filter(pa.array(table["own"].to_numpy() == mine))
-
-            def longs(name: str) -> np.ndarray:
-                joined = np.frombuffer(b"".join(part[name].to_pylist()), np.uint64)
-                return joined.reshape(part.num_rows, -1) if part.num_rows else joined.reshape(0, 1)
-
-            return {
-                **{name: longs(name) for name in ("print", "code", "bits")},
-                **{name: part[name].to_numpy() for name in ("label", "n")},
-            }
-
-        def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            block = table["block"].to_numpy()
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for begin, end in zip(edges[:-1], edges[1:], strict=True):
-                one = table.slice(begin, end - begin)
-                mine, others = side(one, True), side(one, False)
-                if not len(mine["n"]) or not len(others["n"]):
-                    continue
+        for batch in batches:
+            for row in range(batch.num_rows):
+                mine, others = (
+                    side_of({name: batch[prefix + name][row].as_buffer() for name in names}) for prefix in ("", "other_")
+                )
+                pairs = block_pairs(mine, others, radius, similarity, all_pairs, turn)
+                if "shingles" in names:
+                    pairs = similar_pairs(pairs, mine, others, similarity)
                 found, size = [], 0
-                for i, j in block_pairs(mine, others, radius, similarity, all_pairs, turn):
+                for i, j in pairs:
                     found.append((i, j))
                     size += len(i)
                     if size >= 1 << 16:
@@ -208,28 +327,11 @@ def near_pairs(
                         found, size = [], 0
                 yield batch_of(found, mine, others)
 
-        def batch_of(found: list[tuple], mine: dict, others: dict) -> pa.RecordBatch:
-            i, j = (np.concatenate([np.asarray(p[k], np.int64) for p in found] or [np.empty(0, np.int64)]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([_joined(mine["print"][i]), _joined(others["print"][j])], names=["a", "b"])
+    def batch_of(found: list[tuple], mine: dict, others: dict) -> pa.RecordBatch:
+        i, j = (np.concatenate([np.asarray(p[k], np.int64) for p in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([_joined(mine["print"][i]), _joined(others["print"][j])], names=["a", "b"])
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch["block"].to_numpy()
-            # The last block of a batch may go on in the next one.
-            last = int(np.searchsorted(block, block[-1]))
-            if held and (last or held[-1]["block"][0].as_py() != block[0]):
-                yield from pairs([*held, batch.slice(0, last)] if last else held)
-                held = []
-            elif last:
-                yield from pairs([batch.slice(0, last)])
-            held.append(batch.slice(last))
-        if held:
-            yield from pairs(held)
-
-    dealt = blocks.repartition("block").sortWithinPartitions("block")
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+    return met.mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def near_copies(
@@ -246,7 +348,8 @@ def near_copies(
 
     In the first rounds a text meets one other text for each block it is in, so a large group
     of near copies is connected by as many pairs as it has members. Texts that met none have
-    no pair and are not looked at again; the last round makes all pairs that are left.
+    no pair and are not looked at again; the last round makes all pairs that are left, from
+    blocks that have the sets as well, so no pair of it takes a set through a shuffle.
     """
     prints = stored(text_prints(df, key, text, width), "near-prints")
     distinct = prints.groupBy("print").agg(
@@ -256,9 +359,13 @@ def near_copies(
     rows = distinct.where("n > 0").drop("least").withColumn("label", F.xxhash64("print"))
     links = None
     for turn in range(ROUNDS + 1):
-        met = stored(near_pairs(rows, radius, similarity, turn == ROUNDS, turn), "near-pairs")
-        wanted = stored(met.select(F.col("a").alias("print")).union(met.select("b")).distinct(), "near-wanted")
-        found = stored(verified(df, met, wanted, text, similarity, width), "near-links")
+        if turn == ROUNDS:
+            rows = stored(rows.join(_sets(df, text, width, rows.select("print")), "print"), "near-sets")
+            found = _stored_pairs(near_pairs(rows, radius, similarity, True, turn), "near-links")
+        else:
+            met = _stored_pairs(near_pairs(rows, radius, similarity, False, turn), "near-pairs")
+            wanted = stored(met.select(F.col("a").alias("print")).union(met.select("b")).distinct(), "near-wanted")
+            found = stored(verified(df, met, wanted, text, similarity, width), "near-links")
         links = found if links is None else links.unionByName(found)
         if turn == ROUNDS or wanted.isEmpty():
             break

@@ -3,6 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthgrid.llm import near_copies, similar
 from hearthgrid.llm.similar import shingle_sets
@@ -88,3 +89,84 @@ def test_the_map_has_the_bits_of_its_prints(spark):
     bit = similar._print_bits(made)
     assert (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).all()
     assert np.unpackbits(known).sum() == len(set(bit.tolist()))
+
+
+def side(sets):
+    """A block's side of some sets of hashes, as tasks read it."""
+    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    hashes = np.concatenate(sets)
+    n = np.array([len(s) for s in sets], np.int64)
+    return near_copies.side_of({
+        "print": mix(np.arange(2 * len(sets), dtype=np.uint64) + n.sum().astype(np.uint64)).tobytes(),
+        "label": np.arange(len(sets)).tobytes(),
+        "n": n.tobytes(),
+        "code": near_copies.set_fingerprints(doc, hashes, len(sets)).tobytes(),
+        "bits": b"".join(near_copies.parity_maps(doc, hashes, len(sets))),
+        "shingles": hashes.tobytes(),
+    })
+
+
+def hash_sets(sizes, seed):
+    draw = np.random.default_rng(seed)
+    return [np.unique(draw.integers(0, 1 << 63, n, np.uint64)) for n in sizes]
+
+
+def pairs_of(own, other, radius=128):
+    found = near_copies.block_pairs(own, other, radius, 0.8, True, 0)
+    return {(int(a), int(b)) for i, j in found for a, b in zip(np.broadcast_to(i, len(j)), j, strict=True)}
+
+
+def test_maps_of_long_texts_rule_out_unrelated_ones():
+    """With maps of 512 bits for all, every such pair of 1,500 runs and more was verified."""
+    sizes = [40, 500, 520, 1500, 1600, 2040, 2060, 9000]
+    own = hash_sets(sizes, 1)
+    unrelated = hash_sets([n + n // 50 for n in sizes], 2)
+    # Of each size class and across the lengths of maps: some hashes less, as many new ones.
+    alike = [np.unique(np.concatenate([s[: len(s) - len(s) // 12], u[: len(s) // 12 + 1]])) for s, u in zip(own, unrelated, strict=True)]
+    found = pairs_of(side(own), side([*unrelated, *alike]))
+    for i, s in enumerate(own):
+        for j, t in enumerate([*unrelated, *alike]):
+            both = len(np.intersect1d(s, t))
+            if len(s) < len(t):
+                assert ((i, j) in found) == (both >= 0.8 * len(np.union1d(s, t)))
+    assert {(i, len(own) + i) for i in range(len(own))} <= found
+
+
+def test_maps_of_two_lengths_are_compared_at_the_shorter():
+    small, more = hash_sets([1000, 100], 3)
+    large = np.union1d(small, more)
+    a, b = side([small]), side([large])
+    assert (a["at"][1], b["at"][1]) == (1024 // 64, 2048 // 64)
+    for own, other in ((a, b), (b, a)):
+        bits = int(near_copies.differing_bits(own, 0, other, np.array([0]))[0])
+        assert 0 < bits <= 100 and bits % 2 == 0
+
+
+def test_pairs_within_a_block_are_decided_by_their_sets():
+    base = hash_sets([400], 5)[0]
+    # 0.82 to the first, less among each other; one is too far from all.
+    near = [np.delete(base, np.arange(k, k + 72)) for k in (0, 100, 200)]
+    far = np.delete(base, np.arange(300, 400))
+    own, other = side([far, *near]), side([base])
+    given = [(np.array([i]), np.array([0])) for i in range(4)]
+    found = [(int(i[0]), int(j[0])) for i, j in near_copies.similar_pairs(iter(given), own, other, 0.8)]
+    # Labels 0 of both sides are one, so the far one is left out, as pairs of one label are.
+    assert found == [(1, 0), (2, 0), (3, 0)]
+    own["label"] = own["label"] + 10
+    assert [int(i[0]) for i, _ in near_copies.similar_pairs(iter(given), own, other, 0.8)] == [1, 2, 3]
+    # What is linked already is not linked again.
+    assert len(list(near_copies.similar_pairs(iter(given * 2), own, other, 0.8))) == 3
+
+
+def test_blocks_are_not_shuffled_for_the_blocks_they_meet(spark):
+    """Each met block took a copy of all its rows through a shuffle."""
+    df = documents(spark, as_rows(sentences(200, 9)))
+    prints = near_copies.text_prints(df, "doc_id", "text", 5)
+    rows = prints.where("n > 0").dropDuplicates(["print"]).withColumn("label", F.xxhash64("print")).localCheckpoint()
+    met = near_copies.near_pairs(rows, near_copies.RADIUS, 0.8, True, 0, 7, 9)
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "CartesianProduct" in below and "Exchange" not in below and "Repartition" not in below
+    # Each row is stored once for either side, however many blocks there are.
+    blocks = near_copies.size_blocks(rows, 7, 9).selectExpr("own", "length(n) div 8 as n").groupBy("own").sum("n").collect()
+    assert sorted(tuple(b) for b in blocks) == [(False, rows.count()), (True, rows.count())]
